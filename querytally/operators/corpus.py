@@ -35,9 +35,9 @@ def sample_evenly(cases: DataFrame, group: str, order: list, size=50) -> DataFra
         F.explode(F.when(
             F.col("__n") > size,
             F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.bround(i * step).cast("long")),
-        ).otherwise(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).alias("__at"),
+        ).otherwise(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).alias("__pick"),
     )
-    return number_within(cases, [group], order, "__at", start=0).join(picks, [group, "__at"], "left_semi").drop("__at")
+    return number_within(cases, [group], order, "__pick", start=0).join(picks, [group, "__pick"], "left_semi").drop("__pick")
 
 
 def prefix_match(entries: DataFrame, wanted: list[str], faithful=False) -> DataFrame:

@@ -70,3 +70,38 @@ def run_evals(runs: DataFrame, evals: DataFrame, run_id=None) -> DataFrame:
     if run_id is not None:
         runs, evals = runs.filter(F.col("id") == run_id), evals.filter(F.col("run_id") == run_id)
     return evals.join(runs.select(F.col("id").alias("run_id"), "source", "start_time"), "run_id")
+
+
+def run_documents(evals: DataFrame, run: list, per_file=1000) -> DataFrame:
+    """Run files of bounded size from evals: one row per (run, data set, piece).
+
+    ``evals`` has dataset, database, name, question, status, duration, the
+    usage fields and exception_class. A data set of any size continues over
+    several files; merging run files puts it together again.
+    """
+    from .numbering import number_within
+
+    fields = ["database", "name", "question", "status", "duration", "exception_class", *USAGE]
+    placed = number_within(evals.select(*run, "dataset", *fields), [*run, "dataset"], ["name"], "__n", start=0)
+    one = F.struct("__n", "dataset", *fields)
+    files = placed.withColumn("piece", F.floor(F.col("__n") / F.lit(per_file))).groupBy(*run, "dataset", "piece").agg(
+        F.array_sort(F.collect_list(one)).alias("rows"),
+        F.count_if(F.col("status") == "pass").alias("passing"), F.count(F.lit(1)).alias("total"),
+        F.round(F.sum("duration"), 3).alias("total_duration"),
+        F.struct(*[F.sum(f).alias(f) for f in USAGE]).alias("usage"))
+
+    def names(status):
+        return F.transform(F.filter("rows", lambda r: r["status"] == status), lambda r: r["name"])
+
+    classes = F.transform(F.filter("rows", lambda r: r["status"] == "error"), lambda r: r["exception_class"])
+    counts = F.map_from_entries(F.transform(
+        F.array_distinct(classes),
+        lambda e: F.struct(e, F.size(F.filter(classes, lambda x: x == e)).cast("long"))))
+    evals_out = F.transform("rows", lambda r: F.struct(
+        r["status"].alias("status"), r["dataset"].alias("dataset"), r["database"].alias("database"),
+        r["name"].alias("name"), r["question"].alias("question"), r["duration"].alias("duration"),
+        F.struct(r["exception_class"].alias("exception_class")).alias("details")))
+    summary = F.struct(
+        "passing", "total", "total_duration", "usage", names("fail").alias("failed"),
+        counts.alias("failed_error_counts"), names("error").alias("errored"), evals_out.alias("evals"))
+    return files.select(*run, "piece", F.create_map(F.col("dataset"), summary).alias("results"))

@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
-from . import relational  # noqa: F401
+from . import catalog, evaluation, relational  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
