@@ -13,6 +13,7 @@ from ..functions.text import embedding_with_provider, referenced_tables, split_k
 from ..operators import corpus, runs, scoring
 from ..operators.compare import compare_results, table_sets_match
 from ..operators.results import ACTUAL, EXPECTED, result_rows
+from ..session import written
 from .registry import query
 
 c = F.col
@@ -176,8 +177,9 @@ def order_results(t, float_total=False, repeat=False):
     if repeat:
         e_cols, a_cols = [*e_cols, "parts"], ["parts", *a_cols]
     key = {"c_custkey": c("o_custkey")}
-    rows = result_rows(full, key, ACTUAL, a_cols, c("o_orderkey")).unionByName(
-        result_rows(shipped, key, EXPECTED, e_cols, c("o_orderkey")))
+    # results are kept before they are compared, as a run of the queries would
+    rows = written(result_rows(full, key, ACTUAL, a_cols, c("o_orderkey")).unionByName(
+        result_rows(shipped, key, EXPECTED, e_cols, c("o_orderkey"))))
     kinds = {"o_orderkey": "i", "n": "i", "parts": "i", "o_orderpriority": "s", "o_totalprice": "f", "total": "f", "again": "f"}
     who = t.orders.select(c("o_custkey").alias("c_custkey")).distinct()
     headers = who.select("c_custkey", F.explode(F.array(*[

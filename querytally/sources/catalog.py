@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 DOCUMENT = (
     "file string, doc_no int, type string, schema string, name string, description string, sql string, "
     "columns array<struct<name: string, description: string>>")
+FIELDS = ["file", "doc_no", "type", "schema", "name", "description", "sql", "columns"]
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -16,7 +17,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     The YAML reading is the only Python step; it runs in the tasks, a file at
     a time, and needs PyYAML there.
     """
-    texts = spark.read.option("wholetext", True).text(path).select(
+    texts = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
     def parse(frames):
@@ -32,8 +33,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     "description": d.get("description"), "sql": d.get("sql"),
                     "columns": [{"name": str(c.get("name")), "description": c.get("description")}
                                 for c in d["columns"]] if d.get("columns") else None,
-                } for i, d in enumerate(docs)], columns=[f.split()[0] for f in DOCUMENT.split(", ")
-                                                         if not f.startswith("description: ")])
+                } for i, d in enumerate(docs)], columns=FIELDS)
 
     return texts.mapInPandas(parse, DOCUMENT)
 

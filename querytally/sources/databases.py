@@ -14,7 +14,7 @@ def discover_databases(spark: SparkSession, root: str) -> DataFrame:
     listed = _listing(spark, root, "databases.json")
     declared = None
     if not listed.isEmpty():
-        texts = spark.read.option("wholetext", True).text(f"{root}/*/databases.json")
+        texts = spark.read.text(f"{root}/*/databases.json", wholetext=True)
         declared = texts.select(
             F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/databases\.json$", 1).alias("dataset"),
             F.explode(F.from_json("value", "array<string>")).alias("database"))

@@ -24,12 +24,13 @@ def read_run_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     ``path`` is a folder of ``*.json`` files, one document each. Free-form
     details stay JSON text.
     """
-    raw = (
-        spark.read.schema(RUN_FILE).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").json(path)
-        .select(F.col("_metadata.file_path").alias("file"), "*"))
-    good = raw.filter("_corrupt_record is null").drop("_corrupt_record")
-    bad = raw.filter("_corrupt_record is not null").select("file", F.col("_corrupt_record").alias("text"))
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    parsed = texts.select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.from_json("value", RUN_FILE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("run"))
+    broken = F.col("run").isNull() | F.col("run._corrupt_record").isNotNull()
+    good = parsed.filter(~broken).select("file", "run.*").drop("_corrupt_record")
+    bad = parsed.filter(broken).select("file", F.col("value").alias("text"))
     return good, bad
 
 
