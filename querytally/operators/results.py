@@ -70,7 +70,7 @@ def _keyed(df, case):
 def result_header(df: DataFrame, case: dict, side: str) -> DataFrame:
     """One header row for a whole frame as the result of one case."""
     kinds = "".join(kind_of(f.dataType) for f in df.schema.fields)
-    return df.sparkSession.range(1).select(
+    return df.sparkSession.range(0, 1, 1, 1).select(
         *_keyed(df, case), F.lit(side).alias("side"), F.lit(kinds).alias("kinds"),
         F.array(*[F.lit(n) for n in unique_names(df.columns)]).cast("array<string>").alias("names"),
     )
