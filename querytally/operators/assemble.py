@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .numbering import number_within
 
-
-def assembled(df: DataFrame, group: list, order: list, line: Column, separator=",\n",
+def assembled(df: DataFrame, group: list, position: Column, line: Column, separator=",\n",
               name="text", per_piece=1000) -> DataFrame:
     """Lines of a group joined in order, in numbered pieces of bounded length.
 
-    A group of up to ``per_piece`` lines is one piece; a longer one continues
-    in further pieces, so no row or task has to hold a whole large group.
+    ``position`` is an integer, unique in its group. A piece covers
+    ``per_piece`` positions, so no row or task has to hold a whole large group,
+    and the one shuffle is by (group, piece).
     """
-    placed = number_within(df.withColumn("__line", line).select(*group, *order, "__line"), group, order, "__n", start=0)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("__n", "__line"))), lambda r: r["__line"])
-    return placed.groupBy(*group, F.floor(F.col("__n") / F.lit(per_piece)).alias("piece")).agg(
+    rows = df.select(*group, position.alias("__at"), line.alias("__line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__line"))), lambda r: r["__line"])
+    return rows.groupBy(*group, F.floor(F.col("__at") / F.lit(per_piece)).alias("piece")).agg(
         F.array_join(lines, separator).alias(name))
 
 
@@ -28,8 +27,11 @@ def column_line(name, data_type, nullable, comment) -> Column:
 
 
 def table_texts(columns: DataFrame, table="table_name", order="ordinal", per_piece=1000) -> DataFrame:
-    """Table definitions from a column listing (name, data_type, nullable, comment)."""
-    body = assembled(columns, [table], [order], column_line("column_name", "data_type", F.col("nullable"), "comment"),
+    """Table definitions from a column listing (name, data_type, nullable, comment).
+
+    ``order`` numbers a table's columns from 0 or 1.
+    """
+    body = assembled(columns, [table], F.col(order), column_line("column_name", "data_type", F.col("nullable"), "comment"),
                      name="body", per_piece=per_piece)
     return body.select(
         table, "piece", F.concat(F.lit("CREATE TABLE "), F.col(table), F.lit("\n(\n"), F.col("body"), F.lit("\n);\n")).alias("ddl"))

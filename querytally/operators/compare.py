@@ -328,7 +328,8 @@ def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
 
     Extra actual columns are allowed, missing ones are not. ``exact=False``
     trusts 128-bit row fingerprints instead of grouping the rows themselves:
-    no result row is shuffled by content then.
+    no result row is shuffled by content then. ``rows`` is read several times
+    and should be stored; the verdicts are written out.
     """
     keys = list(keys)
     both = headers.groupBy(*keys).agg(
@@ -384,7 +385,8 @@ def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
         matched = matched.unionByName(
             _tolerant_matches(rows, loose, keys, faithful).select(*keys, "attempt"))
     good = matched.select(*keys).distinct().withColumn("passed", F.lit(True))
-    return both.select(*keys).join(good, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+    verdicts = both.select(*keys).join(good, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+    return written(verdicts)
 
 
 def frames_equal(actual: DataFrame, expected: DataFrame, faithful=False) -> bool:

@@ -26,7 +26,8 @@ def review_candidates(results: DataFrame, which: str) -> DataFrame:
 def sample_evenly(cases: DataFrame, group: str, order: list, size=50) -> DataFrame:
     """At most ``size`` evenly spaced rows per group, first and last included.
 
-    Position round(i * (n - 1) / (size - 1)) for i = 0 .. size-1, ties to even.
+    Position round(i * (n - 1) / (size - 1)) for i = 0 .. size-1, ties to even;
+    ``order`` is unique in its group.
     """
     counts = cases.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     step = (F.col("__n") - 1) / F.lit(float(size - 1))
@@ -37,7 +38,10 @@ def sample_evenly(cases: DataFrame, group: str, order: list, size=50) -> DataFra
             F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.bround(i * step).cast("long")),
         ).otherwise(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).alias("__pick"),
     )
-    return number_within(cases, [group], order, "__pick", start=0).join(picks, [group, "__pick"], "left_semi").drop("__pick")
+    # only the keys are sorted; the few picked ones select the full rows
+    placed = number_within(cases.select(group, *order), [group], order, "__pick", start=0)
+    picked = placed.join(picks, [group, "__pick"], "left_semi").drop("__pick")
+    return cases.join(picked, [group, *order], "left_semi")
 
 
 def prefix_match(entries: DataFrame, wanted: list[str], faithful=False) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import is_blank, starts_with_any
-from .ordered import carry, running_sum
+from .ordered import CHUNK, carry, chunked, running_sum
 
 # Size limit of a dump part, and what ends a statement's line.
 PART_BYTES = 95 * 1024 * 1024
@@ -33,13 +33,14 @@ def strip_lines(lines: DataFrame, chunk_rows=65536) -> DataFrame:
     kept = lines.filter(~starts_with_any("line", SESSION_LINES))
     kept = kept.withColumn("__comment", F.col("line").startswith(COMMENT)).withColumn("__blank", is_blank("line"))
     plain = ~F.col("__comment")
-    kept = carry(kept, ["file"], "line_no", F.when(plain, F.col("__blank")), "__after_blank", chunk_rows=chunk_rows)
-    kept = carry(kept, ["file"], "line_no", F.when(plain & ~F.col("__blank"), F.lit(True)), "__more",
-                 backward=True, chunk_rows=chunk_rows)
+    kept = carry(
+        chunked(kept, "line_no", chunk_rows), ["file"], "line_no",
+        forward={"__after_blank": F.when(plain, F.col("__blank"))},
+        backward={"__more": F.when(plain & ~F.col("__blank"), F.lit(True))})
     text = plain & ~F.col("__blank")
     follows_text = F.coalesce(~F.col("__after_blank"), F.lit(False))
     stays = text | (follows_text & (F.col("__comment") | F.col("__more").isNotNull()))
-    return kept.filter(stays).drop("__comment", "__blank", "__after_blank", "__more")
+    return kept.filter(stays).drop("__comment", "__blank", "__after_blank", "__more", CHUNK)
 
 
 def part_numbers(lines: DataFrame, limit=PART_BYTES, chunk_rows=65536) -> DataFrame:
@@ -51,12 +52,11 @@ def part_numbers(lines: DataFrame, limit=PART_BYTES, chunk_rows=65536) -> DataFr
     than the limit stays whole.
     """
     size = F.octet_length("line") + 1
-    placed = running_sum(lines, ["file"], "line_no", size, "__end", chunk_rows)
+    placed = running_sum(chunked(lines, "line_no", chunk_rows), ["file"], "line_no", size, "__end")
     ends = F.lit(False)
     for mark in STATEMENT_ENDS:
         ends = ends | F.col("line").endswith(mark)
-    placed = carry(placed, ["file"], "line_no", F.when(ends, F.col("__end")), "__stmt_end",
-                   backward=True, chunk_rows=chunk_rows)
+    placed = carry(placed, ["file"], "line_no", backward={"__stmt_end": F.when(ends, F.col("__end"))})
     window = F.floor((F.col("__stmt_end") - 1) / F.lit(limit))
     placed = placed.withColumn("__window", window)
     # one row per (file, window), numbered per file: file size / limit of them

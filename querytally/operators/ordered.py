@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 CHUNK = "__chunk"
 
 
-def _chunked(df: DataFrame, order: str, chunk_rows: int) -> DataFrame:
+def chunked(df: DataFrame, order: str, chunk_rows=65536) -> DataFrame:
+    """Add the chunk column. Steps over the same chunks share one shuffle."""
     return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(chunk_rows)))
 
 
-def running_sum(df: DataFrame, group: list, order: str, value: Column, name: str,
-                chunk_rows=65536) -> DataFrame:
-    """Sum of ``value`` over the group's rows up to and with the current one."""
-    rows = _chunked(df.withColumn("__value", value), order, chunk_rows)
+def running_sum(rows: DataFrame, group: list, order: str, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the group's rows up to and with the current one.
+
+    ``rows`` is chunked and stays so.
+    """
+    rows = rows.withColumn("__value", value)
     inside = W.partitionBy(*group, CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*group).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     totals = (
@@ -31,34 +34,34 @@ def running_sum(df: DataFrame, group: list, order: str, value: Column, name: str
         rows.withColumn("__inside", F.sum("__value").over(inside))
         .join(totals, [*group, CHUNK])
         .withColumn(name, F.col("__inside") + F.col("__before"))
-        .drop(CHUNK, "__value", "__inside", "__before")
+        .drop("__value", "__inside", "__before")
     )
 
 
-def carry(df: DataFrame, group: list, order: str, value: Column, name: str,
-          backward=False, chunk_rows=65536) -> DataFrame:
-    """Nearest non-null ``value`` strictly before the row.
+def carry(rows: DataFrame, group: list, order: str, forward: dict[str, Column] | None = None,
+          backward: dict[str, Column] | None = None) -> DataFrame:
+    """Nearest non-null values before and after each row, all in one pass.
 
-    ``backward=True`` looks from the current row on to the end instead, the
-    current row included.
+    ``forward`` names get the last value strictly before the row; ``backward``
+    names the first one from the row on, its own included. ``rows`` is chunked
+    and stays so.
     """
-    rows = _chunked(df.withColumn("__value", value), order, chunk_rows)
-    if backward:
-        by_row = W.partitionBy(*group, CHUNK).orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
-        by_chunk = W.partitionBy(*group).orderBy(F.col(CHUNK).desc()).rowsBetween(W.unboundedPreceding, -1)
-        summary = F.min_by("__value", F.when(F.col("__value").isNotNull(), F.col(order)))
-    else:
-        by_row = W.partitionBy(*group, CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        by_chunk = W.partitionBy(*group).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-        summary = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order)))
-    brought = (
-        rows.groupBy(*group, CHUNK).agg(summary.alias("__last"))
-        .withColumn("__brought", F.last("__last", ignorenulls=True).over(by_chunk))
-        .drop("__last")
-    )
-    return (
-        rows.withColumn("__near", F.last("__value", ignorenulls=True).over(by_row))
-        .join(brought, [*group, CHUNK])
-        .withColumn(name, F.coalesce("__near", "__brought"))
-        .drop(CHUNK, "__value", "__near", "__brought")
-    )
+    specs = [(n, v, False) for n, v in (forward or {}).items()] + [(n, v, True) for n, v in (backward or {}).items()]
+    names = {n: (f"__value_{i}", f"__brought_{i}") for i, (n, _, _) in enumerate(specs)}
+    rows = rows.withColumns({names[n][0]: v for n, v, _ in specs})
+    by_row, by_chunk = W.partitionBy(*group, CHUNK), W.partitionBy(*group)
+    brought = rows.groupBy(*group, CHUNK).agg(*[
+        (F.min_by if back else F.max_by)(
+            F.col(names[n][0]), F.when(F.col(names[n][0]).isNotNull(), F.col(order))).alias(names[n][1])
+        for n, _, back in specs])
+    near = {}
+    for n, _, back in specs:
+        value, kept = names[n]
+        chunks = by_chunk.orderBy(F.col(CHUNK).desc() if back else F.col(CHUNK).asc())
+        brought = brought.withColumn(
+            kept, F.last(kept, ignorenulls=True).over(chunks.rowsBetween(W.unboundedPreceding, -1)))
+        own = by_row.orderBy(F.col(order).desc() if back else F.col(order).asc()).rowsBetween(
+            W.unboundedPreceding, 0 if back else -1)
+        near[n] = F.last(value, ignorenulls=True).over(own)
+    out = rows.withColumns(near).join(brought, [*group, CHUNK])
+    return out.withColumns({n: F.coalesce(n, names[n][1]) for n in names}).drop(*[x for pair in names.values() for x in pair])

@@ -10,6 +10,7 @@ from ..operators import corpus, dumps
 from ..operators.assemble import assembled, message_rows, table_texts
 from ..operators.joins import lookup_with_fallback
 from ..operators.nearest import nearest_objects
+from ..operators.numbering import number_within
 from .registry import query
 
 c = F.col
@@ -25,8 +26,9 @@ c = F.col
       FROM s GROUP BY ALL) x""")
 def table_text(t):
     """A customer as a table, its orders as the columns in order."""
-    columns = t.orders.select(
-        F.concat(F.lit("customer_"), c("o_custkey")).alias("table_name"), F.struct("o_orderdate", "o_orderkey").alias("ordinal"),
+    placed = number_within(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "ordinal", start=0)
+    columns = placed.select(
+        F.concat(F.lit("customer_"), c("o_custkey")).alias("table_name"), "ordinal",
         F.concat(F.lit("order_"), c("o_orderkey")).alias("column_name"), F.lit("text").alias("data_type"),
         (c("o_orderstatus") == "O").alias("nullable"),
         F.when(c("o_orderstatus") != "P", c("o_orderpriority")).alias("comment"))
@@ -34,10 +36,10 @@ def table_text(t):
 
 
 @query("conversation_text", """
-    SELECT conv_id, (r - 1) // 1000 AS piece, STRING_AGG(role || ': ' || text, CHR(10) ORDER BY turn) AS text FROM (
-      SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) s GROUP BY ALL""")
+    SELECT conv_id, turn // 1000 AS piece, STRING_AGG(role || ': ' || text, CHR(10) ORDER BY turn) AS text
+    FROM conversations GROUP BY ALL""")
 def conversation_text(t):
-    return assembled(t.conversations, ["conv_id"], ["turn"], F.concat_ws(": ", "role", "text"), "\n")
+    return assembled(t.conversations, ["conv_id"], c("turn"), F.concat_ws(": ", "role", "text"), "\n")
 
 
 @query("describe_fallback", """

@@ -310,7 +310,7 @@ def merge_runs(t):
     UNION ALL SELECT dataset, 'counts', exception_class, COUNT(*) FROM ({CASES_SQL}) WHERE status = 'error' GROUP BY 1, 2, 3
     UNION ALL SELECT dataset, 'evals', status, COUNT(*) FROM ({CASES_SQL}) GROUP BY 1, 2, 3""")
 def merge_run_lists(t):
-    files = runs.run_documents(run_evals(t), ["run_day"])
+    files = written(runs.run_documents(run_evals(t), ["run_day"]))
     nothing = F.lit(None).cast("long").alias("n")
     out = runs.merged_error_counts(files).select("dataset", F.lit("counts").alias("list"), c("exception_class").alias("name"), "n")
     for which in ("failed", "errored"):

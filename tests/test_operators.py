@@ -11,7 +11,7 @@ from querytally.operators.assemble import assembled
 from querytally.operators.joins import lookup_with_fallback, not_in, top_ranked
 from querytally.operators.nearest import nearest_objects
 from querytally.operators.numbering import number_rows, number_within
-from querytally.operators.ordered import carry, running_sum
+from querytally.operators.ordered import carry, chunked, running_sum
 
 
 @pytest.fixture(scope="module")
@@ -43,9 +43,9 @@ def test_number_within(hot):
 def test_running_sum_and_carry(hot):
     data, df = hot
     df = df.withColumn("x", F.when(F.col("v") % 7 == 0, F.col("v")))
-    total = {r["id"]: r["s"] for r in running_sum(df, ["g"], "id", F.col("v"), "s", chunk_rows=100).collect()}
-    back = {r["id"]: r["p"] for r in carry(df, ["g"], "id", F.col("x"), "p", chunk_rows=50).collect()}
-    ahead = {r["id"]: r["p"] for r in carry(df, ["g"], "id", F.col("x"), "p", backward=True, chunk_rows=50).collect()}
+    total = {r["id"]: r["s"] for r in running_sum(chunked(df, "id", 100), ["g"], "id", F.col("v"), "s").collect()}
+    both = carry(chunked(df, "id", 50), ["g"], "id", {"p": F.col("x")}, {"q": F.col("x")}).collect()
+    back, ahead = {r["id"]: r["p"] for r in both}, {r["id"]: r["q"] for r in both}
     sums, last, nxt = {}, {}, {}
     for g, v, i in sorted(data, key=lambda r: r[2]):
         sums[g] = sums.get(g, 0) + v
@@ -167,9 +167,9 @@ def test_top_ranked(spark):
 
 
 def test_prefix_match(spark):
-    df = spark.createDataFrame([("spider", "geo"), ("bird", "x"), ("simple", "world")], "dataset string, database string")
-    assert corpus.prefix_match(df, ["s", "spider_g"]).count() == 2
-    assert corpus.prefix_match(df, [" s", "spider_g "], faithful=True).count() == 3
+    df = spark.createDataFrame([("north", "geo"), ("east", "x"), ("noon", "world")], "dataset string, database string")
+    assert corpus.prefix_match(df, ["n", "north_g"]).count() == 2
+    assert corpus.prefix_match(df, [" n", "north_g "], faithful=True).count() == 3
 
 
 def test_lookup_prefers_first_key(spark):
@@ -184,7 +184,7 @@ def test_lists_and_texts_in_pieces(spark):
     lists = scoring.name_lists(df.repartition(7), ["dataset"], per_piece=1000).orderBy("piece").collect()
     assert [len(r["names"]) for r in lists] == [1000, 1000, 500]
     assert [n for r in lists for n in r["names"]] == [f"{i:06d}" for i in range(2500)]
-    texts = assembled(df, ["dataset"], ["name"], F.col("name"), ";", per_piece=600).orderBy("piece").collect()
+    texts = assembled(df, ["dataset"], F.col("name").cast("long"), F.col("name"), ";", per_piece=600).orderBy("piece").collect()
     assert ";".join(r["text"] for r in texts) == ";".join(f"{i:06d}" for i in range(2500))
 
 
