@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .nearest import nearest_objects
 from .numbering import number_rows, number_within, padded_names
 
 
@@ -93,6 +94,24 @@ def exact_objects(objects: DataFrame, wanted: DataFrame, schema="public") -> Dat
     return named.join(tables, "__t").drop("__t")
 
 
+def context_objects(mode: str, objects: DataFrame, cases: DataFrame, k=10, dims=576) -> DataFrame:
+    """(case, object) pairs a case is answered with.
+
+    'entire_catalog': one row per object, the same for all cases, so no case
+    column; 'semantic_search': the ``k`` nearest by ``vector``; 'specific_ids':
+    those named in ``tables``. Cases carry ``query_id``.
+    """
+    if mode == "entire_catalog":
+        return objects.select("id")
+    if mode == "specific_ids":
+        return exact_objects(objects, cases.select("query_id", "tables"))
+    if mode != "semantic_search":
+        raise ValueError(f"unknown context mode: {mode}")
+    near = nearest_objects(
+        cases.select("query_id", "vector"), objects.select(F.col("id").alias("object_id"), "vector"), k, dims)
+    return near.select("query_id", F.col("object_id").alias("id"), "score", "rank")
+
+
 def context_mode(mode: str) -> Column:
     """Run details derived from the context mode."""
     return F.struct(

@@ -7,9 +7,12 @@ of failed names has no upper size.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import pass_ratio
+from .numbering import number_within
 
 # The usage fields of a summary.
 USAGE = (
@@ -72,6 +75,13 @@ def run_evals(runs: DataFrame, evals: DataFrame, run_id=None) -> DataFrame:
     return evals.join(runs.select(F.col("id").alias("run_id"), "source", "start_time"), "run_id")
 
 
+def with_run_header(files: DataFrame, task: str, start_time, end_time, details: dict | None = None) -> DataFrame:
+    """The header fields every file of a run repeats; details as JSON text."""
+    return files.select(
+        F.lit(task).alias("task"), F.lit(start_time).cast("timestamp").alias("start_time"),
+        F.lit(end_time).cast("timestamp").alias("end_time"), F.lit(json.dumps(details or {})).alias("details"), "results")
+
+
 def run_documents(evals: DataFrame, run: list, per_file=1000) -> DataFrame:
     """Run files of bounded size from evals: one row per (run, data set, piece).
 
@@ -79,8 +89,6 @@ def run_documents(evals: DataFrame, run: list, per_file=1000) -> DataFrame:
     usage fields and exception_class. A data set of any size continues over
     several files; merging run files puts it together again.
     """
-    from .numbering import number_within
-
     fields = ["database", "name", "question", "status", "duration", "exception_class", *USAGE]
     placed = number_within(evals.select(*run, "dataset", *fields), [*run, "dataset"], ["name"], "__n", start=0)
     one = F.struct("__n", "dataset", *fields)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (
     double_to_single_quotes, postgres_type, question_with_evidence, sentence, sql_quoted)
-from ..operators import corpus, dumps
+from ..operators import corpus, dumps, quality
 from ..operators.assemble import assembled, message_rows, table_texts
 from ..operators.joins import lookup_with_fallback
 from ..operators.nearest import nearest_objects
@@ -191,7 +191,8 @@ def nearest_objects_query(t):
 
 
 @query("exact_context", """
-    SELECT p_partkey AS id, COUNT(*) AS cases FROM lineitem JOIN part ON p_partkey IN (l_partkey, l_suppkey)
+    SELECT p_partkey AS id, COUNT(*) AS cases FROM (
+      SELECT UNNEST(LIST_DISTINCT([l_partkey, l_suppkey])) AS k FROM lineitem) l JOIN part ON p_partkey = k
     WHERE p_size % 3 <> 0 AND p_type <> 'SMALL' GROUP BY p_partkey""")
 def exact_context(t):
     """Catalog objects named by a case: parts as objects, lines as cases."""
@@ -202,3 +203,16 @@ def exact_context(t):
     wanted = t.lineitem.select("l_orderkey", F.array(
         F.concat(F.lit("t"), c("l_partkey")), F.concat(F.lit("t"), c("l_suppkey"))).alias("tables"))
     return corpus.exact_objects(objects, wanted).groupBy("id").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@query("key_checks", """
+    SELECT 'repeated' AS check, COUNT(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'dangling', COUNT(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+    UNION ALL SELECT 'not null', COUNT(*) FILTER (WHERE o_custkey IS NULL) FROM orders
+    UNION ALL SELECT 'price', COUNT(*) FILTER (WHERE NOT o_totalprice > 5000) FROM orders""")
+def key_checks(t):
+    pairs = quality.repeated_keys(t.lineitem, ["l_orderkey", "l_linenumber"]).agg(F.count(F.lit(1)).alias("n"))
+    loose = quality.dangling_keys(t.orders, "o_orderkey", t.lineitem, "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    checks = quality.violations(t.orders, {"not null": c("o_custkey").isNotNull(), "price": c("o_totalprice") > 5000})
+    return checks.unionByName(pairs.select(F.lit("repeated").alias("check"), "n")).unionByName(
+        loose.select(F.lit("dangling").alias("check"), "n"))

@@ -21,6 +21,7 @@ def get_session(app="querytally", master=None, **conf) -> SparkSession:
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
+        .config("spark.sql.ansi.doubleQuotedIdentifiers", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -54,6 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _work_dir(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "querytally", spark.sparkContext.applicationId)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -61,6 +66,15 @@ def written(df: DataFrame) -> DataFrame:
     such as partition numbers that a recomputation could assign differently.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "querytally", uuid.uuid4().hex)
+    path = os.path.join(_work_dir(spark), uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_written(spark: SparkSession) -> None:
+    """Delete everything this application wrote between steps.
+
+    Call it when no frame made so far is needed any more.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

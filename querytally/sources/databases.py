@@ -45,13 +45,24 @@ def replace_table(df: DataFrame, directory: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{directory}/{name}.parquet")
 
 
-def register_database(spark: SparkSession, directory: str) -> list[str]:
-    """Make every ``{name}.parquet`` of a folder a temporary view."""
+def register_database(spark: SparkSession, directory: str, schema: str | None = None) -> list[str]:
+    """Make every ``{name}.parquet`` of a folder queryable by its name.
+
+    Temporary views, or tables of ``schema`` for queries that write
+    ``schema.name``.
+    """
     paths = _listing(spark, directory, "*.parquet").select(
         F.regexp_extract("path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1).alias("t")).distinct()
     names = sorted(r["t"] for r in paths.collect())  # one per table
+    if schema is not None:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}`")
     for name in names:
-        spark.read.parquet(f"{directory}/{name}.parquet").createOrReplaceTempView(f"`{name}`")
+        path = f"{directory}/{name}.parquet"
+        if schema is None:
+            spark.read.parquet(path).createOrReplaceTempView(f"`{name}`")
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS `{schema}`.`{name}`")
+            spark.catalog.createTable(f"`{schema}`.`{name}`", path=path, source="parquet")
     return names
 
 
@@ -72,3 +83,37 @@ def list_columns(spark: SparkSession, names=None) -> DataFrame:
 def with_defaults(df: DataFrame) -> DataFrame:
     """Text columns declared with an empty default: null becomes ''."""
     return df.na.fill("", [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
+
+
+# PostgreSQL type names and the Spark types that hold them.
+SPARK_TYPES = {
+    "integer": "int", "int": "int", "smallint": "smallint", "bigint": "bigint", "text": "string",
+    "real": "float", "double precision": "double", "boolean": "boolean", "timestamptz": "timestamp",
+    "timestamp": "timestamp", "date": "date", "json": "string", "interval": "interval day to second",
+}
+
+
+def spark_type(declared: str) -> str:
+    """Spark type of a PostgreSQL declaration; lengths of texts are dropped."""
+    name = declared.strip().lower()
+    if name in SPARK_TYPES:
+        return SPARK_TYPES[name]
+    base, _, size = name.partition("(")
+    if base in ("numeric", "decimal"):
+        return f"decimal({size}" if size else "decimal(38,18)"
+    if base in ("character", "char", "character varying", "varchar"):
+        return "string"
+    raise ValueError(f"unknown type: {declared}")
+
+
+def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Text columns cast to their declared types; unreadable values are null
+    and blank-padded characters lose their padding."""
+    out = []
+    for name in df.columns:
+        column, declared = F.col(f"`{name}`"), types.get(name)
+        if declared is not None:
+            padded = declared.strip().lower().startswith(("character(", "char("))
+            column = F.rtrim(column) if padded else column.try_cast(spark_type(declared))
+        out.append(column.alias(name))
+    return df.select(*out)

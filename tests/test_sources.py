@@ -217,6 +217,61 @@ def test_lines_and_parts(spark, tmp_path):
     assert len(sizes) > 4 and max(r.n for r in sizes) <= 30000 + 40  # a statement may reach over
 
 
+def test_run_document_files(spark, tmp_path):
+    """Evals written as run files of bounded size and read as a report."""
+    usage = [(F.lit(0.5) if u.endswith("cost") else F.lit(1)).alias(u) for u in runs.USAGE]
+    evals = spark.range(25).select(
+        F.lit("d").alias("dataset"), F.lit("x").alias("database"), F.lpad(F.col("id").cast("string"), 2, "0").alias("name"),
+        F.lit("q").alias("question"), F.lit("fail").alias("status"), F.lit(0.1).alias("duration"),
+        F.lit(None).cast("string").alias("exception_class"), *usage)
+    files = runs.with_run_header(runs.run_documents(evals, [], per_file=10), "text_to_sql", "2024-01-01 10:00:00", None, {"model": "m"})
+    run_store.write_run_files(files, f"{tmp_path}/r")
+    back = run_store.read_run_lines(spark, f"{tmp_path}/r")
+    assert back.count() == 3
+    assert json.loads(back.first().details) == {"model": "m"}
+    total = runs.merged_totals(back).first()
+    assert (total.total, total.total_duration, total.request_tokens) == (25, 2.5, 25)
+    assert sorted(r.name for r in runs.merged_names(back, "failed").collect()) == [f"{i:02d}" for i in range(25)]
+
+
+def test_schema_tables_and_types(spark, tmp_path):
+    text = spark.createDataFrame([("1", "ab  ", "2.50", "t", "2024-01-01 00:00:00+00", "x"), ("z", None, "bad", None, None, "y")],
+                                 "id string, code string, gnp string, ok string, at string, `odd name` string")
+    types = {"id": "integer", "code": "character(4)", "gnp": "numeric(10,2)", "ok": "boolean", "at": "timestamptz"}
+    df = databases.typed(text, types)
+    assert dict(df.dtypes) == {"id": "int", "code": "string", "gnp": "decimal(10,2)", "ok": "boolean", "at": "timestamp", "odd name": "string"}
+    rows = df.orderBy(F.col("id").asc_nulls_last()).collect()
+    assert (rows[0].code, rows[0].gnp, rows[0].ok) == ("ab", decimal.Decimal("2.50"), True)
+    assert (rows[1].id, rows[1].gnp) == (None, None)
+    assert databases.with_defaults(df).filter("code = ''").count() == 1
+    databases.replace_table(df, f"{tmp_path}/air", "flight")
+    assert databases.register_database(spark, f"{tmp_path}/air", "air") == ["flight"]
+    assert spark.sql('SELECT "odd name" AS v FROM air.flight f WHERE f.ID = 1').first().v == "x"
+    assert databases.spark_type("double precision") == "double"
+
+
+def test_context_modes(spark):
+    from querytally.operators.corpus import context_objects
+
+    objects = spark.createDataFrame(
+        [(1, "table", ["public", "a"], [1.0, 0.0]), (2, "table", ["other", "b"], [0.0, 1.0]), (3, "view", ["public", "a"], [1.0, 1.0])],
+        "id long, objtype string, objnames array<string>, vector array<float>")
+    wanted = spark.createDataFrame([("q", ["a", "a", "b"], [1.0, 0.1])], "query_id string, tables array<string>, vector array<float>")
+    assert context_objects("entire_catalog", objects, wanted).count() == 3
+    assert [r.id for r in context_objects("specific_ids", objects, wanted).collect()] == [1]
+    assert [r.id for r in context_objects("semantic_search", objects, wanted, k=2, dims=2).orderBy("rank").collect()] == [1, 3]
+
+
+def test_release(spark):
+    from querytally.session import release_written, written
+
+    df = written(spark.range(3))
+    path = df.inputFiles()[0].replace("file://", "").replace("file:", "")
+    assert df.count() == 3 and os.path.exists(path)
+    release_written(spark)
+    assert not os.path.exists(path)
+
+
 def test_execute_and_judge(spark, tmp_path):
     d = str(tmp_path / "geo")
     spark.createDataFrame([("a", 5.0, "x"), ("b", 7.5, "y"), ("c", 7.5, None)], "state string, area double, note string").write.parquet(f"{d}/state.parquet")
