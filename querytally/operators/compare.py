@@ -306,19 +306,17 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
     if not faithful:
         tagged = tagged.withColumn("key", F.concat(
             F.filter("key", lambda k: ~k["loose"]), F.filter("key", lambda k: k["loose"])))
-    ranked = written(number_within(tagged, [*keys, "attempt", "side"], [F.col("key").asc(), F.col("row_id").asc()]).drop("key"))
-    a = ranked.filter(F.col("side") == ACTUAL).select(*keys, "attempt", "n", F.col("line").alias("al"))
-    e = ranked.filter(F.col("side") == EXPECTED).select(*keys, "attempt", "n", "kinds", F.col("line").alias("el"))
+    ranked = number_within(tagged, [*keys, "attempt", "side"], [F.col("key").asc(), F.col("row_id").asc()])
+    paired = ranked.groupBy(*keys, "attempt", "n").agg(
+        F.max("kinds").alias("kinds"),
+        F.max(F.when(F.col("side") == ACTUAL, F.col("line"))).alias("al"),
+        F.max(F.when(F.col("side") == EXPECTED, F.col("line"))).alias("el"))
     agree = F.expr(f"""
         forall(sequence(0, size(el) - 1), i -> (al[i] <=> el[i]) or (
             substring(kinds, i + 1, 1) = 'f' and al[i] is not null and el[i] is not null
             and abs(cast(al[i] as double) - cast(el[i] as double))
                 <= {ABSOLUTE}D + {RELATIVE}D * abs(cast(el[i] as double))))""")
-    off = (
-        e.join(a, [*keys, "attempt", "n"], "full")
-        .filter(F.col("al").isNull() | F.col("el").isNull() | ~agree)
-        .select(*keys, "attempt").distinct()
-    )
+    off = paired.filter(F.col("al").isNull() | F.col("el").isNull() | ~agree).select(*keys, "attempt").distinct()
     return attempts.join(off, [*keys, "attempt"], "left_anti")
 
 
@@ -334,8 +332,7 @@ def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
     keys = list(keys)
     both = headers.groupBy(*keys).agg(
         F.count_if(F.col("side") == ACTUAL).alias("n_a"), F.count_if(F.col("side") == EXPECTED).alias("n_e"),
-        F.max(F.when(F.col("side") == EXPECTED, F.col("kinds"))).alias("kinds"),
-    ).filter("n_a > 0 and n_e > 0").select(*keys, "kinds")
+    ).filter("n_a > 0 and n_e > 0").select(*keys)
     cases = written(
         _per_case(column_profile(headers, rows, keys), keys)
         .filter("size(a) >= size(e) and forall(zip_with(alike, near, (c, d) -> size(c) + size(d)), k -> k > 0)"))
@@ -347,43 +344,52 @@ def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
         cases = cases.join(kept, keys, "left").withColumn("near", F.transform("near", lambda c, i: F.filter(
             c, lambda p: F.coalesce(F.exists("kept", lambda k: (k["e_pos"] == i) & (k["a_pos"] == p)), F.lit(False))))).drop("kept")
     cands = F.zip_with("alike", "near", lambda x, y: F.concat(x, y))
-    columns = [*keys, "attempt", "mapping"]
+    cases = cases.withColumn("kinds", F.array_join("e.kind", ""))
+    facts = [*keys, "alike", "kinds"]
     if faithful:
-        attempts = cases.select(*keys, F.lit(0).alias("attempt"), F.transform(cands, F.array_min).alias("mapping")).filter(
+        attempts = cases.select(*facts, F.lit(0).alias("attempt"), F.transform(cands, F.array_min).alias("mapping")).filter(
             "size(array_distinct(mapping)) = size(mapping) and not exists(mapping, p -> p is null)")
     else:
         cases = cases.withColumn("cands", cands)
         flat = F.flatten("cands")
         sure = (F.size(flat) == F.size("e")) & (F.size(F.array_distinct(flat)) == F.size("e"))
-        attempts = cases.filter(sure).select(*keys, F.lit(0).alias("attempt"), flat.alias("mapping"))
+        attempts = cases.filter(sure).select(*facts, F.lit(0).alias("attempt"), flat.alias("mapping"))
         open_cases = cases.filter(~sure)
         if not open_cases.isEmpty():
             narrow = written(
                 _refined(rows, open_cases, keys).withColumn("cands", cands)
                 .filter("forall(cands, c -> size(c) > 0)")
-                .select(*keys, "cands", "near", "a_twin", "e_twin", "e_class"))
+                .select(*facts, "cands", "near", "a_twin", "e_twin", "e_class"))
             # where all candidates of a column are twins any order is as good
             alike_all = F.expr("""
                 forall(cands, c -> size(array_distinct(transform(c, p -> a_twin[p]))) = 1)
                 and not exists(near, c -> size(c) > 0)""")
             in_turn = F.expr("""transform(cands, (c, i) ->
                 get(c, size(filter(slice(e_class, 1, i), x -> x = e_class[i]))))""")
-            turns = narrow.filter(alike_all).select(*keys, F.lit(0).alias("attempt"), in_turn.alias("mapping")) \
+            turns = narrow.filter(alike_all).select(*facts, F.lit(0).alias("attempt"), in_turn.alias("mapping")) \
                 .filter("not exists(mapping, p -> p is null)")
             attempts = attempts.unionByName(turns)
-            choice = narrow.filter(~alike_all).select(*keys, "cands", "a_twin", "e_twin")
+            choice = narrow.filter(~alike_all)
             if not choice.isEmpty():
-                attempts = attempts.unionByName(written(_enumerated(choice, keys)))
-    attempts = attempts.select(*columns)
+                found = written(_enumerated(choice.select(*keys, "cands", "a_twin", "e_twin"), keys))
+                attempts = attempts.unionByName(found.join(choice.select(*facts), keys))
+    # an attempt is loose where a column is equal within the tolerance only
+    attempts = attempts.withColumn("loose", F.expr(
+        "exists(zip_with(mapping, alike, (p, c) -> array_contains(c, p)), hit -> not hit)")).drop("alike")
 
     check = _exact_matches if exact else _hashed_matches
-    matched = check(rows.drop("kinds"), attempts, keys).select(*keys, "attempt")
-    if any_near:
-        matched = written(matched)
-        loose = attempts.join(matched.select(*keys).distinct(), keys, "left_anti") \
-            .join(both.filter("kinds like '%f%'"), keys)
-        matched = matched.unionByName(
-            _tolerant_matches(rows, loose, keys, faithful).select(*keys, "attempt"))
+    if cases.filter("exists(e, x -> x.kind = 'f')").isEmpty():
+        matched = check(rows.drop("kinds"), attempts, keys).select(*keys, "attempt")
+    else:
+        sharp = attempts.filter("not loose")
+        matched = sharp.limit(0).select(*keys, "attempt")
+        if not sharp.isEmpty():
+            matched = written(check(rows.drop("kinds"), sharp, keys).select(*keys, "attempt"))
+        # equal columns may also pair up within the tolerance only
+        rest = attempts.filter("kinds like '%f%'").join(matched.select(*keys).distinct(), keys, "left_anti")
+        if not rest.isEmpty():
+            matched = matched.unionByName(
+                _tolerant_matches(rows, rest.drop("loose"), keys, faithful).select(*keys, "attempt"))
     good = matched.select(*keys).distinct().withColumn("passed", F.lit(True))
     verdicts = both.select(*keys).join(good, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
     return written(verdicts)

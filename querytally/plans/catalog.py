@@ -73,7 +73,7 @@ def question_text(t):
 def quote_rewrite(t):
     return t.pages.select(
         "page_id", F.md5(double_to_single_quotes("html")).alias("digest"),
-        (F.length("html") - F.length(F.translate("html", '"', ""))).alias("changed"))
+        (F.length("html") - F.length(F.translate("html", '"', ""))).cast("long").alias("changed"))
 
 
 @query("message_rows", """
@@ -97,7 +97,7 @@ def message_rows_query(t):
     nested = pairs.groupBy("conv_id", F.floor(c("pair_at") / 500).alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("pair_at", "request", "response"))).alias("messages"))
     return message_rows(nested, ["conv_id", "block"]).select(
-        "conv_id", (c("pair_no") + c("block") * 500).alias("pair_no"), "side_no", "role", "content", "tool_name", "arguments")
+        "conv_id", (c("pair_no") + c("block") * 500).alias("pair_no"), c("side_no").cast("long").alias("side_no"), "role", "content", "tool_name", "arguments")
 
 
 # Declared types to try, as a source schema writes them.

@@ -144,9 +144,8 @@ def question_queries(t):
     SELECT event_id, 'log.' || event_type || ',' || CASE WHEN value > 50 THEN 'spend,' ELSE '' END || 'user_' || (user_id % 10) || ',vip' AS tables,
            'log' AS schema_name, event_type AS table_name FROM events""")
 def ref_tables(t):
-    names = referenced_tables("query")
-    return question_queries(t).select("event_id", F.array_join(F.array_sort(names), ",").alias("tables"),
-                                      F.array_sort(names).getItem(0).alias("first")).select(
+    named = question_queries(t).select("event_id", F.array_sort(referenced_tables("query")).alias("names"))
+    return named.select("event_id", F.array_join("names", ",").alias("tables"), c("names")[0].alias("first")).select(
         "event_id", "tables", split_table_name("first", 0).alias("schema_name"), split_table_name("first", 1).alias("table_name"))
 
 
@@ -167,7 +166,7 @@ def order_results(t, float_total=False, repeat=False):
     names and one column more. They agree where no order is without lines.
     """
     lines = t.lineitem.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("parts"),
+        F.count(F.lit(1)).alias("n"), (F.count_distinct("l_partkey") if repeat else F.lit(0)).alias("parts"),
         F.sum("l_extendedprice").alias("total"), (F.avg("l_extendedprice") * F.count(F.lit(1))).alias("again"))
     full = t.orders.join(lines, c("o_orderkey") == c("l_orderkey"), "left").na.fill(0, ["n", "parts"]).na.fill(0.0, ["total", "again"])
     shipped = full.filter(c("l_orderkey").isNotNull())
@@ -400,7 +399,7 @@ def review_sample(t):
     headers, rows = order_results(t)
     outcome = compare_results(headers, rows, ["c_custkey"]).withColumn(
         "status", F.when(c("passed"), "pass").otherwise("fail"))
-    failed = corpus.review_candidates(outcome, "fail").select(
+    failed = corpus.review_candidates(outcome, "fail").select(  # the verdicts are stored
         "c_custkey", F.concat(F.lit("Orders of "), c("c_custkey")).alias("question"),
         F.lit("inner").alias("expected_query"), F.lit("outer").alias("generated_query"))
     shown = rows.withColumn("cells", F.when(c("side") == ACTUAL, F.array(

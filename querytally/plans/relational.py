@@ -273,8 +273,8 @@ def count_distinct_mix(t):
 
 
 @query("cond_sum_diff", """
-    SELECT o_orderpriority, SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)
-             - SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS diff,
+    SELECT o_orderpriority, CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)
+             - SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS diff,
            ROUND(SUM(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS f_total
     FROM orders GROUP BY o_orderpriority""")
 def cond_sum_diff(t):

@@ -6,6 +6,11 @@ import math
 
 import duckdb
 
+# Spark type names and how DuckDB calls them
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations").split()
@@ -45,3 +50,11 @@ def expected(con, sql):
 
 def actual(df):
     return table_of(df.columns, [tuple(r) for r in df.collect()])
+
+
+def expected_types(con, sql):
+    return {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+
+
+def actual_types(df):
+    return {n: TYPES.get(t, t) for n, t in df.dtypes}

@@ -30,6 +30,9 @@ MORE = [
     # floats inside and outside the tolerance
     (dict(k=["x", "y"], a=[100.0, 2.0]), dict(k=["x", "y"], a=[100.00001, 2.0]), True),
     (dict(k=["x", "y"], a=[100.0, 2.0]), dict(k=["x", "y"], a=[100.1, 2.0]), False),
+    # equal columns whose rows pair up within the tolerance only
+    (dict(k=["x", "y"], a=[1.0, 1.000000001]), dict(k=["x", "y"], a=[1.000000001, 1.0]), True),
+    (dict(k=["x", "y"], a=[1.0, 1.1]), dict(k=["x", "y"], a=[1.1, 1.0]), False),
     # nulls on both sides; counts of duplicates
     (dict(a=[None, 1, 2], b=["p", None, "q"]), dict(a=[2, None, 1], b=["q", "p", None]), True),
     (dict(a=[1, 1, 2]), dict(a=[1, 2, 2]), False),

@@ -3,7 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
-from oracle import actual, connect, expected
+from oracle import actual, actual_types, connect, expected, expected_types
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
@@ -21,6 +21,7 @@ def test_query(spark, con, name):
     if name in ORACLES:
         want_columns, want = expected(con, ORACLES[name])
         assert columns == want_columns
+        assert actual_types(df) == expected_types(con, ORACLES[name])
         assert len(rows) == len(want)
         wrong = [(a, b) for a, b in zip(rows, want) if a != b]
         assert not wrong, wrong[:3]
