@@ -269,6 +269,8 @@ def _hashed_matches(rows: DataFrame, attempts: DataFrame, keys: list) -> DataFra
     line = F.when(
         F.col("side") == ACTUAL, F.transform("mapping", lambda p: F.get("cells", p))
     ).otherwise(F.col("cells"))
+    # a hash skips nulls, so each value goes in together with a flag
+    line = F.transform(line, lambda c: F.struct(c.isNotNull(), c))
     sides = {ACTUAL: [], EXPECTED: []}
     for side, out in sides.items():
         here = F.col("side") == side
