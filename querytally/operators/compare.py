@@ -29,13 +29,6 @@ _SALTS = 8
 _LOW = (1 << 22) - 1
 
 
-def _same(keys, left="l", right="r") -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & (F.col(f"{left}.{k}") == F.col(f"{right}.{k}"))
-    return cond
-
-
 def spread_join(rows: DataFrame, per_case: DataFrame, keys: list) -> DataFrame:
     """Join rows to one record per case without gathering a case in one task.
 
@@ -123,26 +116,20 @@ def _per_case(columns: DataFrame, keys: list) -> DataFrame:
 
 def _verified_pairs(rows: DataFrame, pairs: DataFrame, keys: list) -> DataFrame:
     """Pairs whose sorted values agree position by position."""
-    wanted = pairs.select(
-        *keys, F.explode(F.array(
-            F.struct(F.lit(EXPECTED).alias("side"), F.col("e_pos").alias("pos")),
-            F.struct(F.lit(ACTUAL).alias("side"), F.col("a_pos").alias("pos")),
-        )).alias("c"),
-    ).select(*keys, "c.side", "c.pos").distinct()
-    lists = wanted.groupBy(*keys, "side").agg(F.collect_set("pos").alias("wanted"))
+    lists = pairs.groupBy(*keys).agg(F.collect_list(F.struct("e_pos", "a_pos")).alias("pairs"))
+    expected = F.col("side") == EXPECTED
     values = (
-        spread_join(rows, lists, [*keys, "side"])
-        .select(*keys, "side", "row_id", F.explode(F.transform("wanted", lambda p: F.struct(
-            p.alias("pos"), F.get("cells", p).try_cast("double").alias("v")))).alias("c"))
-        .select(*keys, "side", "row_id", "c.pos", "c.v").filter("v is not null")
+        spread_join(rows, lists, keys)
+        .select(*keys, "side", "row_id", F.explode(F.transform("pairs", lambda p: F.struct(
+            p["e_pos"].alias("e_pos"), p["a_pos"].alias("a_pos"),
+            F.get("cells", F.when(expected, p["e_pos"]).otherwise(p["a_pos"])).try_cast("double").alias("v")))).alias("c"))
+        .select(*keys, "side", "row_id", "c.*").filter("v is not null")
     )
-    ranked = written(number_within(values, [*keys, "side", "pos"], ["v", "row_id"]))
-    e = ranked.filter(F.col("side") == EXPECTED).select(*keys, F.col("pos").alias("e_pos"), "n", F.col("v").alias("ev"))
-    a = ranked.filter(F.col("side") == ACTUAL).select(*keys, F.col("pos").alias("a_pos"), "n", F.col("v").alias("av"))
-    wide_e = e.join(pairs, [*keys, "e_pos"])
+    ranked = number_within(values, [*keys, "e_pos", "a_pos", "side"], ["v", "row_id"])
     off = (
-        wide_e.join(a, [*keys, "a_pos", "n"]).filter(~_within(F.col("ev"), F.col("av")))
-        .select(*keys, "e_pos", "a_pos").distinct()
+        ranked.groupBy(*keys, "e_pos", "a_pos", "n")
+        .agg(F.max(F.when(expected, F.col("v"))).alias("ev"), F.max(F.when(~expected, F.col("v"))).alias("av"))
+        .filter(~_within(F.col("ev"), F.col("av"))).select(*keys, "e_pos", "a_pos").distinct()
     )
     return pairs.join(off, [*keys, "e_pos", "a_pos"], "left_anti")
 

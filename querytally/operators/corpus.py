@@ -63,11 +63,15 @@ def prefix_match(entries: DataFrame, wanted: list[str], faithful=False) -> DataF
 
 def prune_orphans(cases: DataFrame, databases: DataFrame) -> DataFrame:
     """Cases whose (dataset, database) is known."""
-    return cases.join(databases.select("dataset", "database"), ["dataset", "database"], "left_semi")
+    return cases.join(_known(databases), ["dataset", "database"], "left_semi")
 
 
 def orphans(cases: DataFrame, databases: DataFrame) -> DataFrame:
-    return cases.join(databases.select("dataset", "database"), ["dataset", "database"], "left_anti")
+    return cases.join(_known(databases), ["dataset", "database"], "left_anti")
+
+
+def _known(databases: DataFrame) -> DataFrame:
+    return databases.select("dataset", "database").distinct()
 
 
 def append_in_order(*files: DataFrame, order="file_no") -> DataFrame:

@@ -7,6 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ordering import _col
 
 
+def matching(left: DataFrame, right: DataFrame, left_key: str, right_key: str, keep=True) -> DataFrame:
+    """Rows of ``left`` with (``keep``) or without a partner in ``right``.
+
+    The keys of ``right`` are made distinct first: repeats of a hot key combine
+    before the shuffle, which the join then shares.
+    """
+    keys = right.select(F.col(right_key).alias("__key")).filter("__key is not null").distinct()
+    return left.join(keys, F.col(left_key) == F.col("__key"), "left_semi" if keep else "left_anti")
+
+
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of ``left`` where ``left_key NOT IN (SELECT right_key ...)``.
 
@@ -18,8 +28,7 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) ->
     counts = right.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(right_key).alias("known")))
     state = counts.toDF("s")
     n, known = state.select("s.n").scalar(), state.select("s.known").scalar()
-    listed = right.select(F.col(right_key).alias("__listed")).filter("__listed is not null")
-    return left.join(listed, F.col(left_key) == F.col("__listed"), "left_anti").filter(
+    return matching(left, right, left_key, right_key, keep=False).filter(
         (n == 0) | ((n == known) & F.col(left_key).isNotNull())
     )
 

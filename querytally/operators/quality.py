@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .joins import matching
+
 
 def repeated_keys(df: DataFrame, key: list) -> DataFrame:
     """Key values that occur more than once, with their count."""
@@ -12,8 +14,7 @@ def repeated_keys(df: DataFrame, key: list) -> DataFrame:
 
 def dangling_keys(df: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose non-null key has no parent."""
-    known = parent.select(F.col(parent_key).alias("__known"))
-    return df.filter(F.col(key).isNotNull()).join(known, F.col(key) == F.col("__known"), "left_anti")
+    return matching(df.filter(F.col(key).isNotNull()), parent, key, parent_key, keep=False)
 
 
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

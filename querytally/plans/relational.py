@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import count_where, int_div, percent_where, safe_ratio, sum_where
 from ..functions.ordering import pg_asc, pg_desc
 from ..functions.temporal import lap_seconds, seconds_between, year_gap, year_text
-from ..operators.joins import above_average, not_in, share_of_total, top_ranked
+from ..operators.joins import above_average, matching, not_in, share_of_total, top_ranked
 from ..operators.results import with_unique_names
 from .registry import query
 
@@ -113,7 +113,7 @@ def ts_half_open(t):
     WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 AND o_orderpriority = '1-URGENT')""")
 def in_subquery(t):
     big = t.orders.filter((c("o_totalprice") > 400000) & (c("o_orderpriority") == "1-URGENT"))
-    return t.customer.join(big, c("c_custkey") == c("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    return matching(t.customer, big, "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
 @query("not_in_subquery", """
@@ -137,7 +137,7 @@ def not_in_with_nulls(t):
       SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
 def not_exists(t):
     returned = t.lineitem.filter(c("l_returnflag") == "R")
-    return t.orders.join(returned, c("o_orderkey") == c("l_orderkey"), "left_anti").select("o_orderkey")
+    return matching(t.orders, returned, "o_orderkey", "l_orderkey", keep=False).select("o_orderkey")
 
 
 @query("scalar_max", """
@@ -165,8 +165,8 @@ def scalar_plain_lt(t):
 def nested_subqueries(t):
     bound = t.orders.filter(c("o_orderstatus") == "F").agg(F.lit(0.99) * F.max("o_totalprice")).scalar()
     buyers = t.orders.filter(c("o_totalprice") >= bound)
-    nations = t.customer.join(buyers, c("c_custkey") == c("o_custkey"), "left_semi")
-    return t.supplier.join(nations, c("s_nationkey") == c("c_nationkey"), "left_semi").select("s_suppkey", "s_name")
+    nations = matching(t.customer, buyers, "c_custkey", "o_custkey")
+    return matching(t.supplier, nations, "s_nationkey", "c_nationkey").select("s_suppkey", "s_name")
 
 
 @query("argmax_over_join", """
@@ -231,8 +231,8 @@ def neighbour_hops(t):
         .select(c("c_nationkey").alias("a"), c("s_nationkey").alias("b")).distinct())
     reached = t.nation.filter(c("n_name") == "NATION_3").select(c("n_nationkey").alias("at"))
     for _ in range(3):
-        reached = edge.join(reached, c("a") == c("at"), "left_semi").select(c("b").alias("at")).distinct()
-    return reached.select(c("at").alias("nationkey"))
+        reached = matching(edge, reached, "a", "at").select(c("b").alias("at"))
+    return reached.select(c("at").alias("nationkey")).distinct()
 
 
 @query("left_join_avg_of_counts", """
@@ -467,7 +467,7 @@ def union_minmax(t):
 def except_groups(t):
     many = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n")).filter("n > 150")
     hit = t.lineitem.filter((c("l_quantity") == 50) & (c("l_discount") == 0) & (c("l_tax") == 0))
-    return many.select("l_suppkey", "l_returnflag").subtract(hit.select("l_suppkey", "l_returnflag"))
+    return many.select("l_suppkey", "l_returnflag").subtract(hit.select("l_suppkey", "l_returnflag").distinct())
 
 
 @query("distinct_multi", "SELECT DISTINCT p_brand, p_type, p_size FROM part")
