@@ -88,31 +88,36 @@ def renumber(cases: DataFrame, order: list, name="name") -> DataFrame:
     return padded_names(number_rows(cases, order, "n"), "n", name)
 
 
-def exact_objects(objects: DataFrame, wanted: DataFrame, schema="public") -> DataFrame:
+def exact_objects(objects: DataFrame, wanted: DataFrame, schema="public", scope: str | None = None) -> DataFrame:
     """Table objects a case names: ``objects(id, objtype, objnames)`` against
     ``wanted(..., tables)``; one row per (case, object)."""
     named = wanted.withColumn("__t", F.explode(F.array_distinct("tables"))).drop("tables")
     tables = objects.filter(
         (F.col("objtype") == "table") & (F.try_element_at("objnames", F.lit(1)) == schema)
-    ).select("id", F.try_element_at("objnames", F.lit(2)).alias("__t"))
-    return named.join(tables, "__t").drop("__t")
+    )
+    own = [scope] if scope else []
+    tables = tables.select("id", F.try_element_at("objnames", F.lit(2)).alias("__t"), *own)
+    return named.join(tables, ["__t", *own]).drop("__t")
 
 
-def context_objects(mode: str, objects: DataFrame, cases: DataFrame, k=10, dims=576) -> DataFrame:
+def context_objects(mode: str, objects: DataFrame, cases: DataFrame, k=10, dims=576,
+                    scope: str | None = None) -> DataFrame:
     """(case, object) pairs a case is answered with.
 
     'entire_catalog': one row per object, the same for all cases, so no case
     column; 'semantic_search': the ``k`` nearest by ``vector``; 'specific_ids':
-    those named in ``tables``. Cases carry ``query_id``.
+    those named in ``tables``. Cases carry ``query_id``; ``scope`` names the
+    column, such as the database, whose objects a case may see.
     """
     if mode == "entire_catalog":
         return objects.select("id")
+    own = [scope] if scope else []
     if mode == "specific_ids":
-        return exact_objects(objects, cases.select("query_id", "tables"))
+        return exact_objects(objects, cases.select("query_id", "tables", *own), scope=scope).select("query_id", "id")
     if mode != "semantic_search":
         raise ValueError(f"unknown context mode: {mode}")
     near = nearest_objects(
-        cases.select("query_id", "vector"), objects.select(F.col("id").alias("object_id"), "vector"), k, dims)
+        cases.select("query_id", "vector", *own), objects.select(F.col("id").alias("object_id"), "vector", *own), k, dims, scope)
     return near.select("query_id", F.col("object_id").alias("id"), "score", "rank")
 
 

@@ -11,15 +11,14 @@ BLOCK_VALUES = 4_000_000
 
 
 def _unit(vectors) -> np.ndarray:
-    m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     with np.errstate(invalid="ignore", divide="ignore"):
-        return m / norm
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _best(query_ids, queries, object_ids, objects, k) -> pd.DataFrame:
+def _best(query_ids, units, object_ids, vectors, k) -> pd.DataFrame:
     """The k best objects of a block for every query of a block."""
-    scores = _unit(queries) @ _unit(objects).T
+    scores = units @ _unit(vectors).T
     ids = np.asarray(object_ids)
     out = []
     for qid, row in zip(query_ids, scores):
@@ -27,17 +26,20 @@ def _best(query_ids, queries, object_ids, objects, k) -> pd.DataFrame:
         at, row = ids[ok], row[ok]
         if len(row) > k:
             edge = np.partition(row, len(row) - k)[len(row) - k]
-            near = row >= edge - 1e-9  # keep edge ties, the final rank decides
+            near = row >= edge - 1e-8  # ties at the edge stay, the final rank decides
             at, row = at[near], row[near]
         order = np.lexsort((at, -np.round(row, 9)))[:k]
         out.append(pd.DataFrame({"query_id": qid, "object_id": at[order], "score": row[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "object_id": [], "score": []})
+    return pd.concat(out)
 
 
-def nearest_objects(queries: DataFrame, objects: DataFrame, k: int, dims: int,
+def nearest_objects(queries: DataFrame, objects: DataFrame, k: int, dims: int, scope: str | None = None,
                     block_values=BLOCK_VALUES, objects_per_block=100_000) -> DataFrame:
     """Top ``k`` of ``objects(object_id, vector)`` per ``queries(query_id, vector)``.
 
+    ``scope`` names a column of both frames, such as the database: a query
+    then sees the objects of its own scope only.
+
     Tasks score blocks by a matrix product and send on only k rows per query
     and block, never all pairs. Few queries travel to the objects as one
     broadcast block of checked size; beyond it query blocks and object blocks
@@ -47,18 +49,23 @@ def nearest_objects(queries: DataFrame, objects: DataFrame, k: int, dims: int,
     limit = max(1, block_values // dims)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " \
              f"object_id {objects.schema['object_id'].dataType.simpleString()}, score double"
-    known = objects.filter("vector is not null").select("object_id", "vector")
-    asked = queries.filter("vector is not null").select("query_id", "vector")
+    within = F.col(scope).cast("string") if scope else F.lit("")
+    known = objects.filter("vector is not null").select(within.alias("scope"), "object_id", "vector")
+    asked = queries.filter("vector is not null").select(within.alias("scope"), "query_id", "vector")
     head = asked.limit(limit + 1).collect()  # at most one block
     if len(head) <= limit:
-        block = spark.sparkContext.broadcast(
-            ([r["query_id"] for r in head], [list(r["vector"]) for r in head]))
+        blocks = {}
+        for r in head:
+            blocks.setdefault(r["scope"], ([], []))
+            blocks[r["scope"]][0].append(r["query_id"])
+            blocks[r["scope"]][1].append(r["vector"])
+        sent = spark.sparkContext.broadcast({s: (ids, _unit(vs)) for s, (ids, vs) in blocks.items()})
 
         def score(frames):
-            ids, vectors = block.value
             for frame in frames:
-                if len(frame) and ids:
-                    yield _best(ids, vectors, frame["object_id"], frame["vector"], k)
+                for value, part in frame.groupby("scope", sort=False):
+                    if value in sent.value:
+                        yield _best(*sent.value[value], part["object_id"], part["vector"], k)
 
         near = known.mapInPandas(score, schema)
     else:
@@ -80,6 +87,7 @@ def _block_join(asked, known, k, schema, queries_per_block, objects_per_block) -
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": left["query_id"][:0], "object_id": right["object_id"][:0],
                                  "score": pd.Series([], dtype="float64")})
-        return _best(left["query_id"], left["vector"], right["object_id"], right["vector"], k)
+        return _best(left["query_id"], _unit(left["vector"]), right["object_id"], right["vector"], k)
 
-    return q.groupBy("qb", "ob").cogroup(o.groupBy("qb", "ob")).applyInPandas(score, schema)
+    keys = ["scope", "qb", "ob"]
+    return q.groupBy(*keys).cogroup(o.groupBy(*keys)).applyInPandas(score, schema)

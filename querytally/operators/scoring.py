@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import pass_ratio
+from ..functions.text import referenced_tables
+from .compare import table_sets_match
 from .joins import lookup_with_fallback
 from .numbering import number_within
 
@@ -131,6 +133,15 @@ def golden_validation(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("problem", problem).withColumn("flagged", problem.isNotNull())
 
 
+def score_tables(cases: DataFrame, strict=False) -> DataFrame:
+    """Status of table identification: the expected query's tables against
+    the ``predicted`` list of names."""
+    expected = referenced_tables("query")
+    named = cases.withColumn("expected_tables", F.array_sort(expected))
+    hit = table_sets_match(F.col("predicted"), F.col("expected_tables"), strict)
+    return named.withColumn("status", status(hit, F.lit(None)))
+
+
 def first_rows(rows: DataFrame, keys: list, n=10) -> DataFrame:
     """First ``n`` rows of each side of each case, by row id.
 

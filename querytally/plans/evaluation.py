@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.temporal import iso_timestamp
 from ..functions.text import embedding_with_provider, referenced_tables, split_key, split_table_name, with_provider
 from ..operators import corpus, runs, scoring
-from ..operators.compare import compare_results, table_sets_match
+from ..operators.compare import compare_results
 from ..operators.results import ACTUAL, EXPECTED, result_rows
 from ..session import written
 from .registry import query
@@ -154,9 +154,9 @@ def ref_tables(t):
         ['log.' || event_type, 'user_' || (user_id % 9), 'vip'] || CASE WHEN value > 20 THEN ['spend'] ELSE [] END AS a FROM events)
     SELECT event_id, LIST_HAS_ALL(a, e) AS covered, LIST_HAS_ALL(a, e) AND LIST_HAS_ALL(e, a) AS exact FROM s""")
 def table_set_score(t):
-    named = question_queries(t).withColumn("expected", referenced_tables("query"))
-    return named.select("event_id", table_sets_match(c("predicted"), c("expected"), False).alias("covered"),
-                        table_sets_match(c("predicted"), c("expected"), True).alias("exact"))
+    loose, strict = (scoring.score_tables(question_queries(t), strict=x) for x in (False, True))
+    return loose.select("event_id", (c("status") == "pass").alias("covered")).join(
+        strict.select("event_id", (c("status") == "pass").alias("exact")), "event_id")
 
 
 def order_results(t, float_total=False, repeat=False):

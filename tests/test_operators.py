@@ -139,6 +139,16 @@ def test_nearest(spark, values):
         assert abs(s[i, r["object_id"]] - r["score"]) < 1e-9
 
 
+@pytest.mark.parametrize("values", [4_000_000, 8])
+def test_nearest_in_scope(spark, values):
+    o = spark.createDataFrame([(i, ["x", "y"][i % 2], [1.0, float(i)]) for i in range(20)], "object_id int, db string, vector array<float>")
+    q = spark.createDataFrame([(n, db, [1.0, 3.0]) for n, db in ((1, "x"), (2, "y"), (3, "none"))] + [(4, "x", [0.0, 0.0])],
+                              "query_id int, db string, vector array<float>")
+    got = {(r.query_id, r["rank"]): r.object_id for r in
+           nearest_objects(q, o, 2, 2, scope="db", block_values=values, objects_per_block=5).collect()}
+    assert got == {(1, 1): 4, (1, 2): 2, (2, 1): 3, (2, 2): 5}
+
+
 def test_sample_evenly(spark):
     rows = [(d, f"{i:05d}") for d, n in (("a", 173), ("b", 50), ("c", 51), ("d", 7)) for i in range(n)]
     df = spark.createDataFrame(rows, "dataset string, name string").repartition(4)

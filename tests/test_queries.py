@@ -9,6 +9,10 @@ SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
@@ -17,6 +21,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     columns, rows = actual(df)
     if name in ORACLES:
         want_columns, want = expected(con, ORACLES[name])
@@ -31,3 +37,33 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_scans_are_narrow(spark):
+    """Filters and column lists reach the Parquet scan."""
+    plan = plan_of(QUERIES["ts_half_open"](spark, SF))
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01" in plan and "LessThan(o_orderdate,1997-01-01" in plan
+    assert "ReadSchema: struct<o_orderdate:timestamp_ntz,o_orderpriority:string>" in plan
+    plan = plan_of(QUERIES["in_subquery"](spark, SF))
+    assert "EqualTo(o_orderpriority,1-URGENT)" in plan and "GreaterThan(o_totalprice,400000.0)" in plan
+    plan = plan_of(QUERIES["order_offset"](spark, SF))
+    assert "TakeOrderedAndProject" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_row_comparison_spreads_a_case(spark):
+    """Rows of one case are grouped by content, not kept on the case's partition."""
+    from pyspark.sql import functions as F
+    from querytally.operators.compare import _exact_matches
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(10).select(
+            F.lit(1).alias("case"), F.lit("actual").alias("side"), F.col("id").alias("row_id"),
+            F.array(F.col("id").cast("string")).alias("cells"))
+        attempts = spark.range(3).select(F.col("id").cast("int").alias("case"), F.col("id").alias("attempt"), F.array(F.lit(0)).alias("mapping"))
+        plan = plan_of(_exact_matches(rows, attempts, ["case"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    grouping = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "line#" in x]
+    assert grouping and any("__salt" in x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
