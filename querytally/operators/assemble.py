@@ -26,10 +26,11 @@ def column_line(name, data_type, nullable, comment) -> Column:
     return F.concat(F.lit("    "), F.col(name), F.lit(" "), F.col(data_type), F.lit(" "), null, note)
 
 
-def table_texts(columns: DataFrame, table="table_name", order="ordinal", per_piece=1000) -> DataFrame:
+def table_texts(columns: DataFrame, table="table_name", order="ordinal", per_piece=2000) -> DataFrame:
     """Table definitions from a column listing (name, data_type, nullable, comment).
 
-    ``order`` numbers a table's columns from 0 or 1.
+    ``order`` numbers a table's columns from 0 or 1; a piece holds more columns
+    than a PostgreSQL table can have, so its text is whole.
     """
     body = assembled(columns, [table], F.col(order), column_line("column_name", "data_type", F.col("nullable"), "comment"),
                      name="body", per_piece=per_piece)

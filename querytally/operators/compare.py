@@ -220,10 +220,10 @@ def _enumerated(open_cases: DataFrame, keys: list) -> DataFrame:
 
     def spell_out(frames):
         for frame in frames:
-            for rec in frame.itertuples(index=False):
-                head = [getattr(rec, k) for k in keys]
+            for rec in frame.to_dict("records"):
+                head = [rec[k] for k in keys]
                 batch = []
-                found = _assignments([list(c) for c in rec.cands], list(rec.a_twin), list(rec.e_twin))
+                found = _assignments([list(c) for c in rec["cands"]], list(rec["a_twin"]), list(rec["e_twin"]))
                 for i, mapping in enumerate(found):
                     batch.append([*head, i, mapping])
                     if len(batch) == 4096:

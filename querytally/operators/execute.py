@@ -2,60 +2,69 @@
 
 from __future__ import annotations
 
+import itertools
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
+from .compare import compare_results
 from .results import kind_of, result_rows, unique_names, with_unique_names
+from .scoring import scored
 
 HEADER = (
     "dataset string, name string, side string, kinds string, names array<string>, "
     "n_rows long, seconds double, error_class string, error string")
 
+ROWS = "dataset string, name string, side string, row_id long, kinds string, cells array<string>"
 
-def run_cases(cases: DataFrame, side: str, path: str, prepare=None) -> None:
+
+def _run_one(spark, case, side, path):
+    """Write one query's rows; the header fields tell how it went."""
+    start, kinds, names, n_rows, error = time.time(), None, None, None, None
+    try:
+        df = with_unique_names(spark.sql(case["query"].rstrip().rstrip(";")))
+        seen = Observation()
+        rows = result_rows(df, {"dataset": case["dataset"], "name": case["name"]}, side)
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(
+            f"{path}/rows/{side}/{case['dataset']}/{case['name']}")
+        n_rows = seen.get["n"]
+        kinds, names = "".join(kind_of(f.dataType) for f in df.schema.fields), unique_names(df.columns)
+    except Exception as e:  # the query's fault, whatever it is
+        error = e
+    return (case["dataset"], case["name"], side, kinds, names, n_rows, round(time.time() - start, 3),
+            type(error).__name__ if error else None, str(error) if error else None)
+
+
+def run_cases(cases: DataFrame, side: str, path: str, prepare=None, parallel=4) -> None:
     """Execute ``cases(dataset, name, database, query)`` and append the results.
 
-    Every query is a Spark job whose rows go straight to ``{path}/rows``; only
-    the case list passes through the driver. ``prepare(dataset, database)``
-    makes a database's tables visible before its first query. A failing query
-    is recorded by error class and message and the next one runs.
+    Every query is a Spark job whose rows go straight to files under ``path``;
+    only the case list passes through the driver, a database at a time.
+    ``prepare(dataset, database)`` makes a database's tables visible before its
+    queries, of which ``parallel`` run at once. A failing query is recorded by
+    error class and message and the others go on.
     """
     spark = cases.sparkSession
-    ready, found = None, []
-    for case in cases.select("dataset", "name", "database", "query").orderBy("dataset", "database", "name").toLocalIterator():
-        start, kinds, names, n_rows, error = time.time(), None, None, None, None
-        try:
-            if prepare and ready != (case["dataset"], case["database"]):
-                prepare(case["dataset"], case["database"])
-                ready = (case["dataset"], case["database"])
-            start = time.time()
-            df = with_unique_names(spark.sql(case["query"].rstrip().rstrip(";")))
-            kinds, names = "".join(kind_of(f.dataType) for f in df.schema.fields), unique_names(df.columns)
-            seen = Observation()
-            rows = result_rows(df, {"dataset": case["dataset"], "name": case["name"]}, side)
-            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{path}/rows")
-            n_rows = seen.get["n"]
-        except Exception as e:  # the candidate's fault, whatever it is
-            error, kinds, names = e, None, None
-        found.append((case["dataset"], case["name"], side, kinds, names, n_rows, round(time.time() - start, 3),
-                      type(error).__name__ if error else None, str(error) if error else None))
-    spark.createDataFrame(found, HEADER).coalesce(1).write.mode("append").parquet(f"{path}/headers")
+    spark.createDataFrame([], ROWS).write.mode("append").parquet(f"{path}/rows/{side}/none")  # readable if all fail
+    listed = cases.select("dataset", "name", "database", "query").orderBy("dataset", "database", "name").toLocalIterator()
+    for (dataset, database), group in itertools.groupby(listed, key=lambda r: (r["dataset"], r["database"])):
+        if prepare:
+            prepare(dataset, database)
+        with ThreadPoolExecutor(parallel) as pool:
+            found = list(pool.map(lambda case: _run_one(spark, case, side, path), group))
+        spark.createDataFrame(found, HEADER).coalesce(1).write.mode("append").parquet(f"{path}/headers")
 
 
 def read_outcomes(spark, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers, rows) as written; a case that failed has no kinds."""
-    return spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/rows")
+    return spark.read.parquet(f"{path}/headers"), spark.read.option("recursiveFileLookup", True).parquet(f"{path}/rows")
 
 
 def judged(headers: DataFrame, rows: DataFrame, **options) -> DataFrame:
     """Status of every case whose expected query worked."""
-    from .compare import compare_results
-    from .scoring import scored
-
     keys = ["dataset", "name"]
-    worked = headers.filter("error_class is null")
-    verdicts = compare_results(worked, rows, keys, **options)
+    verdicts = compare_results(headers.filter("error_class is null"), rows, keys, **options)
 
     def of(side, column):
         return F.max(F.when(F.col("side") == side, F.col(column)))

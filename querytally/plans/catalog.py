@@ -20,7 +20,7 @@ c = F.col
     WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus, o_orderpriority,
         ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS r FROM orders)
     SELECT table_name, piece, 'CREATE TABLE ' || table_name || CHR(10) || '(' || CHR(10) || body || CHR(10) || ');' || CHR(10) AS ddl FROM (
-      SELECT 'customer_' || o_custkey AS table_name, r // 1000 AS piece, STRING_AGG('    order_' || o_orderkey || ' text '
+      SELECT 'customer_' || o_custkey AS table_name, r // 2000 AS piece, STRING_AGG('    order_' || o_orderkey || ' text '
         || CASE WHEN o_orderstatus = 'O' THEN 'NULL' ELSE 'NOT NULL' END
         || CASE WHEN o_orderstatus <> 'P' THEN ' -- ' || o_orderpriority ELSE '' END, ',' || CHR(10) ORDER BY r) AS body
       FROM s GROUP BY ALL) x""")
