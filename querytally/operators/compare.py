@@ -309,32 +309,14 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
     return attempts.join(off, [*keys, "attempt"], "left_anti")
 
 
-def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
-                    faithful=False, exact=True) -> DataFrame:
-    """``keys..., passed`` for every case with a header on both sides.
+def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool) -> tuple[DataFrame, bool]:
+    """Column assignments to try per case, and whether a case may have several.
 
-    Extra actual columns are allowed, missing ones are not. ``exact=False``
-    trusts 128-bit row fingerprints instead of grouping the rows themselves:
-    no result row is shuffled by content then. ``rows`` is read several times
-    and should be stored; the verdicts are written out.
+    An attempt is ``loose`` where a column is equal within the tolerance only.
     """
-    keys = list(keys)
-    both = headers.groupBy(*keys).agg(
-        F.count_if(F.col("side") == ACTUAL).alias("n_a"), F.count_if(F.col("side") == EXPECTED).alias("n_e"),
-    ).filter("n_a > 0 and n_e > 0").select(*keys)
-    cases = written(
-        _per_case(column_profile(headers, rows, keys), keys)
-        .filter("size(a) >= size(e) and forall(zip_with(alike, near, (c, d) -> size(c) + size(d)), k -> k > 0)"))
-    any_near = not cases.filter("exists(near, c -> size(c) > 0)").isEmpty()
-    if any_near and faithful:
-        pairs = cases.select(*keys, F.posexplode("near").alias("e_pos", "n")).select(*keys, "e_pos", F.explode("n").alias("a_pos"))
-        kept = _verified_pairs(rows, written(pairs), keys).groupBy(*keys).agg(
-            F.collect_list(F.struct("e_pos", "a_pos")).alias("kept"))
-        cases = cases.join(kept, keys, "left").withColumn("near", F.transform("near", lambda c, i: F.filter(
-            c, lambda p: F.coalesce(F.exists("kept", lambda k: (k["e_pos"] == i) & (k["a_pos"] == p)), F.lit(False))))).drop("kept")
     cands = F.zip_with("alike", "near", lambda x, y: F.concat(x, y))
     cases = cases.withColumn("kinds", F.array_join("e.kind", ""))
-    facts = [*keys, "alike", "kinds"]
+    facts, several = [*keys, "alike", "kinds"], False
     if faithful:
         attempts = cases.select(*facts, F.lit(0).alias("attempt"), F.transform(cands, F.array_min).alias("mapping")).filter(
             "size(array_distinct(mapping)) = size(mapping) and not exists(mapping, p -> p is null)")
@@ -350,37 +332,82 @@ def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
                 .filter("forall(cands, c -> size(c) > 0)")
                 .select(*facts, "cands", "near", "a_twin", "e_twin", "e_class"))
             # where all candidates of a column are twins any order is as good
-            alike_all = F.expr("""
+            twins_only = F.expr("""
                 forall(cands, c -> size(array_distinct(transform(c, p -> a_twin[p]))) = 1)
                 and not exists(near, c -> size(c) > 0)""")
             in_turn = F.expr("""transform(cands, (c, i) ->
                 get(c, size(filter(slice(e_class, 1, i), x -> x = e_class[i]))))""")
-            turns = narrow.filter(alike_all).select(*facts, F.lit(0).alias("attempt"), in_turn.alias("mapping")) \
+            turns = narrow.filter(twins_only).select(*facts, F.lit(0).alias("attempt"), in_turn.alias("mapping")) \
                 .filter("not exists(mapping, p -> p is null)")
             attempts = attempts.unionByName(turns)
-            choice = narrow.filter(~alike_all)
+            choice = narrow.filter(~twins_only)
             if not choice.isEmpty():
                 found = written(_enumerated(choice.select(*keys, "cands", "a_twin", "e_twin"), keys))
-                attempts = attempts.unionByName(found.join(choice.select(*facts), keys))
-    # an attempt is loose where a column is equal within the tolerance only
-    attempts = attempts.withColumn("loose", F.expr(
-        "exists(zip_with(mapping, alike, (p, c) -> array_contains(c, p)), hit -> not hit)")).drop("alike")
-
-    check = _exact_matches if exact else _hashed_matches
-    if cases.filter("exists(e, x -> x.kind = 'f')").isEmpty():
-        matched = check(rows.drop("kinds"), attempts, keys).select(*keys, "attempt")
-    else:
-        sharp = attempts.filter("not loose")
-        matched = sharp.limit(0).select(*keys, "attempt")
-        if not sharp.isEmpty():
-            matched = written(check(rows.drop("kinds"), sharp, keys).select(*keys, "attempt"))
-        # equal columns may also pair up within the tolerance only
-        rest = attempts.filter("kinds like '%f%'").join(matched.select(*keys).distinct(), keys, "left_anti")
-        if not rest.isEmpty():
-            matched = matched.unionByName(
-                _tolerant_matches(rows, rest.drop("loose"), keys, faithful).select(*keys, "attempt"))
-    good = matched.select(*keys).distinct().withColumn("passed", F.lit(True))
-    verdicts = both.select(*keys).join(good, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+                attempts, several = attempts.unionByName(found.join(choice.select(*facts), keys)), True
+    loose = F.expr("exists(zip_with(mapping, alike, (p, c) -> array_contains(c, p)), hit -> not hit)")
+    return attempts.withColumn("loose", loose).drop("alike"), several
+
+
+def _settled(rows: DataFrame, attempts: DataFrame, keys: list, faithful: bool, exact: bool,
+             floats: bool, sift=False) -> DataFrame:
+    """Cases with an attempt under which the rows are equal.
+
+    ``sift`` drops most wrong attempts by row fingerprints before any row is
+    grouped by its content.
+    """
+    def equal(tries):
+        if sift and exact:
+            tries = _hashed_matches(rows, tries, keys)
+        return (_exact_matches if exact else _hashed_matches)(rows, tries, keys).select(*keys).distinct()
+
+    rows = rows.drop("kinds")
+    if not floats:
+        return equal(attempts)
+    sharp = attempts.filter("not loose")
+    good = attempts.select(*keys).limit(0)
+    if not sharp.isEmpty():
+        good = written(equal(sharp))
+    # equal columns may also pair up within the tolerance only
+    rest = attempts.filter("kinds like '%f%'").join(good, keys, "left_anti")
+    if not rest.isEmpty():
+        good = good.unionByName(
+            _tolerant_matches(rows, rest.drop("loose"), keys, faithful).select(*keys).distinct())
+    return good
+
+
+def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
+                    faithful=False, exact=True) -> DataFrame:
+    """``keys..., passed`` for every case with a header on both sides.
+
+    Extra actual columns are allowed, missing ones are not. ``exact=False``
+    trusts 128-bit row fingerprints instead of grouping the rows themselves:
+    no result row is shuffled by content then. ``rows`` is read several times
+    and should be stored; the verdicts are written out.
+    """
+    keys = list(keys)
+    both = headers.groupBy(*keys).agg(
+        F.count_if(F.col("side") == ACTUAL).alias("n_a"), F.count_if(F.col("side") == EXPECTED).alias("n_e"),
+    ).filter("n_a > 0 and n_e > 0").select(*keys)
+    cases = written(
+        _per_case(column_profile(headers, rows, keys), keys)
+        .filter("size(a) >= size(e) and forall(zip_with(alike, near, (c, d) -> size(c) + size(d)), k -> k > 0)"))
+    if faithful and not cases.filter("exists(near, c -> size(c) > 0)").isEmpty():
+        pairs = cases.select(*keys, F.posexplode("near").alias("e_pos", "n")).select(*keys, "e_pos", F.explode("n").alias("a_pos"))
+        kept = _verified_pairs(rows, written(pairs), keys).groupBy(*keys).agg(
+            F.collect_list(F.struct("e_pos", "a_pos")).alias("kept"))
+        cases = cases.join(kept, keys, "left").withColumn("near", F.transform("near", lambda c, i: F.filter(
+            c, lambda p: F.coalesce(F.exists("kept", lambda k: (k["e_pos"] == i) & (k["a_pos"] == p)), F.lit(False))))).drop("kept")
+    floats = not cases.filter("exists(e, x -> x.kind = 'f')").isEmpty()
+
+    attempts, several = _attempts(rows, cases, keys, faithful)
+    good = _settled(rows, attempts.filter("attempt = 0") if several else attempts, keys, faithful, exact, floats)
+    if several:
+        good = written(good)
+        others = attempts.filter("attempt > 0").join(good, keys, "left_anti")
+        if not others.isEmpty():
+            good = good.unionByName(_settled(rows, others, keys, faithful, exact, floats, sift=True))
+    good = good.withColumn("passed", F.lit(True))
+    verdicts = both.join(good, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
     return written(verdicts)
 
 
