@@ -125,6 +125,13 @@ def comment_on_table(spark: SparkSession, table: str, text: str) -> None:
     spark.sql(f"COMMENT ON TABLE {table} IS '{quoted}'")
 
 
+def save_described(df: DataFrame, table: str, description: str | None = None) -> None:
+    """Save as a catalog table in full; column comments come with the schema."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(table)
+    if description is not None:
+        comment_on_table(df.sparkSession, table, description)
+
+
 def save_config(spark: SparkSession, path: str, **values: str) -> None:
     """Key / value settings such as the catalog in use; replaces the old ones."""
     spark.createDataFrame(sorted(values.items()), "name string, value string").coalesce(1).write.mode(

@@ -66,18 +66,22 @@ def register_database(spark: SparkSession, directory: str, schema: str | None =
     return names
 
 
-def list_columns(spark: SparkSession, names=None) -> DataFrame:
-    """Columns with comments, ordered by table and position."""
-    schema = "table_schema string, table_name string, ordinal int, column_name string, data_type string, nullable boolean, comment string"
+def list_columns(spark: SparkSession, names=None, schema: str | None = None) -> DataFrame:
+    """Columns with comments, ordered by schema, table and position.
+
+    Reads the session's catalog: temporary views and the tables of ``schema``
+    (default: the current one).
+    """
+    fields = "table_schema string, table_name string, ordinal int, column_name string, data_type string, nullable boolean, comment string"
     rows = []
-    for entry in spark.catalog.listTables():
+    for entry in spark.catalog.listTables(schema):
         if names is not None and entry.name not in names:
             continue
         where = ".".join(f"`{p}`" for p in [*(entry.namespace or []), entry.name])
         for i, field in enumerate(spark.table(where).schema.fields):
             rows.append((".".join(entry.namespace or ["public"]), entry.name, i + 1, field.name,
                          field.dataType.simpleString(), field.nullable, (field.metadata or {}).get("comment")))
-    return spark.createDataFrame(rows, schema).orderBy("table_schema", "table_name", "ordinal")
+    return spark.createDataFrame(rows, fields).orderBy("table_schema", "table_name", "ordinal")
 
 
 def with_defaults(df: DataFrame) -> DataFrame:

@@ -250,6 +250,16 @@ def test_schema_tables_and_types(spark, tmp_path):
     assert databases.spark_type("double precision") == "double"
 
 
+def test_saved_descriptions(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS world")
+    df = catalog.with_comments(spark.createDataFrame([(1, "a")], "ID int, name string"), {"id": "The city's key."})
+    catalog.save_described(df, "world.city", "Cities 'n' towns.")
+    assert spark.catalog.getTable("world.city").description == "Cities 'n' towns."
+    listing = databases.list_columns(spark, ["city"], "world").filter("table_schema = 'world'")
+    assert [(r.ordinal, r.column_name, r.comment) for r in listing.collect()] == [(1, "ID", "The city's key."), (2, "name", None)]
+    spark.sql("DROP DATABASE world CASCADE")
+
+
 def test_context_modes(spark):
     from querytally.operators.corpus import context_objects
 
