@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numeric import int_div
+
 
 def assembled(df: DataFrame, group: list, position: Column, line: Column, separator=",\n",
               name="text", per_piece=1000) -> DataFrame:
@@ -15,7 +17,7 @@ def assembled(df: DataFrame, group: list, position: Column, line: Column, separa
     """
     rows = df.select(*group, position.alias("__at"), line.alias("__line"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__line"))), lambda r: r["__line"])
-    return rows.groupBy(*group, F.floor(F.col("__at") / F.lit(per_piece)).alias("piece")).agg(
+    return rows.groupBy(*group, int_div("__at", F.lit(per_piece)).alias("piece")).agg(
         F.array_join(lines, separator).alias(name))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.numeric import int_div
 from ..functions.text import is_blank, starts_with_any
 from .ordered import CHUNK, carry, chunked, running_sum
 
@@ -57,7 +58,7 @@ def part_numbers(lines: DataFrame, limit=PART_BYTES, chunk_rows=65536) -> DataFr
     for mark in STATEMENT_ENDS:
         ends = ends | F.col("line").endswith(mark)
     placed = carry(placed, ["file"], "line_no", backward={"__stmt_end": F.when(ends, F.col("__end"))})
-    window = F.floor((F.col("__stmt_end") - 1) / F.lit(limit))
+    window = int_div(F.col("__stmt_end") - 1, F.lit(limit))
     placed = placed.withColumn("__window", window)
     # one row per (file, window), numbered per file: file size / limit of them
     windows = placed.groupBy("file", "__window").agg(F.max("__end").alias("__last"))

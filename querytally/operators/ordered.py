@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.numeric import int_div
+
 CHUNK = "__chunk"
 
 
 def chunked(df: DataFrame, order: str, chunk_rows=65536) -> DataFrame:
     """Add the chunk column. Steps over the same chunks share one shuffle."""
-    return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(chunk_rows)))
+    return df.withColumn(CHUNK, int_div(order, F.lit(chunk_rows)))
 
 
 def running_sum(rows: DataFrame, group: list, order: str, value: Column, name: str) -> DataFrame:

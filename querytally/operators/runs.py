@@ -11,7 +11,7 @@ import json
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import pass_ratio
+from ..functions.numeric import int_div, pass_ratio
 from .numbering import number_within
 
 # The usage fields of a summary.
@@ -92,7 +92,7 @@ def run_documents(evals: DataFrame, run: list, per_file=1000) -> DataFrame:
     fields = ["database", "name", "question", "status", "duration", "exception_class", *USAGE]
     placed = number_within(evals.select(*run, "dataset", *fields), [*run, "dataset"], ["name"], "__n", start=0)
     one = F.struct("__n", "dataset", *fields)
-    files = placed.withColumn("piece", F.floor(F.col("__n") / F.lit(per_file))).groupBy(*run, "dataset", "piece").agg(
+    files = placed.withColumn("piece", int_div("__n", F.lit(per_file))).groupBy(*run, "dataset", "piece").agg(
         F.array_sort(F.collect_list(one)).alias("rows"),
         F.count_if(F.col("status") == "pass").alias("passing"), F.count(F.lit(1)).alias("total"),
         F.round(F.sum("duration"), 3).alias("total_duration"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import pass_ratio
+from ..functions.numeric import int_div, pass_ratio
 from ..functions.text import referenced_tables
 from .compare import table_sets_match
 from .joins import lookup_with_fallback
@@ -94,7 +94,7 @@ def name_lists(evals: DataFrame, group: list, name="name", per_piece=1000) -> Da
     pieces as it needs, and no task ever holds more than one piece per row.
     """
     placed = number_within(evals.select(*group, name), group, [name], "__n", start=0)
-    piece = F.floor(F.col("__n") / F.lit(per_piece)).alias("piece")
+    piece = int_div("__n", F.lit(per_piece)).alias("piece")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("__n", name))), lambda r: r[name])
     return placed.groupBy(*group, piece).agg(listed.alias("names"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import int_div
 from ..functions.text import (
     double_to_single_quotes, postgres_type, question_with_evidence, sentence, sql_quoted)
 from ..operators import corpus, dumps, quality
@@ -91,10 +92,10 @@ def message_rows_query(t):
         F.when(c("role") == "assistant", F.lit("answer")).alias("tool_name"),
         F.when(c("role") == "assistant", F.to_json(F.struct(F.length("text").alias("chars")))).alias("arguments"))
     message = F.struct(F.array(part).alias("parts"))
-    pair_no = F.floor(c("turn") / 2)
+    pair_no = int_div("turn", F.lit(2))
     pairs = t.conversations.groupBy("conv_id", pair_no.alias("pair_at")).agg(
         F.max(F.when(c("turn") % 2 == 0, message)).alias("request"), F.max(F.when(c("turn") % 2 == 1, message)).alias("response"))
-    nested = pairs.groupBy("conv_id", F.floor(c("pair_at") / 500).alias("block")).agg(
+    nested = pairs.groupBy("conv_id", int_div("pair_at", F.lit(500)).alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("pair_at", "request", "response"))).alias("messages"))
     return message_rows(nested, ["conv_id", "block"]).select(
         "conv_id", (c("pair_no") + c("block") * 500).alias("pair_no"), c("side_no").cast("long").alias("side_no"), "role", "content", "tool_name", "arguments")
