@@ -6,9 +6,14 @@ from .ordering import _col
 
 
 def seconds_between(start, end) -> Column:
-    """EXTRACT(EPOCH FROM end - start), fractions kept."""
-    micros = F.timestamp_diff("MICROSECOND", _col(start).cast("timestamp"), _col(end).cast("timestamp"))
-    return micros / F.lit(1e6)
+    """EXTRACT(EPOCH FROM end - start), fractions kept.
+
+    The difference of two timestamps of one kind is an exact interval whatever
+    the session's time zone; its fields add up to seconds.
+    """
+    span = _col(end) - _col(start)
+    whole = sum(F.extract(F.lit(unit), span) * size for unit, size in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60)))
+    return (whole + F.extract(F.lit("SECOND"), span)).cast("double")
 
 
 def mean_interval(start, end) -> Column:

@@ -36,6 +36,11 @@ def test_numbers(spark):
 def test_times(spark):
     a, b = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:01:30.5").cast("timestamp")
     assert one(spark, seconds_between(a, b)) == 90.5
+    assert one(spark, seconds_between(b, a)) == -90.5
+    n, m = (F.lit(t).cast("timestamp_ntz") for t in ("2024-03-30 12:00:00", "2024-04-02 13:00:00.25"))
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    assert one(spark, seconds_between(n, m)) == 3 * 86400 + 3600.25
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert one(spark, mean_interval(a, b)) == datetime.timedelta(seconds=90.5)
     assert one(spark, lap_seconds(F.lit("1:27.4"))) == pytest.approx(87.4)
     assert one(spark, lap_seconds(F.lit("+2 laps"))) is None
