@@ -7,7 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numeric import int_div
 
 
-def assembled(df: DataFrame, group: list, position: Column, line: Column, separator=",\n",
+# The layout of a table text.
+TABLE_HEAD, TABLE_OPEN, TABLE_CLOSE = "CREATE TABLE ", "\n(\n", "\n);\n"
+COLUMN_INDENT, COLUMN_NOTE, COLUMN_SEPARATOR = "    ", " -- ", ",\n"
+
+
+def assembled(df: DataFrame, group: list, position: Column, line: Column, separator=COLUMN_SEPARATOR,
               name="text", per_piece=1000) -> DataFrame:
     """Lines of a group joined in order, in numbered pieces of bounded length.
 
@@ -24,8 +29,8 @@ def assembled(df: DataFrame, group: list, position: Column, line: Column, separa
 def column_line(name, data_type, nullable, comment) -> Column:
     """'    name type NOT NULL -- comment' as in a table definition."""
     null = F.when(nullable, F.lit("NULL")).otherwise(F.lit("NOT NULL"))
-    note = F.when(F.col(comment).isNotNull(), F.concat(F.lit(" -- "), F.col(comment))).otherwise(F.lit(""))
-    return F.concat(F.lit("    "), F.col(name), F.lit(" "), F.col(data_type), F.lit(" "), null, note)
+    note = F.when(F.col(comment).isNotNull(), F.concat(F.lit(COLUMN_NOTE), F.col(comment))).otherwise(F.lit(""))
+    return F.concat(F.lit(COLUMN_INDENT), F.col(name), F.lit(" "), F.col(data_type), F.lit(" "), null, note)
 
 
 def table_texts(columns: DataFrame, table="table_name", order="ordinal", per_piece=2000) -> DataFrame:
@@ -37,7 +42,8 @@ def table_texts(columns: DataFrame, table="table_name", order="ordinal", per_pie
     body = assembled(columns, [table], F.col(order), column_line("column_name", "data_type", F.col("nullable"), "comment"),
                      name="body", per_piece=per_piece)
     return body.select(
-        table, "piece", F.concat(F.lit("CREATE TABLE "), F.col(table), F.lit("\n(\n"), F.col("body"), F.lit("\n);\n")).alias("ddl"))
+        table, "piece", F.concat(
+            F.lit(TABLE_HEAD), F.col(table), F.lit(TABLE_OPEN), F.col("body"), F.lit(TABLE_CLOSE)).alias("ddl"))
 
 
 def message_rows(messages: DataFrame, keys: list, column="messages") -> DataFrame:

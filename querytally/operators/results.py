@@ -10,8 +10,6 @@ a result stays one row. An empty result has a header and no rows.
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ACTUAL, EXPECTED = "actual", "expected"
@@ -19,8 +17,8 @@ ACTUAL, EXPECTED = "actual", "expected"
 
 def unique_names(names) -> list[str]:
     """Append ``_{index}`` to every column name that occurs more than once."""
-    seen = Counter(names)
-    return [f"{n}_{i}" if seen[n] > 1 else n for i, n in enumerate(names)]
+    names = list(names)
+    return [f"{n}_{at}" if names.count(n) > 1 else n for at, n in enumerate(names)]
 
 
 def with_unique_names(df: DataFrame) -> DataFrame:

@@ -14,6 +14,10 @@ from .numbering import number_within
 COUNTERS = {"cached_tokens": "cached", "request_tokens": "input", "response_tokens": "output"}
 
 
+# What a flagged expected query is reported with.
+FAILED_QUERY, EMPTY_RESULT = "Failed to execute query: ", "No results"
+
+
 def status(passed, candidate_error) -> Column:
     """'error' when the candidate failed, else by the comparison."""
     return F.when(candidate_error.isNotNull(), F.lit("error")).when(passed, F.lit("pass")).otherwise(F.lit("fail"))
@@ -128,8 +132,8 @@ def golden_validation(outcomes: DataFrame) -> DataFrame:
 
     ``outcomes(dataset, database, name, n_rows, error, ...)``.
     """
-    problem = F.when(F.col("error").isNotNull(), F.concat(F.lit("Failed to execute query: "), F.col("error"))) \
-        .when(F.col("n_rows") == 0, F.lit("No results"))
+    problem = F.when(F.col("error").isNotNull(), F.concat(F.lit(FAILED_QUERY), F.col("error"))) \
+        .when(F.col("n_rows") == 0, F.lit(EMPTY_RESULT))
     return outcomes.withColumn("problem", problem).withColumn("flagged", problem.isNotNull())
 
 

@@ -1,5 +1,6 @@
 """Operators against plain Python on small fixtures, with hot groups."""
 
+import itertools
 import random
 
 import numpy as np
@@ -59,20 +60,23 @@ def test_running_sum_and_carry(hot):
         assert ahead[i] == nxt.get(g)
 
 
-def strip_reference(lines):
-    """The rules said directly: filter, then trim, then collapse."""
-    kept = []
-    for line in lines:
-        if line.startswith(("SELECT", "SET")):
-            continue
-        if line.startswith("--") and (not kept or not kept[-1].strip()):
-            continue
-        kept.append(line)
-    text = [i for i, line in enumerate(kept) if line.strip()]
-    if not text:
-        return []
-    kept = kept[text[0]:text[-1] + 1]
-    return [line for i, line in enumerate(kept) if line.strip() or kept[i - 1].strip()]
+def line_kind(line):
+    return "note" if line.startswith("--") else "blank" if not line.strip() else "text"
+
+
+def strip_expected(lines):
+    """The rules on runs of like lines: a run of notes stays only behind text,
+    a run of blanks shrinks to its first line and stays only between texts."""
+    lines = [x for x in lines if not x.startswith("SELECT") and not x.startswith("SET")]
+    runs = [(kind, list(run)) for kind, run in itertools.groupby(lines, line_kind)]
+    behind = [None, *(kind for kind, _ in runs)]
+    solid = [(kind != "blank", x) for (kind, run), before in zip(runs, behind) if kind != "note" or before == "text" for x in run]
+    blocks = [(full, [x for _, x in block]) for full, block in itertools.groupby(solid, lambda p: p[0])]
+    if blocks and not blocks[0][0]:
+        blocks = blocks[1:]
+    if blocks and not blocks[-1][0]:
+        blocks = blocks[:-1]
+    return [x for full, block in blocks for x in (block if full else block[:1])]
 
 
 @pytest.mark.parametrize("chunk", [3, 1000])
@@ -86,10 +90,10 @@ def test_strip_lines(spark, chunk):
     for r in dumps.strip_lines(df, chunk_rows=chunk).orderBy("file", "line_no").collect():
         got.setdefault(r["file"], []).append(r["line"])
     for f, lines in files.items():
-        assert got.get(f, []) == strip_reference(lines), f
+        assert got.get(f, []) == strip_expected(lines), f
 
 
-def parts_reference(text, limit):
+def parts_expected(text, limit):
     """Cut at the last statement end of each window of the file."""
     if len(text) <= limit:
         return [text]
@@ -113,7 +117,7 @@ def test_part_numbers(spark):
     for r in dumps.part_numbers(df, limit=200, chunk_rows=7).orderBy("file", "line_no").collect():
         got.setdefault(r["file"], {}).setdefault(r["part"], []).append(r["line"] + "\n")
     for f, lines in files.items():
-        want = parts_reference("".join(line + "\n" for line in lines).encode(), 200)
+        want = parts_expected("".join(line + "\n" for line in lines).encode(), 200)
         assert ["".join(got[f][p]).encode() for p in sorted(got[f])] == want, f
         assert sorted(got[f]) == list(range(len(want)))
 
