@@ -51,14 +51,15 @@ def nearest_objects(queries: DataFrame, objects: DataFrame, k: int, dims: int, s
              f"object_id {objects.schema['object_id'].dataType.simpleString()}, score double"
     within = F.col(scope).cast("string") if scope else F.lit("")
     known = objects.filter("vector is not null").select(within.alias("scope"), "object_id", "vector")
-    asked = queries.filter("vector is not null").select(within.alias("scope"), "query_id", "vector")
+    # named apart, as both frames may come from one table
+    asked = queries.filter("vector is not null").select(within.alias("scope"), "query_id", F.col("vector").alias("asked"))
     head = asked.limit(limit + 1).collect()  # at most one block
     if len(head) <= limit:
         blocks = {}
         for r in head:
             blocks.setdefault(r["scope"], ([], []))
             blocks[r["scope"]][0].append(r["query_id"])
-            blocks[r["scope"]][1].append(r["vector"])
+            blocks[r["scope"]][1].append(r["asked"])
         sent = spark.sparkContext.broadcast({s: (ids, _unit(vs)) for s, (ids, vs) in blocks.items()})
 
         def score(frames):
@@ -87,7 +88,7 @@ def _block_join(asked, known, k, schema, queries_per_block, objects_per_block) -
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": left["query_id"][:0], "object_id": right["object_id"][:0],
                                  "score": pd.Series([], dtype="float64")})
-        return _best(left["query_id"], _unit(left["vector"]), right["object_id"], right["vector"], k)
+        return _best(left["query_id"], _unit(left["asked"]), right["object_id"], right["vector"], k)
 
     keys = ["scope", "qb", "ob"]
     return q.groupBy(*keys).cogroup(o.groupBy(*keys)).applyInPandas(score, schema)
