@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import quality_rules
 from .bpe import encoding_digests
 from .registry import query
 from .token_counts import token_counts
@@ -22,3 +23,8 @@ def op5(spark, directory):
 def op8(spark, directory):
     counts = token_counts(table(spark, directory, "documents"), TOKENIZER)
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op10_quality_rules", quality_rules.ORACLE)
+def op10(spark, directory):
+    return quality_rules.quality_verdicts(table(spark, directory, "documents"), table(spark, directory, "labels"))
