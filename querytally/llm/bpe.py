@@ -76,6 +76,9 @@ class ByteBpe:
             self.bytes_of[i] = token.encode()
         self._pieces: dict[str, bytes] = {}  # ids of a piece and the space before it
 
+    def ids_follow_merges(self):
+        return sorted(self.first.tolist()) == list(range(256)) and bool((self._merged == 256 + np.arange(len(self._merged))).all())
+
     def _fill(self, rank_of):
         """A table with one place a hash value; pairs that find theirs taken are kept sorted."""
         self._shift = np.uint64(64 - max(16, (8 * len(rank_of)).bit_length()))

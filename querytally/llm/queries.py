@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import quality_rules
 from .bpe import encoding_digests
+from .packing import packed_documents
 from .registry import query
 from .token_counts import token_counts
 
@@ -28,3 +29,8 @@ def op8(spark, directory):
 @query("op10_quality_rules", quality_rules.ORACLE)
 def op10(spark, directory):
     return quality_rules.quality_verdicts(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op2_vector_packing")
+def op2(spark, directory):
+    return packed_documents(table(spark, directory, "documents"), TOKENIZER)
