@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import quality_rules
 from .bpe import encoding_digests
+from .languages import identified
 from .packing import packed_documents
 from .registry import query
 from .token_counts import token_counts
@@ -34,3 +35,8 @@ def op10(spark, directory):
 @query("op2_vector_packing")
 def op2(spark, directory):
     return packed_documents(table(spark, directory, "documents"), TOKENIZER)
+
+
+@query("op1_language_mixture")
+def op1(spark, directory):
+    return identified(table(spark, directory, "documents"))
