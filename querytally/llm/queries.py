@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import quality_rules
+from . import link_graph, quality_rules
 from .bpe import encoding_digests
 from .languages import identified
 from .packing import packed_documents
@@ -40,3 +40,8 @@ def op2(spark, directory):
 @query("op1_language_mixture")
 def op1(spark, directory):
     return identified(table(spark, directory, "documents"))
+
+
+@query("op3_link_graph", link_graph.ORACLE)
+def op3(spark, directory):
+    return link_graph.judged(spark, table(spark, directory, "pages"))
