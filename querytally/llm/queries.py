@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import link_graph, quality_rules
 from .bpe import encoding_digests
+from .fingerprints import edited_fingerprints
 from .languages import identified
 from .packing import packed_documents
 from .registry import query
@@ -45,3 +46,8 @@ def op1(spark, directory):
 @query("op3_link_graph", link_graph.ORACLE)
 def op3(spark, directory):
     return link_graph.judged(spark, table(spark, directory, "pages"))
+
+
+@query("op6_one_permutation")
+def op6(spark, directory):
+    return edited_fingerprints(table(spark, directory, "documents"))
