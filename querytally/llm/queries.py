@@ -10,6 +10,7 @@ from . import link_graph, quality_rules
 from .bpe import encoding_digests
 from .fingerprints import edited_fingerprints
 from .languages import identified
+from .near_duplicates import near_duplicates
 from .packing import packed_documents
 from .registry import query
 from .token_counts import token_counts
@@ -51,3 +52,8 @@ def op3(spark, directory):
 @query("op6_one_permutation")
 def op6(spark, directory):
     return edited_fingerprints(table(spark, directory, "documents"))
+
+
+@query("op4_minhash_components")
+def op4(spark, directory):
+    return near_duplicates(table(spark, directory, "documents"), shingle=3, percent=85)
