@@ -99,6 +99,26 @@ def lowered(data):
     return table[data]
 
 
+def trigrams(texts, table, bits, skip=None):
+    """Buckets of each text's byte trigrams in order, and the offset of each text in them.
+
+    Bytes are first replaced by ``table``; a text counts with a space before and after it.
+    """
+    data = table[np.frombuffer(b"".join([b" " + t + b" " for t in texts]), np.uint8)].astype(np.uint32)
+    edges = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts], dtype=np.int64)])
+    if len(data) < 3:
+        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    code = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
+    use = np.ones(len(code), bool) if skip is None else code != skip
+    inner = edges[1:-1]
+    use[inner - 1] = False  # these reach into the next text
+    use[inner - 2] = False
+    places = np.flatnonzero(use)
+    with np.errstate(over="ignore"):
+        buckets = (code[places] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    return buckets.astype(np.int64), np.searchsorted(places, edges)
+
+
 def words(data, offsets):
     """Starts and ends of the words, and each text's first word number."""
     inside = _word_bytes()[data]

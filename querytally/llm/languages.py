@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .grams import byte_slices
+from .grams import byte_slices, trigrams
 
 BITS = 14
 TRAINING_ROWS = 100_000  # labelled rows a model is fitted on, chosen by a hash of their id
@@ -35,23 +35,8 @@ def _folded():
 
 
 def _trigrams(texts):
-    """Buckets of each text's trigrams in order, and the offset of each text in them.
-
-    A text counts with a space before and after it; trigrams of spaces only are left out.
-    """
-    data = _folded()[np.frombuffer(b"".join([b" " + t + b" " for t in texts]), np.uint8)].astype(np.uint32)
-    edges = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    code = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
-    use = code != 0x202020
-    inner = edges[1:-1]
-    use[inner - 1] = False  # these reach into the next text
-    use[inner - 2] = False
-    places = np.flatnonzero(use)
-    with np.errstate(over="ignore"):
-        buckets = (code[places] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    return buckets.astype(np.int64), np.searchsorted(places, edges)
+    """Buckets of each text's trigrams; those of spaces only are left out."""
+    return trigrams(texts, _folded(), BITS, skip=0x202020)
 
 
 def _texts(column):

@@ -9,6 +9,7 @@ from ..session import table
 from . import link_graph, quality_rules
 from .bpe import encoding_digests
 from .fingerprints import edited_fingerprints
+from .importance import resampled
 from .languages import identified
 from .near_duplicates import near_duplicates
 from .packing import packed_documents
@@ -57,3 +58,8 @@ def op6(spark, directory):
 @query("op4_minhash_components")
 def op4(spark, directory):
     return near_duplicates(table(spark, directory, "documents"), shingle=3, percent=85)
+
+
+@query("op7_importance_resampling")
+def op7(spark, directory):
+    return resampled(table(spark, directory, "documents"), table(spark, directory, "labels"))
