@@ -14,6 +14,7 @@ from .languages import identified
 from .near_duplicates import near_duplicates
 from .packing import packed_documents
 from .registry import query
+from .repeats import removal_digests
 from .token_counts import token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,3 +64,8 @@ def op4(spark, directory):
 @query("op7_importance_resampling")
 def op7(spark, directory):
     return resampled(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op9_repeated_suffixes")
+def op9(spark, directory):
+    return removal_digests(table(spark, directory, "documents"))
