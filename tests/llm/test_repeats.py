@@ -13,17 +13,18 @@ from querytally.session import written
 SF = "/root/testdata/sf0.01"
 
 
-def brute(rows, length):
-    """(id, bytes, removed, runs, kept) by counting every window of every text."""
+def brute_parts(rows, length):
+    """(id, bytes, merged ranges, remaining parts) by counting every window of every text."""
     raws = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(r[p:p + length] for _, r in raws for p in range(len(r) - length + 1))
-    out = []
     for i, r in raws:
         spans = merged_spans((p, p + length) for p in range(len(r) - length + 1) if seen[r[p:p + length]] > 1)
-        kept, at = b"", 0
-        for s, e in spans:
-            kept, at = kept + r[at:s], e
-        out.append((i, len(r), sum(e - s for s, e in spans), len(spans), kept + r[at:]))
+        edges = [0, *(x for s in spans for x in s), len(r)]
+        yield i, len(r), spans, [r[a:b] for a, b in zip(edges[::2], edges[1::2])]
+
+
+def brute(rows, length):
+    out = [(i, n, sum(e - s for s, e in spans), len(spans), b"".join(parts)) for i, n, spans, parts in brute_parts(rows, length)]
     return sorted(out, key=lambda x: (x[0] is not None, x))
 
 
