@@ -36,14 +36,17 @@ def column_line(name, data_type, nullable, comment) -> Column:
 def table_texts(columns: DataFrame, table="table_name", order="ordinal", per_piece=2000) -> DataFrame:
     """Table definitions from a column listing (name, data_type, nullable, comment).
 
-    ``order`` numbers a table's columns from 0 or 1; a piece holds more columns
-    than a PostgreSQL table can have, so its text is whole.
+    ``order`` numbers a table's columns, from any start and with any gaps. A
+    table with columns in several pieces has its head in the first, its close in
+    the last and separators between them: the pieces joined in order are one text.
     """
     body = assembled(columns, [table], F.col(order), column_line("column_name", "data_type", F.col("nullable"), "comment"),
                      name="body", per_piece=per_piece)
-    return body.select(
-        table, "piece", F.concat(
-            F.lit(TABLE_HEAD), F.col(table), F.lit(TABLE_OPEN), F.col("body"), F.lit(TABLE_CLOSE)).alias("ddl"))
+    ends = columns.groupBy(F.col(table).alias("__table")).agg(
+        int_div(F.min(order), F.lit(per_piece)).alias("__first"), int_div(F.max(order), F.lit(per_piece)).alias("__last"))
+    head = F.when(F.col("piece") == F.col("__first"), F.concat(F.lit(TABLE_HEAD), F.col(table), F.lit(TABLE_OPEN))).otherwise(F.lit(""))
+    close = F.when(F.col("piece") == F.col("__last"), F.lit(TABLE_CLOSE)).otherwise(F.lit(COLUMN_SEPARATOR))
+    return body.join(ends, F.col(table) == F.col("__table")).select(table, "piece", F.concat(head, "body", close).alias("ddl"))
 
 
 def message_rows(messages: DataFrame, keys: list, column="messages") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import time
+import traceback
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, functions as F
@@ -14,51 +15,56 @@ from .scoring import scored
 
 HEADER = (
     "dataset string, name string, side string, kinds string, names array<string>, "
-    "n_rows long, seconds double, error_class string, error string")
+    "n_rows long, seconds double, error_class string, error string, trace string")
 
 ROWS = "dataset string, name string, side string, row_id long, kinds string, cells array<string>"
 
 
 def _run_one(spark, case, side, path):
-    """Write one query's rows; the header fields tell how it went."""
+    """Write one query's rows and header, each in place of an earlier run's; the header tells how it went."""
     start, kinds, names, n_rows, error = time.time(), None, None, None, None
+    place = f"{side}/{case['dataset']}/{case['name']}"
     try:
         df = with_unique_names(spark.sql(case["query"].rstrip().rstrip(";")))
         seen = Observation()
         rows = result_rows(df, {"dataset": case["dataset"], "name": case["name"]}, side)
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(
-            f"{path}/rows/{side}/{case['dataset']}/{case['name']}")
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/rows/{place}")
         n_rows = seen.get["n"]
         kinds, names = "".join(kind_of(f.dataType) for f in df.schema.fields), unique_names(df.columns)
     except Exception as e:  # the query's fault, whatever it is
         error = e
-    return (case["dataset"], case["name"], side, kinds, names, n_rows, round(time.time() - start, 3),
-            type(error).__name__ if error else None, str(error) if error else None)
+    if error is not None:
+        spark.createDataFrame([], ROWS).write.mode("overwrite").parquet(f"{path}/rows/{place}")
+    header = (
+        case["dataset"], case["name"], side, kinds, names, n_rows, round(time.time() - start, 3),
+        type(error).__name__ if error else None, str(error) if error else None,
+        "".join(traceback.format_exception(error)) if error else None)
+    spark.createDataFrame([header], HEADER).coalesce(1).write.mode("overwrite").parquet(f"{path}/headers/{place}")
 
 
 def run_cases(cases: DataFrame, side: str, path: str, prepare=None, parallel=4) -> None:
-    """Execute ``cases(dataset, name, database, query)`` and append the results.
+    """Execute ``cases(dataset, name, database, query)`` and store the results.
 
-    Every query is a Spark job whose rows go straight to files under ``path``;
-    only the case list passes through the driver, a database at a time.
+    Every query is a Spark job whose rows go straight to files under ``path``, in
+    a folder of the case and side: a case that runs again replaces its result.
+    The case list streams through the driver, ``parallel`` cases at a time.
     ``prepare(dataset, database)`` makes a database's tables visible before its
-    queries, of which ``parallel`` run at once. A failing query is recorded by
-    error class and message and the others go on.
+    queries. A failing query is recorded by error class, message and trace, and the others go on.
     """
     spark = cases.sparkSession
-    spark.createDataFrame([], ROWS).write.mode("append").parquet(f"{path}/rows/{side}/none")  # readable if all fail
     listed = cases.select("dataset", "name", "database", "query").orderBy("dataset", "database", "name").toLocalIterator()
     for (dataset, database), group in itertools.groupby(listed, key=lambda r: (r["dataset"], r["database"])):
         if prepare:
             prepare(dataset, database)
         with ThreadPoolExecutor(parallel) as pool:
-            found = list(pool.map(lambda case: _run_one(spark, case, side, path), group))
-        spark.createDataFrame(found, HEADER).coalesce(1).write.mode("append").parquet(f"{path}/headers")
+            for batch in iter(lambda: list(itertools.islice(group, parallel)), []):
+                list(pool.map(lambda case: _run_one(spark, case, side, path), batch))
 
 
 def read_outcomes(spark, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers, rows) as written; a case that failed has no kinds."""
-    return spark.read.parquet(f"{path}/headers"), spark.read.option("recursiveFileLookup", True).parquet(f"{path}/rows")
+    reader = spark.read.option("recursiveFileLookup", True)
+    return reader.schema(HEADER).parquet(f"{path}/headers"), reader.schema(ROWS).parquet(f"{path}/rows")
 
 
 def judged(headers: DataFrame, rows: DataFrame, **options) -> DataFrame:
@@ -71,6 +77,6 @@ def judged(headers: DataFrame, rows: DataFrame, **options) -> DataFrame:
 
     ends = headers.groupBy(*keys).agg(
         of("expected", "error_class").alias("golden_error"), of("actual", "error_class").alias("exception_class"),
-        of("actual", "error").alias("exception"), of("actual", "seconds").alias("duration"))
+        of("actual", "error").alias("exception"), of("actual", "trace").alias("trace"), of("actual", "seconds").alias("duration"))
     outcome = ends.join(verdicts, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
     return scored(outcome.withColumn("candidate_error", F.col("exception_class"))).drop("candidate_error")

@@ -59,8 +59,12 @@ def lookup_with_fallback(rows: DataFrame, entries: DataFrame, first: Column, sec
                          entry_key: str, values: list) -> DataFrame:
     """Entry values by the first key, else by the second, else null.
 
-    ``entries`` has one row per key. Both joins carry only key and values.
+    Of several entries with one key the greatest by its values counts. Both
+    joins carry only key and values.
     """
+    entries = entries.groupBy(_col(entry_key).alias("__entry")).agg(F.max(F.struct(*values)).alias("__v")).select("__entry", "__v.*")
+    entry_key = "__entry"
+
     def side(tag):
         return entries.select(_col(entry_key).alias(f"__{tag}"), F.lit(True).alias(f"__{tag}_hit"),
                               *[F.col(v).alias(f"__{tag}_{v}") for v in values])

@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-# A broadcast query block stays below this many numbers (8 bytes each).
+from ..session import written
+
+# A query block stays below this many numbers (8 bytes each).
 BLOCK_VALUES = 4_000_000
 
 
@@ -33,56 +35,45 @@ def _best(query_ids, units, object_ids, vectors, k) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def nearest_objects(queries: DataFrame, objects: DataFrame, k: int, dims: int, scope: str | None = None,
+def nearest_objects(queries: DataFrame, objects: DataFrame, k: int, dims: int | None = None, scope: str | None = None,
                     block_values=BLOCK_VALUES, objects_per_block=100_000) -> DataFrame:
     """Top ``k`` of ``objects(object_id, vector)`` per ``queries(query_id, vector)``.
 
     ``scope`` names a column of both frames, such as the database: a query
-    then sees the objects of its own scope only.
+    then sees the objects of its own scope only, and a null scope is a scope
+    like any other. Rows without a vector are left out. ``dims``, if given, is checked
+    against the vectors, which must all be of one length in a scope.
 
-    Tasks score blocks by a matrix product and send on only k rows per query
-    and block, never all pairs. Few queries travel to the objects as one
-    broadcast block of checked size; beyond it query blocks and object blocks
-    meet in a grouped join.
+    There is one route at any size: the queries and the objects of each scope
+    are dealt into blocks of bounded size, block meets block in a grouped join
+    and is scored by a matrix product, and every pair of blocks sends on k rows per query.
     """
-    spark = queries.sparkSession
-    limit = max(1, block_values // dims)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " \
              f"object_id {objects.schema['object_id'].dataType.simpleString()}, score double"
-    within = F.col(scope).cast("string") if scope else F.lit("")
+    within = F.coalesce(F.concat(F.lit("="), F.col(scope).cast("string")), F.lit("null")) if scope else F.lit("")
     known = objects.filter("vector is not null").select(within.alias("scope"), "object_id", "vector")
     # named apart, as both frames may come from one table
     asked = queries.filter("vector is not null").select(within.alias("scope"), "query_id", F.col("vector").alias("asked"))
-    head = asked.limit(limit + 1).collect()  # at most one block
-    if len(head) <= limit:
-        blocks = {}
-        for r in head:
-            blocks.setdefault(r["scope"], ([], []))
-            blocks[r["scope"]][0].append(r["query_id"])
-            blocks[r["scope"]][1].append(r["asked"])
-        sent = spark.sparkContext.broadcast({s: (ids, _unit(vs)) for s, (ids, vs) in blocks.items()})
-
-        def score(frames):
-            for frame in frames:
-                for value, part in frame.groupby("scope", sort=False):
-                    if value in sent.value:
-                        yield _best(*sent.value[value], part["object_id"], part["vector"], k)
-
-        near = known.mapInPandas(score, schema)
-    else:
-        near = _block_join(asked, known, k, schema, limit, objects_per_block)
-    ranked = F.row_number().over(
-        W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("object_id").asc()))
-    return near.withColumn("rank", ranked).filter(F.col("rank") <= k)
-
-
-def _block_join(asked, known, k, schema, queries_per_block, objects_per_block) -> DataFrame:
-    q_blocks = -(-asked.count() // queries_per_block)
-    o_blocks = -(-known.count() // objects_per_block) or 1
-    q = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))) \
-        .withColumn("ob", F.explode(F.expr(f"sequence(0L, {o_blocks - 1}L)")))
-    o = known.withColumn("ob", F.pmod(F.xxhash64("object_id"), F.lit(o_blocks))) \
-        .withColumn("qb", F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")))
+    width = F.greatest("width", "known_width")
+    wrong = (F.col("width") != F.col("narrow")) | (F.col("width") != F.col("known_width")) | (F.col("width") != F.col("known_narrow"))
+    if dims is not None:
+        wrong = wrong | (F.col("width") != dims)
+    sizes = asked.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("asked")).alias("width"), F.min(F.size("asked")).alias("narrow")).join(
+        known.groupBy("scope").agg(F.count(F.lit(1)).alias("m"), F.max(F.size("vector")).alias("known_width"), F.min(F.size("vector")).alias("known_narrow")), "scope")
+    per_block = F.greatest(F.lit(1), F.floor(F.lit(block_values) / width))
+    blocks = sizes.select(
+        F.col("scope").alias("s"), F.when(wrong, F.raise_error(F.lit("vectors of several lengths")).cast("long"))
+        .otherwise(F.ceil(F.col("n") / per_block)).alias("q_blocks"), F.ceil(F.col("m") / F.lit(objects_per_block)).alias("o_blocks"))
+    blocks = written(blocks)
+    one = blocks.first() if scope is None else None  # all rows are one scope: no join is needed to tell its blocks
+
+    def dealt(rows, key, own, own_blocks, other, other_blocks):
+        if scope is None:
+            sized = rows.withColumns({n: F.lit(one[n] if one else 0) for n in ("q_blocks", "o_blocks")})
+        else:
+            sized = rows.join(blocks, F.col("scope") == F.col("s"))
+        return sized.filter("q_blocks > 0").withColumn(own, F.pmod(F.xxhash64(key), F.col(own_blocks))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1))).drop("s", "q_blocks", "o_blocks")
 
     def score(left, right):
         if left.empty or right.empty:
@@ -91,4 +82,8 @@ def _block_join(asked, known, k, schema, queries_per_block, objects_per_block) -
         return _best(left["query_id"], _unit(left["asked"]), right["object_id"], right["vector"], k)
 
     keys = ["scope", "qb", "ob"]
-    return q.groupBy(*keys).cogroup(o.groupBy(*keys)).applyInPandas(score, schema)
+    near = dealt(asked, "query_id", "qb", "q_blocks", "ob", "o_blocks").groupBy(*keys).cogroup(
+        dealt(known, "object_id", "ob", "o_blocks", "qb", "q_blocks").groupBy(*keys)).applyInPandas(score, schema)
+    ranked = F.row_number().over(
+        W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("object_id").asc()))
+    return near.withColumn("rank", ranked).filter(F.col("rank") <= k)

@@ -156,12 +156,20 @@ def first_rows(rows: DataFrame, keys: list, n=10) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def review_sample(cases: DataFrame, rows: DataFrame, keys: list, n=10) -> DataFrame:
-    """One review text per case: question, both queries, first rows of each."""
-    shown = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " | ")
+def review_sample(cases: DataFrame, rows: DataFrame, keys: list, n=10, headers: DataFrame | None = None) -> DataFrame:
+    """One review text per case: question, both queries, first rows of each.
+
+    With ``headers`` (keys, side, names) the rows come under their column headings.
+    """
+    def shown(cells):
+        return F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " | ")
+
     # ranked first: a join on the case keys would gather a large result's rows
-    heads = first_rows(rows, keys, n).join(cases.select(*keys), keys, "left_semi")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", shown.alias("line")))), lambda r: r["line"])
+    heads = first_rows(rows, keys, n).join(cases.select(*keys), keys, "left_semi").select(*keys, "side", "rank", shown("cells").alias("line"))
+    if headers is not None:
+        named = headers.join(cases.select(*keys), keys, "left_semi").filter("names IS NOT NULL")
+        heads = heads.unionByName(named.select(*keys, "side", F.lit(0).alias("rank"), shown("names").alias("line")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda r: r["line"])
     tables = heads.groupBy(*keys, "side").agg(F.array_join(lines, "\n").alias("t"))
     both = tables.groupBy(*keys).agg(
         F.max(F.when(F.col("side") == "expected", F.col("t"))).alias("expected_rows"),
@@ -179,12 +187,18 @@ def review_sample(cases: DataFrame, rows: DataFrame, keys: list, n=10) -> DataFr
 
 
 def case_record(cases: DataFrame, comparison: DataFrame, keys: list) -> DataFrame:
-    """The full record of a case: status and a nested ``details`` struct."""
+    """The full record of a case: status and a nested ``details`` struct.
+
+    A case with an ``exception_class`` has status 'error' and carries class,
+    message and trace; one without error and comparison has no status yet.
+    """
     joined = cases.join(comparison.withColumnRenamed("passed", "__passed"), keys, "left")
-    optional = [c for c in ("gold_tables", "llm_judge", "llm_explanation", "messages") if c in cases.columns]
+    failure = [c for c in ("exception_class", "exception", "trace") if c in cases.columns]
+    optional = [c for c in ("gold_tables", "llm_judge", "llm_explanation", "messages") if c in cases.columns] + failure
+    error = F.col("exception_class") if "exception_class" in cases.columns else F.lit(None)
     usage = F.struct(*[c for k in COUNTERS for c in (k, f"{k}_cost")])
     return joined.select(
         *keys, "question", "duration",
-        F.when(F.col("__passed"), F.lit("pass")).otherwise(F.lit("fail")).alias("status"),
+        F.when(error.isNotNull() | F.col("__passed").isNotNull(), status(F.col("__passed"), error)).alias("status"),
         F.struct("generated_query", "expected_query", "duration", usage.alias("usage"), *optional).alias("details"),
     )

@@ -36,6 +36,21 @@ def table_text(t):
     return table_texts(columns)
 
 
+@query("whole_table_text", """
+    SELECT 'p' || (l_suppkey % 2) AS table_name, MD5('CREATE TABLE p' || (l_suppkey % 2) || CHR(10) || '(' || CHR(10) || STRING_AGG(
+        '    c' || n || ' text NULL', ',' || CHR(10) ORDER BY n) || CHR(10) || ');' || CHR(10)) AS digest
+    FROM (SELECT l_suppkey, ROW_NUMBER() OVER (PARTITION BY l_suppkey % 2 ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem) s
+    GROUP BY l_suppkey % 2""")
+def whole_table_text(t):
+    """Two tables with more columns than a piece holds: the joined pieces are one definition."""
+    rows = t.lineitem.select((c("l_suppkey") % 2).alias("g"), "l_orderkey", "l_linenumber", "l_suppkey")
+    columns = number_within(rows, ["g"], ["l_orderkey", "l_linenumber", "l_suppkey"], "ordinal", start=1).select(
+        F.concat(F.lit("p"), "g").alias("table_name"), "ordinal", F.concat(F.lit("c"), "ordinal").alias("column_name"),
+        F.lit("text").alias("data_type"), F.lit(True).alias("nullable"), F.lit(None).cast("string").alias("comment"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("piece", "ddl"))), lambda p: p["ddl"])
+    return table_texts(columns).groupBy("table_name").agg(F.md5(F.array_join(pieces, "")).alias("digest"))
+
+
 @query("conversation_text", """
     SELECT conv_id, turn // 1000 AS piece, STRING_AGG(role || ': ' || text, CHR(10) ORDER BY turn) AS text
     FROM conversations GROUP BY ALL""")
@@ -191,6 +206,20 @@ def nearest_objects_query(t):
         "query_id", "object_id", F.round("score", 6).alias("score"), c("rank").cast("long").alias("rank"))
 
 
+@query("nearest_scoped", """
+    WITH v AS (SELECT vec_id, CASE WHEN label % 3 <> 0 THEN label END AS scope, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, o.vec_id AS object_id, LIST_COSINE_SIMILARITY(q.e, o.e) AS score
+          FROM v q JOIN v o ON q.scope IS NOT DISTINCT FROM o.scope WHERE q.vec_id % 50 = 0),
+    k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, object_id) AS rank FROM s)
+    SELECT query_id, object_id, ROUND(score, 6) AS score, rank FROM k WHERE rank <= 3""")
+def nearest_scoped(t):
+    """Every fiftieth vector against all of its label; a third of the labels is null."""
+    vectors = t.embeddings.select("vec_id", F.when(c("label") % 3 != 0, c("label")).alias("scope"), c("embedding").alias("vector"))
+    asked = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return nearest_objects(asked, vectors.withColumnRenamed("vec_id", "object_id"), k=3, scope="scope").select(
+        "query_id", "object_id", F.round("score", 6).alias("score"), c("rank").cast("long").alias("rank"))
+
+
 @query("exact_context", """
     SELECT p_partkey AS id, COUNT(*) AS cases FROM (
       SELECT UNNEST(LIST_DISTINCT([l_partkey, l_suppkey])) AS k FROM lineitem) l JOIN part ON p_partkey = k

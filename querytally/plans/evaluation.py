@@ -388,8 +388,8 @@ REVIEW_SQL = """
     ex AS (SELECT o_custkey, STRING_AGG(o_orderkey || ' | ' || n || ' | ' || o_orderpriority, CHR(10) ORDER BY r) AS x FROM e WHERE r <= 10 GROUP BY 1),
     ax AS (SELECT o_custkey, STRING_AGG(o_orderpriority || ' | ' || n || ' | ' || o_orderkey, CHR(10) ORDER BY r) AS x FROM a WHERE r <= 10 GROUP BY 1)
     SELECT b.o_custkey AS c_custkey, 'Question: Orders of ' || b.o_custkey || CHR(10) || CHR(10) || 'Expected query:' || CHR(10) || 'inner' || CHR(10) || CHR(10)
-      || 'Expected rows:' || CHR(10) || COALESCE(ex.x, '') || CHR(10) || CHR(10) || 'Actual query:' || CHR(10) || 'outer' || CHR(10) || CHR(10)
-      || 'Actual rows:' || CHR(10) || COALESCE(ax.x, '') AS review
+      || 'Expected rows:' || CHR(10) || 'key | lines | priority' || COALESCE(CHR(10) || ex.x, '') || CHR(10) || CHR(10) || 'Actual query:' || CHR(10) || 'outer' || CHR(10) || CHR(10)
+      || 'Actual rows:' || CHR(10) || 'priority | lines | order' || COALESCE(CHR(10) || ax.x, '') AS review
     FROM bad b LEFT JOIN ex ON ex.o_custkey = b.o_custkey LEFT JOIN ax ON ax.o_custkey = b.o_custkey"""
 
 
@@ -404,7 +404,10 @@ def review_sample(t):
         F.lit("inner").alias("expected_query"), F.lit("outer").alias("generated_query"))
     shown = rows.withColumn("cells", F.when(c("side") == ACTUAL, F.array(
         c("cells")[0], c("cells")[1], c("cells")[3])).otherwise(c("cells")))
-    return scoring.review_sample(failed, shown, ["c_custkey"]).select("c_custkey", "review")
+    headings = failed.select("c_custkey", F.explode(F.array(
+        F.struct(F.lit(EXPECTED).alias("side"), F.array(*map(F.lit, ("key", "lines", "priority"))).alias("names")),
+        F.struct(F.lit(ACTUAL).alias("side"), F.array(*map(F.lit, ("priority", "lines", "order"))).alias("names")))).alias("h")).select("c_custkey", "h.*")
+    return scoring.review_sample(failed, shown, ["c_custkey"], headers=headings).select("c_custkey", "review")
 
 
 @query("golden_validation", """
@@ -422,17 +425,17 @@ def golden_validation(t):
 
 
 @query("case_record", f"""
-    SELECT name, question, status, duration, expected_query, tables, request_tokens, cost FROM (
-      SELECT name, 'Question ' || name AS question, CASE WHEN status = 'pass' THEN 'pass' ELSE 'fail' END AS status, duration,
+    SELECT name, question, status, exception_class, duration, expected_query, tables, request_tokens, cost FROM (
+      SELECT name, 'Question ' || name AS question, status, exception_class, duration,
         'select ' || event_id AS expected_query, 'orders' AS tables, request_tokens, ROUND(request_tokens_cost, 9) AS cost
       FROM ({USAGE_SQL})) s""")
 def case_record(t):
     full = run_evals(t).select(
         "*", F.concat(F.lit("select "), c("event_id")).alias("expected_query"),
         F.concat(F.lit("select * from t"), c("event_id")).alias("generated_query"), F.array(F.lit("orders")).alias("gold_tables"))
-    outcome = full.select("name", (c("status") == "pass").alias("passed"))
+    outcome = full.filter("status <> 'error'").select("name", (c("status") == "pass").alias("passed"))
     record = scoring.case_record(full.drop("status"), outcome, ["name"])
-    return record.select("name", "question", "status", "duration", "details.expected_query",
+    return record.select("name", "question", "status", "details.exception_class", "duration", "details.expected_query",
                          F.array_join("details.gold_tables", ",").alias("tables"), "details.usage.request_tokens",
                          F.round("details.usage.request_tokens_cost", 9).alias("cost"))
 

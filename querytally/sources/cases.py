@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CASE = "database string, question string, query string"
@@ -51,9 +53,22 @@ def build_cases(questions: DataFrame, dataset: str, databases: DataFrame | None
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
-    """One folder and file per case."""
-    cases.write.mode("overwrite").partitionBy("dataset", "name").json(path)
-
+    """``{dataset}/evals/{name}/eval.json`` under ``path``, as ``read_cases`` reads it.
 
-def read_written_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"dataset string, name string, {CASE}").json(path)
+    The tasks write a folder per case; the files are then moved to their names,
+    one file-system rename a case, streamed over the listing. A case written
+    before is replaced. Keys must be fit for folder names.
+    """
+    spark = cases.sparkSession
+    rough = f"{path}/_written-{uuid.uuid4().hex}"
+    cases.write.partitionBy("dataset", "name").json(rough)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = spark.read.schema(f"{CASE}, dataset string, name string").json(rough).select(
+        F.col("_metadata.file_path").alias("file"), "dataset", "name").distinct().toLocalIterator()
+    for r in listed:
+        to = hadoop.Path(f"{path}/{r['dataset']}/evals/{r['name']}/eval.json")
+        fs.mkdirs(to.getParent())
+        fs.delete(to, False)
+        fs.rename(hadoop.Path(spark._jvm.java.net.URI(r["file"])), to)
+    fs.delete(hadoop.Path(rough), True)

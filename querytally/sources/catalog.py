@@ -88,12 +88,15 @@ def matched_comments(columns: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Comment per (table, column): by exact name, else by lower-case name.
 
     ``columns(table, column)`` are the real ones; a description whose name
-    fits neither way is left out.
+    fits neither way is left out. Of several for one column the last counts, by
+    ``ordinal`` where there is one, else by text.
     """
-    keyed = descriptions.select(F.col("table").alias("__t"), F.col("column").alias("__c"), F.col("comment"))
+    last = F.max_by("comment", F.struct(*[n for n in ("ordinal", "comment") if n in descriptions.columns]))
+    keyed = descriptions.filter("comment IS NOT NULL").groupBy(F.col("table").alias("__t"), F.col("column").alias("__c")).agg(
+        last.alias("comment"), *([F.max("ordinal").alias("ordinal")] if "ordinal" in descriptions.columns else []))
     exact = columns.join(keyed, (F.col("table") == F.col("__t")) & (F.col("column") == F.col("__c")), "left") \
-        .drop("__t", "__c").withColumnRenamed("comment", "__exact")
-    lowered = keyed.groupBy("__t", F.lower("__c").alias("__c")).agg(F.max("comment").alias("__low"))
+        .drop("__t", "__c", "ordinal").withColumnRenamed("comment", "__exact")
+    lowered = keyed.groupBy("__t", F.lower("__c").alias("__c")).agg(last.alias("__low"))
     return (
         exact.join(lowered, (F.col("table") == F.col("__t")) & (F.col("column") == F.col("__c")), "left")
         .withColumn("comment", F.coalesce("__exact", "__low")).drop("__t", "__c", "__exact", "__low"))

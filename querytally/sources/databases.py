@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 def discover_databases(spark: SparkSession, root: str) -> DataFrame:
     """(dataset, database) pairs under ``root``.
 
-    A data set's ``databases.json`` list wins; otherwise each ``.sql`` file of
+    A data set's ``databases.json`` list wins, an empty one too; otherwise each ``.sql`` file of
     its ``databases`` folder is one, a dump in several parts counting once.
     """
     listed = _listing(spark, root, "databases.json")
     declared = None
     if not listed.isEmpty():
-        texts = spark.read.text(f"{root}/*/databases.json", wholetext=True)
-        declared = texts.select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/databases\.json$", 1).alias("dataset"),
-            F.explode(F.from_json("value", "array<string>")).alias("database"))
+        texts = spark.read.text(f"{root}/*/databases.json", wholetext=True).select(
+            F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/databases\.json$", 1).alias("dataset"), "value")
+        declared = texts.select("dataset", F.explode(F.from_json("value", "array<string>")).alias("database"))
     files = _listing(spark, root, "*.sql")
     stem = F.regexp_extract("path", r"/([^/]+)\.sql$", 1)
     found = files.filter(F.col("path").rlike(r"/databases/[^/]+\.sql$")).select(
@@ -26,7 +25,7 @@ def discover_databases(spark: SparkSession, root: str) -> DataFrame:
     found = found.filter("not later").drop("later").distinct()
     if declared is None:
         return found
-    return declared.unionByName(found.join(declared.select("dataset").distinct(), "dataset", "left_anti"))
+    return declared.unionByName(found.join(texts.select("dataset").distinct(), "dataset", "left_anti"))
 
 
 def _listing(spark, root, glob) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 USAGE = (
@@ -43,25 +45,21 @@ def read_run_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_FILE.rsplit(",", 1)[0]).json(path)
 
 
-def run_key(*columns) -> Column:
-    """Id of a run from what identifies it; the same run gets the same id."""
-    return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256), 1, 16)
-
-
-def append_report(run: DataFrame, evals: DataFrame, store: str) -> None:
+def append_report(run: DataFrame, evals: DataFrame, store: str) -> str:
     """Append one run row and its evals, which carry the run's id.
 
-    ``run`` has source, start_time, end_time, task, scores, details; the evals
-    are written without a shuffle, in a folder per run.
+    ``run`` has source, start_time, end_time, task, scores, details. Every call
+    stores a run of its own with a new id, which it returns; the evals are written
+    without a shuffle, in a folder per run, before the run's row names them.
     """
-    stamped = run.select(
-        run_key("source", "start_time", "end_time", "task").alias("id"), "source",
-        F.coalesce("start_time", F.current_timestamp()).alias("start_time"),
+    run_id = uuid.uuid4().hex
+    stamped = run.limit(1).select(
+        F.lit(run_id).alias("id"), "source", F.coalesce("start_time", F.current_timestamp()).alias("start_time"),
         F.coalesce("end_time", F.current_timestamp()).alias("end_time"), "task", "scores", "details")
-    run_id = stamped.select("id").first()["id"]
     evals.withColumn("run_id", F.lit(run_id)).withColumn("duration", F.col("duration").cast("decimal(18,3)")) \
         .write.mode("append").partitionBy("run_id").parquet(f"{store}/evals")
-    stamped.withColumn("id", F.lit(run_id)).write.mode("append").parquet(f"{store}/runs")
+    stamped.write.mode("append").parquet(f"{store}/runs")
+    return run_id
 
 
 def read_report(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:

@@ -13,14 +13,19 @@ def frame(spark, **columns):
     return spark.createDataFrame(list(zip(*columns.values())), schema).coalesce(1)
 
 
+PLACES = dict(town=["Oslo", "Lima", None, "Oslo", "Pune"], people=[7, 11, 3, 7, None], dry=[False, True, True, False, None])
 CASES = [
-    (dict(a=[1, 2, 3], b=[4, 5, 6]), dict(a=[1, 2, 3], b=[4, 5, 6]), True),
-    (dict(a=[1, 2, 3], b=[4, 5, 6]), dict(a=[4, 5, 6], b=[1, 2, 3]), True),
-    (dict(a=[1, 2, 3], b=[4, 5, 6]), dict(c=[1, 2, 3], d=[4, 5, 6]), True),
-    (dict(a=[1, 2, 3], b=[4, 5, 6]), dict(c=[3, 2, 1], d=[6, 5, 4]), True),
-    (dict(a=[1, 2, 3], b=[4, 5, 6]), dict(a=[1, 2, 3]), True),
-    (dict(a=[1, 2, 3], b=[4, 5, 6]), dict(a=[1, 2, 3], b=[7, 8, 9]), False),
-    (dict(a=[1, 2, 3]), dict(a=[1, 2, 3], b=[4, 5, 6]), False),
+    (PLACES, PLACES, True),
+    # the columns in another order, under other names, the rows in another order
+    (PLACES, {n: PLACES[n] for n in ("dry", "town", "people")}, True),
+    (PLACES, {n.upper(): v for n, v in PLACES.items()}, True),
+    (PLACES, {n: v[::-1] for n, v in PLACES.items()}, True),
+    # a column more on either side
+    (PLACES, {n: PLACES[n] for n in ("dry", "people")}, True),
+    ({n: PLACES[n] for n in ("dry", "people")}, PLACES, False),
+    # one value changed, and one row's repeat lost
+    (PLACES, {**PLACES, "people": [7, 11, 3, 8, None]}, False),
+    (PLACES, {n: v[1:] for n, v in PLACES.items()}, False),
 ]
 MORE = [
     # same columns, rows put together differently

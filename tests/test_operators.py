@@ -124,7 +124,7 @@ def test_part_numbers(spark):
 
 @pytest.mark.parametrize("values", [4_000_000, 80])
 def test_nearest(spark, values):
-    """Broadcast and block ways against brute force; ties go by id."""
+    """Any block size against brute force; ties go by id."""
     rng = np.random.default_rng(1)
     objects = rng.normal(size=(300, 8))
     objects[17] = objects[3]
@@ -145,12 +145,14 @@ def test_nearest(spark, values):
 
 @pytest.mark.parametrize("values", [4_000_000, 8])
 def test_nearest_in_scope(spark, values):
-    o = spark.createDataFrame([(i, ["x", "y"][i % 2], [1.0, float(i)]) for i in range(20)], "object_id int, db string, vector array<float>")
-    q = spark.createDataFrame([(n, db, [1.0, 3.0]) for n, db in ((1, "x"), (2, "y"), (3, "none"))] + [(4, "x", [0.0, 0.0])],
+    o = spark.createDataFrame([(i, ["x", "y"][i % 2], [1.0, float(i)]) for i in range(20)] + [(50, None, [1.0, 3.0]), (51, None, None)], "object_id int, db string, vector array<float>")
+    q = spark.createDataFrame([(n, db, [1.0, 3.0]) for n, db in ((1, "x"), (2, "y"), (3, "none"), (5, None))] + [(4, "x", [0.0, 0.0])],
                               "query_id int, db string, vector array<float>")
     got = {(r.query_id, r["rank"]): r.object_id for r in
            nearest_objects(q, o, 2, 2, scope="db", block_values=values, objects_per_block=5).collect()}
-    assert got == {(1, 1): 4, (1, 2): 2, (2, 1): 3, (2, 2): 5}
+    assert got == {(1, 1): 4, (1, 2): 2, (2, 1): 3, (2, 2): 5, (5, 1): 50}
+    with pytest.raises(Exception, match="several lengths"):
+        nearest_objects(q, o, 2, 3, scope="db").collect()
 
 
 def test_sample_evenly(spark):

@@ -55,6 +55,8 @@ def test_times(spark):
     ("select extract(epoch from f.b - f.a) from f", ["f"]),
     ("SELECT x FROM (SELECT y FROM inner_t LIMIT 3) sub JOIN \"Order\" o ON 1 = 1", ["inner_t", "order"]),
     ("WITH z AS (SELECT 1 FROM base) SELECT * FROM z WHERE a = 'from nowhere'", ["base"]),
+    ("SELECT 1 FROM a WHERE x IS DISTINCT FROM y AND z is not distinct\n from w", ["a"]),
+    ("SELECT 1 -- from hidden\nFROM a /* join b\n from c */ JOIN d ON a.x = '-- from e' JOIN f ON '/*' = '*/'", ["a", "d", "f"]),
     ("SELECT a FROM t WHERE b IN (SELECT b FROM t\n WHERE c = (SELECT MAX(c) FROM u))", ["t", "u"]),
 ])
 def test_referenced_tables(spark, sql, tables):
@@ -63,11 +65,18 @@ def test_referenced_tables(spark, sql, tables):
 
 @pytest.mark.parametrize("declared, want", [
     ("int", "INTEGER"), ("INT(11)", "INTEGER"), ("varchar(20)", "VARCHAR(20)"), ("VARCHAR2(30)", "VARCHAR(30)"),
-    ("number(8,2)", "NUMERIC(8,2)"), ("", "TEXT"), ("real", "DOUBLE PRECISION"), ("datetime", "TIMESTAMP"), ("Text", "TEXT")])
+    ("number(8,2)", "NUMERIC(8,2)"), ("", "TEXT"), ("real", "DOUBLE PRECISION"), ("datetime", "TIMESTAMP"), ("Text", "TEXT"), (None, "TEXT"),
+    ("double precision", "DOUBLE PRECISION"), ("char(3) (x) y", "CHAR(3) (x)"), ("char(3", "CHAR"), ("enum [a]", "ENUM")])
 def test_types(spark, declared, want):
     assert one(spark, postgres_type(F.lit(declared))) == want
 
 
+@pytest.mark.parametrize("declared", ["(10)", " int", "[x]"])
+def test_type_without_a_name(spark, declared):
+    with pytest.raises(Exception, match="no type name"):
+        one(spark, postgres_type(F.lit(declared)))
+
+
 def test_texts(spark):
     assert one(spark, sentence(F.lit(" id of x "), F.lit(""))) == "id of x."
     assert one(spark, sentence(F.lit("id"), F.lit("0 or 1 "))) == "id. 0 or 1."

@@ -31,6 +31,8 @@ def root(tmp_path):
     put(f"{r}/alpha/databases/readme.txt", "x")
     put(f"{r}/beta/databases.json", '["shop",\n "air"]')
     put(f"{r}/beta/databases/ignored.sql", "x")
+    put(f"{r}/none/databases.json", "[]")
+    put(f"{r}/none/databases/undeclared.sql", "x")
     return r
 
 
@@ -57,9 +59,11 @@ def test_questions_to_cases(spark, tmp_path):
     assert [r.question for r in rows] == ["q00", "q02", "q10"] + [f"q1{k}" for k in range(2, 9)]
     assert rows[0].query == "select '0'"
     cases.write_cases(built, f"{tmp_path}/out")
-    assert os.path.isdir(f"{tmp_path}/out/dataset=s/name=01")
-    back = cases.read_written_cases(spark, f"{tmp_path}/out")
-    assert sorted(map(tuple, back.select("name", "question").collect())) == [(r.name, r.question) for r in rows]
+    assert os.path.isfile(f"{tmp_path}/out/s/evals/01/eval.json")
+    cases.write_cases(built.limit(4), f"{tmp_path}/out")  # in place of the first
+    assert sorted(os.listdir(f"{tmp_path}/out")) == ["s"]
+    back = cases.read_cases(spark, f"{tmp_path}/out")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, built.collect()))
 
 
 def test_evidence(spark, tmp_path):
@@ -127,6 +131,11 @@ def test_description_files(spark, tmp_path):
     real = spark.createDataFrame([("schools", "cdscode"), ("schools", "zip"), ("schools", "none")], "table string, column string")
     found = {r.column: r.comment for r in catalog.matched_comments(real, d).collect()}
     assert found == {"cdscode": 'café "id".', "zip": "post, code. 5 digits.", "none": None}
+    twice = spark.createDataFrame(
+        [("t", "A", "first", 1), ("t", "A", "a later one", 2), ("t", "b", "x", 1), ("t", "B", "y", 2)], "table string, column string, comment string, ordinal int")
+    real = spark.createDataFrame([("t", "A"), ("t", "b"), ("t", "a")], "table string, column string")
+    found = catalog.matched_comments(real, twice).collect()
+    assert sorted((r.column, r.comment) for r in found) == [("A", "a later one"), ("a", "a later one"), ("b", "x")]
     meta = catalog.read_table_metadata(spark, f"{tmp_path}/m.json").collect()
     assert [(r.table, r.column, r.description) for r in meta] == [("t", "a", "first"), ("t", "b", "second")]
 
@@ -171,8 +180,10 @@ def test_run_files(spark, tmp_path):
     store = f"{tmp_path}/store"
     run_store.append_report(run, evals, store)
     run_store.append_report(run.withColumn("source", F.lit("ci")), evals, store)
+    again = run_store.append_report(run, evals, store)  # the same run once more is a run of its own
     stored, children = run_store.read_report(spark, store)
-    assert stored.count() == 2 and children.count() == 12
+    assert stored.select("id").distinct().count() == 3 and children.count() == 18
+    assert runs.run_evals(stored, children, again).count() == 6
     first = stored.filter("source = 'ci'").first()
     assert json.loads(first.scores) == {"d": {"passing": 2, "total": 6}}
     mine = runs.run_evals(stored, children, first.id)
@@ -315,8 +326,15 @@ def test_execute_and_judge(spark, tmp_path):
         execute.run_cases(df, side, out, prepare)
     headers, rows = execute.read_outcomes(spark, out)
     assert seen == ["geo", "geo"]
+    before = {(r.name, r.status) for r in execute.judged(headers, rows).collect()}
+    execute.run_cases(spark.createDataFrame([("s", "geo", n, q) for n, q in candidate], schema), "actual", out, prepare)
+    headers, rows = execute.read_outcomes(spark, out)
+    assert headers.count() == 12 and {(r.name, r.status) for r in execute.judged(headers, rows).collect()} == before
+    failed = headers.filter("side = 'actual' AND name = '6'").first()
+    assert "missing" in failed.error and "Traceback" in failed.trace
     assert headers.filter("side = 'expected' and name = '6'").first().n_rows == 0
-    got = {r.name: (r.status, r.exception_class) for r in execute.judged(headers, rows).collect()}
+    judged = execute.judged(headers, rows)
+    got = {r.name: (r.status, r.exception_class) for r in judged.collect()}
     assert got == {"1": ("pass", None), "2": ("pass", None), "3": ("pass", None), "4": ("fail", None),
                    "6": ("error", "AnalysisException")}
     flagged = scoring.golden_validation(headers.filter("side = 'expected'").withColumn("database", F.lit("geo")))
