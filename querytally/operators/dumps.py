@@ -17,6 +17,8 @@ STATEMENT_ENDS = ("';", ");")
 SESSION_LINES = ("SELECT", "SET")
 COMMENT = "--"
 
+_SALTS = 64
+
 
 def lines_of(texts: DataFrame, file: str, text: str) -> DataFrame:
     """Lines of a text column, numbered from 0."""
@@ -64,9 +66,15 @@ def part_numbers(lines: DataFrame, limit=PART_BYTES, chunk_rows=65536) -> DataFr
     windows = placed.groupBy("file", "__window").agg(F.max("__end").alias("__last"))
     whole = W.partitionBy("file")
     numbered = windows.select(
-        "file", F.col("__window").alias("__w"),
-        F.when(F.max("__last").over(whole) <= limit, F.lit(0)).otherwise(
-            F.row_number().over(whole.orderBy(F.col("__window").asc_nulls_last())) - 1).alias("part"))
-    return placed.join(numbered.withColumnRenamed("file", "__f"),
-                       (F.col("file") == F.col("__f")) & F.col("__window").eqNullSafe(F.col("__w"))) \
-        .select("file", "line_no", "line", F.col("__end").alias("end_offset"), "part")
+        "file", "__window", F.max("__last").over(whole).alias("__size"), F.count("__window").over(whole).alias("__tail"),
+        (F.row_number().over(whole.orderBy(F.col("__window").asc_nulls_last())) - 1).alias("__part"))
+    # Lines of one window, and all lines behind the last statement, may be most of a file: the
+    # numbers are copied to a few salts, so that neither meets them in one task.
+    salt = F.pmod(F.xxhash64("line_no"), F.lit(_SALTS))
+    copies = numbered.select(
+        F.col("file").alias("__f"), F.col("__window").alias("__w"), "__size", "__tail", "__part",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("__salt"))
+    part = F.when(F.col("__size") <= limit, F.lit(0)).when(F.col("__window").isNull(), F.col("__tail")).otherwise(F.col("__part"))
+    return placed.withColumn("__own", salt).join(
+        copies, (F.col("file") == F.col("__f")) & (F.col("__own") == F.col("__salt")) & F.col("__window").eqNullSafe(F.col("__w"))) \
+        .select("file", "line_no", "line", F.col("__end").alias("end_offset"), part.cast("int").alias("part"))

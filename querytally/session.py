@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,14 +60,46 @@ def _work_dir(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), "querytally", spark.sparkContext.applicationId)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SCOPES = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Frames written between steps inside the block share a folder that is deleted at its end.
+
+    Blocks nest, and each thread has its own. Read or store what you need
+    before the end: a frame made inside the block may read the folder. Frames made
+    outside it stay.
+
+        with scratch(spark):
+            compare_results(headers, rows, keys).write.parquet(path)
+    """
+    folder = os.path.join(_work_dir(spark), f"scope-{uuid.uuid4().hex}")
+    scopes = vars(_SCOPES).setdefault("open", [])
+    scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        scopes.remove(folder)
+        _delete(spark, folder)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, keeps the result over executor loss, and fixes values
     such as partition numbers that a recomputation could assign differently.
+    The files stay until the surrounding ``scratch`` block ends, else until
+    ``release_written``.
     """
     spark = df.sparkSession
-    path = os.path.join(_work_dir(spark), uuid.uuid4().hex)
+    scopes = vars(_SCOPES).get("open")
+    path = os.path.join(scopes[-1] if scopes else _work_dir(spark), uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,5 +109,4 @@ def release_written(spark: SparkSession) -> None:
 
     Call it when no frame made so far is needed any more.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _work_dir(spark))

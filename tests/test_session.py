@@ -33,6 +33,27 @@ def test_runs_from_any_folder(tmp_path):
     assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
 
 
+def test_scratch_leaves_other_frames(spark):
+    """The shared folder holds no more after a block than before, and frames from outside live on."""
+    from querytally.operators.numbering import number_rows
+    from querytally.session import scratch, written
+
+    outside = written(spark.range(5))
+    folder = shared_dir(spark)
+
+    def files():
+        return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names)
+
+    before = files()
+    with scratch(spark):
+        numbered = number_rows(spark.range(100).selectExpr("id % 7 AS k", "id"), ["k", "id"])
+        with scratch(spark):
+            inner = written(numbered.filter("n <= 3"))
+            assert inner.count() == 3
+        assert numbered.count() == 100 and files() != before
+    assert files() == before and outside.count() == 5
+
+
 def fake(named, master, made):
     context = SimpleNamespace(master=master, getCheckpointDir=lambda: made.get("dir"),
                               setCheckpointDir=lambda d: made.update(dir=d))
