@@ -15,17 +15,18 @@ Two readings of the matching exist:
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import written
 from .numbering import number_within
+from .ordered import chunked, running_sum
 from .results import ACTUAL, EXPECTED, result_header, result_rows, with_unique_names
 
 # Tolerance of float comparison.
 ABSOLUTE, RELATIVE = 1e-8, 1e-5
 
 _SALTS = 8
+_BEAM = 64
 _LOW = (1 << 22) - 1
 
 
@@ -184,57 +185,6 @@ def _column_classes(side: str):
     return narrowed
 
 
-def _assignments(cands, a_twin, e_twin):
-    """All one-to-one assignments, one per set of interchangeable columns."""
-    lead = [a_twin.index(t) for t in a_twin]
-    before = [max((j for j in range(i) if e_twin[j] == e_twin[i]), default=None) for i in range(len(e_twin))]
-
-    def options(chosen):
-        i, tried = len(chosen), set()
-        floor = lead[chosen[before[i]]] if before[i] is not None else -1
-        for a in cands[i]:
-            if a not in chosen and lead[a] not in tried and lead[a] >= floor:
-                tried.add(lead[a])
-                yield a
-
-    chosen, stack = [], [options([])] if cands else []
-    if not cands:
-        yield []
-    while stack:
-        step = next(stack[-1], None)
-        if step is None:
-            stack.pop()
-            if chosen:
-                chosen.pop()
-            continue
-        if len(chosen) + 1 == len(cands):
-            yield [*chosen, step]
-            continue
-        chosen.append(step)
-        stack.append(options(list(chosen)))
-
-
-def _enumerated(open_cases: DataFrame, keys: list) -> DataFrame:
-    """Assignments of the few cases where classes alone leave a choice."""
-    schema = open_cases.select(*keys, F.lit(0).alias("attempt"), F.array().cast("array<int>").alias("mapping")).schema
-
-    def spell_out(frames):
-        for frame in frames:
-            for rec in frame.to_dict("records"):
-                head = [rec[k] for k in keys]
-                batch = []
-                found = _assignments([list(c) for c in rec["cands"]], list(rec["a_twin"]), list(rec["e_twin"]))
-                for i, mapping in enumerate(found):
-                    batch.append([*head, i, mapping])
-                    if len(batch) == 4096:
-                        yield pd.DataFrame(batch, columns=[*keys, "attempt", "mapping"])
-                        batch = []
-                if batch:
-                    yield pd.DataFrame(batch, columns=[*keys, "attempt", "mapping"])
-
-    return open_cases.mapInPandas(spell_out, schema)
-
-
 def _exact_matches(rows: DataFrame, attempts: DataFrame, keys: list) -> DataFrame:
     """Attempts whose projected rows are the same multiset on both sides."""
     tagged = spread_join(rows, attempts, keys)
@@ -250,12 +200,20 @@ def _exact_matches(rows: DataFrame, attempts: DataFrame, keys: list) -> DataFram
     return attempts.join(off, [*keys, "attempt"], "left_anti")
 
 
-def _hashed_matches(rows: DataFrame, attempts: DataFrame, keys: list) -> DataFrame:
-    """As above, by two order-free 64-bit row fingerprints; shuffles no rows."""
+def _hashed_matches(rows: DataFrame, attempts: DataFrame, keys: list, sharp=None) -> DataFrame:
+    """As above, by two order-free 64-bit row fingerprints; shuffles no rows.
+
+    With ``sharp`` (an array of flags) a mapping may be a beginning only, and
+    just its flagged columns are looked at.
+    """
     tagged = spread_join(rows, attempts, keys)
-    line = F.when(
-        F.col("side") == ACTUAL, F.transform("mapping", lambda p: F.get("cells", p))
-    ).otherwise(F.col("cells"))
+    if sharp is None:
+        line = F.when(
+            F.col("side") == ACTUAL, F.transform("mapping", lambda p: F.get("cells", p))
+        ).otherwise(F.col("cells"))
+    else:
+        places = F.transform("mapping", lambda p, i: F.when(F.get(sharp, i), F.when(F.col("side") == ACTUAL, p).otherwise(i)))
+        line = F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.get("cells", p))
     # a hash skips nulls, so each value goes in together with a flag
     line = F.transform(line, lambda c: F.struct(c.isNotNull(), c))
     sides = {ACTUAL: [], EXPECTED: []}
@@ -274,12 +232,68 @@ def _hashed_matches(rows: DataFrame, attempts: DataFrame, keys: list) -> DataFra
     return attempts.join(off, [*keys, "attempt"], "left_anti")
 
 
+def _assigned(rows: DataFrame, choice: DataFrame, keys: list) -> DataFrame:
+    """Column assignments of the few cases where classes alone leave a choice.
+
+    Assignments grow by one expected column at a time, and a beginning lives on
+    only while the rows agree in the columns it has, so a wrong start ends at
+    once. Columns that are the same row by row are taken in order. Of the beginnings of a
+    case up to ``_BEAM`` go on together and the others wait; they get their
+    turn unless the case is settled by then, so none is lost.
+    """
+    fields = [*keys, "cands", "alike", "a_twin"]
+    mapping, used = F.col("mapping"), lambda p: F.array_contains("mapping", p)
+    waiting = [choice.select(*fields, F.array().cast("array<int>").alias("mapping"))]
+    found = None
+    while waiting:
+        front = waiting.pop()
+        if found is not None:
+            front = front.join(found.filter("settled").select(*keys).distinct(), keys, "left_anti")
+        ranked = written(front.withColumn("turn", F.row_number().over(W.partitionBy(*keys).orderBy("mapping"))))
+        rest = ranked.filter(F.col("turn") > _BEAM)
+        if not rest.isEmpty():
+            waiting.append(rest.drop("turn"))
+        options = F.filter(F.get("cands", F.size(mapping)), lambda p: ~used(p) & ~F.exists(
+            F.get("cands", F.size(mapping)), lambda q: (q < p) & ~used(q) & (F.get("a_twin", q) == F.get("a_twin", p))))
+        tries = ranked.filter(F.col("turn") <= _BEAM).drop("turn").withColumn("next", F.explode(options)).withColumn(
+            "mapping", F.concat("mapping", F.array("next"))).drop("next").withColumn("attempt", F.xxhash64("mapping"))
+        sharp = F.transform("mapping", lambda p, i: F.array_contains(F.get("alike", i), p))
+        kept = written(_hashed_matches(rows, tries.withColumn("sharp", sharp), keys, "sharp"))
+        whole = F.size("mapping") == F.size("cands")
+        done = kept.filter(whole).select(*keys, "attempt", "mapping", F.forall("sharp", lambda x: x).alias("settled"))
+        found = done if found is None else found.unionByName(done)
+        more = kept.filter(~whole).drop("attempt", "sharp")
+        if not more.isEmpty():
+            waiting.append(more)
+    return found.drop("settled")
+
+
+def _float_steps(tagged: DataFrame, keys: list) -> DataFrame:
+    """Add ``steps``: for each float column of a row the number of its value's step.
+
+    A step is a run of values, of both sides, with no gap beyond the tolerance. Values are numbered
+    over range slices, so neither a case nor a column has to fit a task.
+    """
+    column = [*keys, "attempt", "pos"]
+    cells = tagged.select(*keys, "attempt", "side", "row_id", "kinds", F.posexplode("line").alias("pos", "cell")).filter(
+        "substring(kinds, pos + 1, 1) = 'f'").select(*column, "side", "row_id", F.col("cell").try_cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    numbered = number_within(cells.select(*column, "v").distinct(), column, ["v"], "n", start=0)
+    before = numbered.select(*column, (F.col("n") + 1).alias("n"), F.col("v").alias("before"))
+    apart = F.col("v") - F.col("before") > F.lit(ABSOLUTE) + F.lit(RELATIVE) * F.greatest(F.abs("v"), F.abs("before"))
+    joined = chunked(numbered.join(before, [*column, "n"], "left"), "n")
+    steps = running_sum(joined, column, "n", F.coalesce(apart, F.lit(False)).cast("long"), "step").select(*column, "v", "step")
+    per_row = cells.join(steps, [*column, "v"]).groupBy(*keys, "attempt", "side", "row_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "step"))).alias("steps"))
+    return tagged.join(per_row, [*keys, "attempt", "side", "row_id"], "left")
+
+
 def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful: bool) -> DataFrame:
     """Attempts whose sorted rows agree pairwise, floats within the tolerance.
 
     ``attempts`` carries the expected ``kinds``. Rows sort by their columns in
-    expected order; the default reading puts exact columns before floats so
-    that noise in a float cannot shift the rows against each other.
+    expected order; the default reading puts exact columns first, then the steps
+    of the floats, then the floats, so that noise in one float cannot shift the
+    rows against each other in another.
     """
     tagged = spread_join(rows.drop("kinds"), attempts, keys)
     projected = F.when(
@@ -293,8 +307,13 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
             substring(kinds, i + 1, 1) = 'f' as loose))""")
     tagged = tagged.withColumn("key", sort_key)
     if not faithful:
+        several = F.length(F.regexp_replace("kinds", "[^f]", "")) > 1
+        tagged = _float_steps(tagged.filter(several), keys).unionByName(
+            tagged.filter(~several).withColumn("steps", F.lit(None).cast("array<struct<pos: int, step: bigint>>")))
+        steps = F.transform(F.coalesce("steps", F.array()), lambda s: F.struct(
+            s["step"].cast("double").alias("num"), s["pos"].cast("string").alias("txt"), F.lit(True).alias("loose")))
         tagged = tagged.withColumn("key", F.concat(
-            F.filter("key", lambda k: ~k["loose"]), F.filter("key", lambda k: k["loose"])))
+            F.filter("key", lambda k: ~k["loose"]), steps, F.filter("key", lambda k: k["loose"]))).drop("steps")
     ranked = number_within(tagged, [*keys, "attempt", "side"], [F.col("key").asc(), F.col("row_id").asc()])
     paired = ranked.groupBy(*keys, "attempt", "n").agg(
         F.max("kinds").alias("kinds"),
@@ -309,22 +328,22 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
     return attempts.join(off, [*keys, "attempt"], "left_anti")
 
 
-def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool) -> tuple[DataFrame, bool]:
-    """Column assignments to try per case, and whether a case may have several.
+def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool) -> DataFrame:
+    """Column assignments to try per case.
 
     An attempt is ``loose`` where a column is equal within the tolerance only.
     """
     cands = F.zip_with("alike", "near", lambda x, y: F.concat(x, y))
     cases = cases.withColumn("kinds", F.array_join("e.kind", ""))
-    facts, several = [*keys, "alike", "kinds"], False
+    facts = [*keys, "alike", "kinds"]
     if faithful:
-        attempts = cases.select(*facts, F.lit(0).alias("attempt"), F.transform(cands, F.array_min).alias("mapping")).filter(
+        attempts = cases.select(*facts, F.lit(0).cast("long").alias("attempt"), F.transform(cands, F.array_min).alias("mapping")).filter(
             "size(array_distinct(mapping)) = size(mapping) and not exists(mapping, p -> p is null)")
     else:
         cases = cases.withColumn("cands", cands)
         flat = F.flatten("cands")
         sure = (F.size(flat) == F.size("e")) & (F.size(F.array_distinct(flat)) == F.size("e"))
-        attempts = cases.filter(sure).select(*facts, F.lit(0).alias("attempt"), flat.alias("mapping"))
+        attempts = cases.filter(sure).select(*facts, F.lit(0).cast("long").alias("attempt"), flat.alias("mapping"))
         open_cases = cases.filter(~sure)
         if not open_cases.isEmpty():
             narrow = written(
@@ -337,27 +356,20 @@ def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool) ->
                 and not exists(near, c -> size(c) > 0)""")
             in_turn = F.expr("""transform(cands, (c, i) ->
                 get(c, size(filter(slice(e_class, 1, i), x -> x = e_class[i]))))""")
-            turns = narrow.filter(twins_only).select(*facts, F.lit(0).alias("attempt"), in_turn.alias("mapping")) \
+            turns = narrow.filter(twins_only).select(*facts, F.lit(0).cast("long").alias("attempt"), in_turn.alias("mapping")) \
                 .filter("not exists(mapping, p -> p is null)")
             attempts = attempts.unionByName(turns)
             choice = narrow.filter(~twins_only)
             if not choice.isEmpty():
-                found = written(_enumerated(choice.select(*keys, "cands", "a_twin", "e_twin"), keys))
-                attempts, several = attempts.unionByName(found.join(choice.select(*facts), keys)), True
+                attempts = attempts.unionByName(_assigned(rows.drop("kinds"), choice, keys).join(choice.select(*facts), keys))
     loose = F.expr("exists(zip_with(mapping, alike, (p, c) -> array_contains(c, p)), hit -> not hit)")
-    return attempts.withColumn("loose", loose).drop("alike"), several
+    return attempts.withColumn("loose", loose).drop("alike")
 
 
 def _settled(rows: DataFrame, attempts: DataFrame, keys: list, faithful: bool, exact: bool,
-             floats: bool, sift=False) -> DataFrame:
-    """Cases with an attempt under which the rows are equal.
-
-    ``sift`` drops most wrong attempts by row fingerprints before any row is
-    grouped by its content.
-    """
+             floats: bool) -> DataFrame:
+    """Cases with an attempt under which the rows are equal."""
     def equal(tries):
-        if sift and exact:
-            tries = _hashed_matches(rows, tries, keys)
         return (_exact_matches if exact else _hashed_matches)(rows, tries, keys).select(*keys).distinct()
 
     rows = rows.drop("kinds")
@@ -399,13 +411,7 @@ def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
             c, lambda p: F.coalesce(F.exists("kept", lambda k: (k["e_pos"] == i) & (k["a_pos"] == p)), F.lit(False))))).drop("kept")
     floats = not cases.filter("exists(e, x -> x.kind = 'f')").isEmpty()
 
-    attempts, several = _attempts(rows, cases, keys, faithful)
-    good = _settled(rows, attempts.filter("attempt = 0") if several else attempts, keys, faithful, exact, floats)
-    if several:
-        good = written(good)
-        others = attempts.filter("attempt > 0").join(good, keys, "left_anti")
-        if not others.isEmpty():
-            good = good.unionByName(_settled(rows, others, keys, faithful, exact, floats, sift=True))
+    good = _settled(rows, _attempts(rows, cases, keys, faithful), keys, faithful, exact, floats)
     good = good.withColumn("passed", F.lit(True))
     verdicts = both.join(good, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
     return written(verdicts)

@@ -54,13 +54,14 @@ def nearest_objects(queries: DataFrame, objects: DataFrame, k: int, dims: int |
     known = objects.filter("vector is not null").select(within.alias("scope"), "object_id", "vector")
     # named apart, as both frames may come from one table
     asked = queries.filter("vector is not null").select(within.alias("scope"), "query_id", F.col("vector").alias("asked"))
-    width = F.greatest("width", "known_width")
-    wrong = (F.col("width") != F.col("narrow")) | (F.col("width") != F.col("known_width")) | (F.col("width") != F.col("known_narrow"))
+    sides = asked.select("scope", F.size("asked").alias("width"), F.lit(1).alias("q")).union(
+        known.select("scope", F.size("vector"), F.lit(0)))
+    sizes = sides.groupBy("scope").agg(
+        F.sum("q").alias("n"), F.count_if(F.col("q") == 0).alias("m"), F.min("width").alias("narrow"), F.max("width").alias("width")).filter("n > 0 AND m > 0")
+    wrong = F.col("width") != F.col("narrow")
     if dims is not None:
         wrong = wrong | (F.col("width") != dims)
-    sizes = asked.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("asked")).alias("width"), F.min(F.size("asked")).alias("narrow")).join(
-        known.groupBy("scope").agg(F.count(F.lit(1)).alias("m"), F.max(F.size("vector")).alias("known_width"), F.min(F.size("vector")).alias("known_narrow")), "scope")
-    per_block = F.greatest(F.lit(1), F.floor(F.lit(block_values) / width))
+    per_block = F.greatest(F.lit(1), F.floor(F.lit(block_values) / F.greatest(F.lit(1), "width")))
     blocks = sizes.select(
         F.col("scope").alias("s"), F.when(wrong, F.raise_error(F.lit("vectors of several lengths")).cast("long"))
         .otherwise(F.ceil(F.col("n") / per_block)).alias("q_blocks"), F.ceil(F.col("m") / F.lit(objects_per_block)).alias("o_blocks"))

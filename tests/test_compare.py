@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from querytally.operators.compare import _assignments, compare_results, frames_equal, table_sets_match
+from querytally.operators.compare import compare_results, frames_equal, table_sets_match
 from querytally.operators.results import ACTUAL, EXPECTED, result_header, result_rows, unique_names
 
 
@@ -104,12 +104,40 @@ def test_large_case_with_noise(spark):
     assert not frames_equal(noisy.withColumn("w", F.when(F.col("id") == 777, 1.0).otherwise(F.col("w"))), base)
 
 
-def test_assignments():
-    assert list(_assignments([[0, 1], [0, 1]], [5, 6], [7, 8])) == [[0, 1], [1, 0]]
-    assert list(_assignments([[0, 1], [0, 1]], [5, 5], [7, 7])) == [[0, 1]]
-    assert list(_assignments([[0, 1, 2]] * 3, [1, 1, 1], [2, 2, 2])) == [[0, 1, 2]]
-    assert list(_assignments([], [1], [])) == [[]]
-    assert list(_assignments([[0], [0]], [1], [2, 3])) == []
+def square(step, n, order=None):
+    """Latin square: every column holds the same values, so only the rows tell columns apart."""
+    columns = {f"c{j}": [(step[i] + j) % n for i in range(n)] for j in range(n)}
+    names = order or list(columns)
+    return {f"x{k}": columns[name] for k, name in enumerate(names)}
+
+
+@pytest.mark.parametrize("n", [9, 12])
+def test_many_like_columns(spark, n):
+    """Columns that agree by themselves: a shuffled square is equal, one of another structure is not."""
+    plain = square(range(n), n)
+    names = [f"c{j * 5 % n if n % 5 else j}" for j in range(n)]
+    assert frames_equal(frame(spark, **square(range(n), n, names)), frame(spark, **plain))
+    swapped = {k: list(v) for k, v in plain.items()}
+    # turn a 2 x 2 part so that rows and columns keep their values but not their alignment
+    for k, v in swapped.items():
+        v[0], v[1] = v[1], v[0]
+    swapped["x0"][0], swapped["x0"][1] = swapped["x0"][1], swapped["x0"][0]
+    assert not frames_equal(frame(spark, **swapped), frame(spark, **plain))
+
+
+def test_all_orders_fit(spark):
+    """Every assignment of nine columns is right: one is enough, none is tried twice."""
+    unit = {f"c{j}": [int(i == j) for i in range(9)] for j in range(9)}
+    assert frames_equal(frame(spark, **unit), frame(spark, **{k: v[::-1] for k, v in unit.items()}))
+
+
+def test_two_noisy_floats(spark):
+    """Noise in the first float must not decide how rows pair in the second."""
+    a = frame(spark, x=[1.0, 1.0000000001], y=[5.0, 3.0])
+    e = frame(spark, x=[1.0000000001, 1.0], y=[5.0, 3.0])
+    assert frames_equal(a, e)
+    assert not frames_equal(a, frame(spark, x=[1.0000000001, 1.0], y=[5.0, 3.1]))
+    assert not frames_equal(frame(spark, x=[1.0, 2.0], y=[5.0, 3.0]), frame(spark, x=[1.0000000001, 2.0000000001], y=[3.0, 5.0]))
 
 
 def test_unique_names():
