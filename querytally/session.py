@@ -89,6 +89,12 @@ def scratch(spark: SparkSession):
         _delete(spark, folder)
 
 
+def work_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, inside the surrounding ``scratch`` block if there is one."""
+    scopes = vars(_SCOPES).get("open")
+    return os.path.join(scopes[-1] if scopes else _work_dir(spark), uuid.uuid4().hex)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -98,8 +104,7 @@ def written(df: DataFrame) -> DataFrame:
     ``release_written``.
     """
     spark = df.sparkSession
-    scopes = vars(_SCOPES).get("open")
-    path = os.path.join(scopes[-1] if scopes else _work_dir(spark), uuid.uuid4().hex)
+    path = work_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
