@@ -111,12 +111,15 @@ def square(step, n, order=None):
     return {f"x{k}": columns[name] for k, name in enumerate(names)}
 
 
-@pytest.mark.parametrize("n", [9, 12])
-def test_many_like_columns(spark, n):
-    """Columns that agree by themselves: a shuffled square is equal, one of another structure is not."""
-    plain = square(range(n), n)
-    names = [f"c{j * 5 % n if n % 5 else j}" for j in range(n)]
-    assert frames_equal(frame(spark, **square(range(n), n, names)), frame(spark, **plain))
+def test_many_like_columns(spark):
+    """Twelve columns that agree by themselves: a shuffled square is equal."""
+    names = [f"c{j * 5 % 12}" for j in range(12)]
+    assert frames_equal(frame(spark, **square(range(12), 12, names)), frame(spark, **square(range(12), 12)))
+
+
+def test_no_order_fits(spark):
+    """Nine columns that agree by themselves in a square of another structure."""
+    n, plain = 9, square(range(9), 9)
     swapped = {k: list(v) for k, v in plain.items()}
     # turn a 2 x 2 part so that rows and columns keep their values but not their alignment
     for k, v in swapped.items():
