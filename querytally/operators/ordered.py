@@ -1,7 +1,9 @@
 """Order-dependent state over groups of any size.
 
 A group is cut into chunks by its integer position column. Inside a chunk a
-window does the work; one summary row per chunk carries the state on. So a
+window does the work; one summary row per chunk carries the state on. The
+summaries of a group are cut into spans of chunks in turn, and only one row per
+span meets in one task: a group of 10**12 rows has a few thousand of them. So a
 single group may hold most of the data without ever meeting in one task.
 """
 
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.numeric import int_div
 
 CHUNK = "__chunk"
+_SPAN, _SPAN_CHUNKS = "__span", 4096
 
 
 def chunked(df: DataFrame, order: str, chunk_rows=65536) -> DataFrame:
@@ -26,11 +29,15 @@ def running_sum(rows: DataFrame, group: list, order: str, value: Column, name: s
     """
     rows = rows.withColumn("__value", value)
     inside = W.partitionBy(*group, CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    earlier = W.partitionBy(*group).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*group, CHUNK).agg(F.sum("__value").alias("__total")).withColumn(_SPAN, int_div(CHUNK, F.lit(_SPAN_CHUNKS)))
+    in_span = W.partitionBy(*group, _SPAN).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    spans_before = W.partitionBy(*group).orderBy(_SPAN).rowsBetween(W.unboundedPreceding, -1)
+    spans = totals.groupBy(*group, _SPAN).agg(F.sum("__total").alias("__span_total")).withColumn(
+        "__spans", F.sum("__span_total").over(spans_before)).drop("__span_total")
     totals = (
-        rows.groupBy(*group, CHUNK).agg(F.sum("__value").alias("__total"))
-        .withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
-        .drop("__total")
+        totals.withColumn("__chunks", F.sum("__total").over(in_span)).join(spans, [*group, _SPAN])
+        .withColumn("__before", F.coalesce("__chunks", F.lit(0)) + F.coalesce("__spans", F.lit(0)))
+        .drop("__total", "__chunks", "__spans", _SPAN)
     )
     return (
         rows.withColumn("__inside", F.sum("__value").over(inside))
@@ -51,10 +58,14 @@ def carry(rows: DataFrame, group: list, order: str, forward: dict[str, Column] |
     specs = [(n, v, False) for n, v in (forward or {}).items()] + [(n, v, True) for n, v in (backward or {}).items()]
     names = {n: (f"__value_{i}", f"__brought_{i}") for i, (n, _, _) in enumerate(specs)}
     rows = rows.withColumns({names[n][0]: v for n, v, _ in specs})
-    by_row, by_chunk = W.partitionBy(*group, CHUNK), W.partitionBy(*group)
+    by_row, by_chunk, by_span = W.partitionBy(*group, CHUNK), W.partitionBy(*group, _SPAN), W.partitionBy(*group)
     brought = rows.groupBy(*group, CHUNK).agg(*[
         (F.min_by if back else F.max_by)(
             F.col(names[n][0]), F.when(F.col(names[n][0]).isNotNull(), F.col(order))).alias(names[n][1])
+        for n, _, back in specs]).withColumn(_SPAN, int_div(CHUNK, F.lit(_SPAN_CHUNKS)))
+    spans = brought.groupBy(*group, _SPAN).agg(*[
+        (F.min_by if back else F.max_by)(
+            F.col(names[n][1]), F.when(F.col(names[n][1]).isNotNull(), F.col(CHUNK))).alias(f"{names[n][1]}_far")
         for n, _, back in specs])
     near = {}
     for n, _, back in specs:
@@ -62,8 +73,13 @@ def carry(rows: DataFrame, group: list, order: str, forward: dict[str, Column] |
         chunks = by_chunk.orderBy(F.col(CHUNK).desc() if back else F.col(CHUNK).asc())
         brought = brought.withColumn(
             kept, F.last(kept, ignorenulls=True).over(chunks.rowsBetween(W.unboundedPreceding, -1)))
+        beyond = by_span.orderBy(F.col(_SPAN).desc() if back else F.col(_SPAN).asc())
+        spans = spans.withColumn(
+            f"{kept}_far", F.last(f"{kept}_far", ignorenulls=True).over(beyond.rowsBetween(W.unboundedPreceding, -1)))
         own = by_row.orderBy(F.col(order).desc() if back else F.col(order).asc()).rowsBetween(
             W.unboundedPreceding, 0 if back else -1)
         near[n] = F.last(value, ignorenulls=True).over(own)
+    brought = brought.join(spans, [*group, _SPAN]).withColumns(
+        {k: F.coalesce(k, f"{k}_far") for _, k in names.values()}).drop(_SPAN, *[f"{k}_far" for _, k in names.values()])
     out = rows.withColumns(near).join(brought, [*group, CHUNK])
     return out.withColumns({n: F.coalesce(n, names[n][1]) for n in names}).drop(*[x for pair in names.values() for x in pair])
