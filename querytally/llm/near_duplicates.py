@@ -2,11 +2,12 @@
 
 Equal shingle sets are one class from the start. Classes that share a band of
 their signatures are candidates: first every class of a bucket against the
-smallest one, which is linear in the bucket. What is then still unlinked inside
-a bucket is compared with the rest of it in blocks of bounded size, and only
-links that were confirmed on the full sets, and that join two components, leave
-a task. So no pair is lost for a bucket's size, and no bucket turns into all
-its pairs.
+smallest one, which is linear in the bucket. The other members are compared by
+short signatures in blocks of bounded size, which hand on the members, not the
+pairs, that may link; what of these is not in one component after the first
+links is compared on full sets, again in blocks, and only links that join two
+components leave a task. So no pair is lost for a bucket's size, and no bucket
+turns into all its pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ HASHES = 168
 MISSED = 1e-5  # probability that a pair at the threshold shares no band
 SHINGLE = 5
 THRESHOLD = 80  # percent
-BLOCK = 512  # classes of a bucket that a task compares with another block
+BLOCK = 1024  # classes of a bucket that a task compares with another block
 
 
 def bands_for(percent, hashes=HASHES, missed=MISSED):
@@ -81,7 +82,8 @@ def _full_sets(docs: DataFrame, ids: DataFrame, text, key, shingle) -> DataFrame
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
                     pa.array([s.tobytes() for s in found], pa.binary())], ["id", "members", "hashes"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
+    # the ids grow with the data: one plan at any size, a merge join
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")
     return rows.mapInArrow(run, "id long, members binary, hashes binary")
 
 
@@ -122,36 +124,101 @@ def _may_link(same, sizes_a, sizes_b, percent, hashes=HASHES):
     return (same >= low * hashes) & (100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text, key, shingle, percent) -> DataFrame:
-    """Those of ``pairs`` (u, v) that link, first by signatures, then by full sets; u, v."""
+def _near(pairs: DataFrame, classes: DataFrame, percent) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose signatures do not rule a link out."""
     def compare(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("su", "sv"))
             ok = _may_link((x == y).sum(axis=1), batch.column("nu").to_numpy(), batch.column("nv").to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok))
 
+    u = classes.select(F.col("id").alias("u"), F.col("n_shingles").alias("nu"), F.col("signature").alias("su"))
+    v = classes.select(F.col("id").alias("v"), F.col("n_shingles").alias("nv"), F.col("signature").alias("sv"))
+    return pairs.join(v, "v").join(u, "u").mapInArrow(compare, "u long, v long")
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, percent) -> DataFrame:
+    """Those of ``near`` (u, v) that link by their full sets."""
     def verify(batches):
         for batch in batches:
             ok = [_links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
                   for x, y in zip(batch.column("hu").to_pylist(), batch.column("hv").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    u = classes.select(F.col("id").alias("u"), F.col("n_shingles").alias("nu"), F.col("signature").alias("su"))
-    v = classes.select(F.col("id").alias("v"), F.col("n_shingles").alias("nv"), F.col("signature").alias("sv"))
-    near = written(pairs.join(v, "v").join(u, "u").mapInArrow(compare, "u long, v long"))
-    ids = near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct()
-    sets = written(_full_sets(docs, ids, text, key, shingle).join(classes.select("id", "members"), ["id", "members"], "left_semi").select("id", "hashes").dropDuplicates(["id"]))
     hu, hv = (sets.select(F.col("id").alias(n), F.col("hashes").alias("h" + n)) for n in "uv")
-    return written(near.join(hv, "v").join(hu, "u").mapInArrow(verify, "u long, v long"))
+    return near.join(hv, "v").join(hu, "u").mapInArrow(verify, "u long, v long")
+
+
+def _in_blocks(members: DataFrame, block) -> DataFrame:
+    """``members`` (key, id, size and more) dealt so that any two of a key meet in one (key, first, second).
+
+    A key of at most ``block`` members is one group; a larger one is cut into
+    blocks of about that size, and every pair of blocks is a group.
+    """
+    blocks = F.ceil(F.col("size") / block)
+    own = F.pmod(F.xxhash64("id", "key"), blocks)
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("own", "other", "size")
+
+
+def _promising(buckets: DataFrame, classes: DataFrame, percent, block) -> DataFrame:
+    """key, id of bucket members with a possible link to another member that is not the smallest.
+
+    Judged by one byte of every signature value, chance agreement allowed for; a member is sent on once a bucket.
+    """
+    t = percent / 100
+    low = t - 6 * np.sqrt(t * (1 - t) / HASHES)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id").reset_index(drop=True)
+        sig = np.frombuffer(b"".join(pdf.bytes), np.uint8).reshape(-1, HASHES)
+        sizes, alive = pdf.n_shingles.to_numpy(), np.zeros(len(pdf), bool)
+        for i in range(len(pdf) - 1):
+            near = (sig[i + 1:] == sig[i]).sum(axis=1) >= low * HASHES
+            near &= 100 * np.minimum(sizes[i + 1:], sizes[i]) >= percent * np.maximum(sizes[i + 1:], sizes[i])
+            if near.any():
+                alive[i] = True
+                alive[i + 1:] |= near
+        return pdf.loc[alive, ["key", "id"]]
+
+    def short(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, HASHES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n_shingles", "bytes"])
+
+    bytes_ = classes.select("id", "n_shingles", "signature").mapInArrow(short, "id long, n_shingles long, bytes binary")
+    members = buckets.filter("size > 2 AND id <> hub").select("key", "id", (F.col("size") - 1).alias("size"))
+    return _in_blocks(members.join(bytes_, "id"), block).groupBy("key", "first", "second").applyInPandas(run, "key long, id long").distinct()
+
+
+def _common_counts(sets):
+    """Sizes of all pairwise intersections of sorted sets, by products of blocks of their incidence matrix."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1  # the others are in no intersection
+    number = np.cumsum(shared) - 1
+    use = shared[place]
+    owner, column = owner[use], number[place][use]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for begin in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [begin, begin + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[a:b], column[a:b] - begin] = 1
+        out += part @ part.T
+    return out
 
 
 def _block_links(percent):
-    """Confirmed links between the components in one block, or between two blocks, of a bucket."""
+    """Links between different components in a block, or two blocks, of a bucket; as few as join them."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id").reset_index(drop=True)
-        sig = np.frombuffer(b"".join(pdf.signature), np.uint32).reshape(-1, HASHES)
-        sizes, ids = pdf.n_shingles.to_numpy(), pdf.id.to_numpy()
         sets = [np.frombuffer(h, np.uint64) for h in pdf.hashes]
+        sizes = np.array([len(s) for s in sets])
+        common = _common_counts(sets).astype(np.int64)
         parent = {c: c for c in pdf.component}
 
         def root(c):
@@ -160,50 +227,27 @@ def _block_links(percent):
                 c = parent[c]
             return c
 
-        out = []
+        ids, component, out = pdf.id.tolist(), pdf.component.tolist(), []
         for i in range(len(ids)):
-            same = (sig[i + 1:] == sig[i]).sum(axis=1)
-            for j in np.flatnonzero(_may_link(same, sizes[i], sizes[i + 1:], percent)) + i + 1:
-                a, b = root(pdf.component[i]), root(pdf.component[j])
-                if a != b and _links(sets[i], sets[j], percent):
+            linked = 100 * common[i, i + 1:] >= percent * (sizes[i] + sizes[i + 1:] - common[i, i + 1:])
+            for j in (np.flatnonzero(linked) + i + 1).tolist():
+                a, b = root(component[i]), root(component[j])
+                if a != b:
                     parent[a] = b
                     out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["u", "v"])
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
     return run
 
 
-def _rest_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, text, key, shingle, percent, bands, rows, block) -> DataFrame:
-    """Links inside buckets that the comparison with the smallest class left in several components.
-
-    Large buckets are first split by every second band: classes that link share
-    another band as surely as they shared the first, while classes that a common
-    passage brought together rarely do.
-    """
-    def mixed(members):
-        open_ = members.groupBy("key").agg(F.count("id").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        return written(open_.filter("lo <> hi AND size > 2").select(F.col("key").alias("k"), "size"))
-
-    members = written(buckets.join(labels, F.col("id") == F.col("node"), "left").select(
+def _rest_links(promising: DataFrame, labels: DataFrame, sets: DataFrame, percent, block) -> DataFrame:
+    """Links inside buckets that the comparison with the smallest class left in several components."""
+    members = written(promising.join(labels, F.col("id") == F.col("node"), "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")))
-    found = written(members.join(mixed(members), F.col("key") == F.col("k")).drop("k"))
-    large = found.filter(F.col("size") > block)
-    if not large.isEmpty():
-        other = _band_keys(classes.join(large.select("id").distinct(), "id", "left_semi"), bands, rows).withColumnRenamed("key", "second")
-        finer = large.select("key", "id", "component").join(other, "id").filter("second <> key").select(
-            F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id", "component").distinct()
-        finer = written(finer)
-        found = written(found.filter(F.col("size") <= block).union(finer.join(mixed(finer), F.col("key") == F.col("k")).drop("k")))
-    if found.isEmpty():
-        return None
-    sets = _full_sets(docs, found.select("id").distinct(), text, key, shingle).join(
-        classes.select("id", "members", "n_shingles", "signature"), ["id", "members"]).select("id", "n_shingles", "signature", "hashes").dropDuplicates(["id"])
-    blocks = F.ceil(F.col("size") / block)
-    own = F.pmod(F.xxhash64("id", "key"), blocks)
-    dealt = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
-        "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "id", "component")
-    rows_ = dealt.join(written(sets), "id")
-    return written(rows_.groupBy("key", "first", "second").applyInPandas(_block_links(percent), "u long, v long"))
+    mixed = written(members.groupBy("key").agg(F.count("id").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+                    .filter("lo <> hi").select(F.col("key").alias("k"), "size"))
+    found = members.join(mixed, F.col("key") == F.col("k")).drop("k")
+    return written(_in_blocks(found.join(sets, "id"), block).groupBy("key", "first", "second").applyInPandas(_block_links(percent), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE, percent=THRESHOLD, block=BLOCK) -> DataFrame:
@@ -225,13 +269,17 @@ def near_duplicates(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE,
     member = written(one.join(first, "members").select("id", "class"))
     classes = written(signed.join(first.withColumnRenamed("class", "id"), ["id", "members"], "left_semi").dropDuplicates(["id"]))
     keys = written(_band_keys(classes, bands, rows))
-    hubs = written(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("id").alias("size")).filter("size > 1").select(F.col("key").alias("k"), "hub"))
-    buckets = written(keys.join(hubs, F.col("key") == F.col("k")).select("key", "hub", "id"))
+    hubs = written(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("id").alias("size")).filter("size > 1").withColumnRenamed("key", "k"))
+    buckets = written(keys.join(hubs, F.col("key") == F.col("k")).select("key", "hub", "size", "id"))
     stars = buckets.filter("hub <> id").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    links = _confirmed(stars, classes, docs, text, key, shingle, percent)
+    near = written(_near(stars, classes, percent))
+    promising = written(_promising(buckets, classes, percent, block))
+    ids = near.select(F.explode(F.array("u", "v")).alias("id")).union(promising.select("id")).distinct()
+    sets = written(_full_sets(docs, ids, text, key, shingle).join(classes.select("id", "members"), ["id", "members"], "left_semi").select("id", "hashes").dropDuplicates(["id"]))
+    links = written(_confirmed(near, sets, percent))
     labels = written(components(links))
-    rest = _rest_links(buckets.select("key", "id"), labels, classes, docs, text, key, shingle, percent, bands, rows, block)
-    if rest is not None and not rest.isEmpty():
+    rest = _rest_links(promising, labels, sets, percent, block)
+    if not rest.isEmpty():
         labels = written(components(links.union(rest)))
     found = member.join(labels, F.col("class") == F.col("node"), "left").select(
         F.col("id").alias("__id"), F.coalesce("component", "class").alias("component_id"))
