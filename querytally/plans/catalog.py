@@ -209,13 +209,13 @@ def nearest_objects_query(t):
 @query("nearest_scoped", """
     WITH v AS (SELECT vec_id, CASE WHEN label % 3 <> 0 THEN label END AS scope, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, o.vec_id AS object_id, LIST_COSINE_SIMILARITY(q.e, o.e) AS score
-          FROM v q JOIN v o ON q.scope IS NOT DISTINCT FROM o.scope WHERE q.vec_id % 50 = 0),
+          FROM v q JOIN v o ON q.scope IS NOT DISTINCT FROM o.scope WHERE q.vec_id % 100 = 0),
     k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, object_id) AS rank FROM s)
     SELECT query_id, object_id, ROUND(score, 6) AS score, rank FROM k WHERE rank <= 3""")
 def nearest_scoped(t):
-    """Every fiftieth vector against all of its label; a third of the labels is null."""
+    """Every hundredth vector against all of its label; a third of the labels is null."""
     vectors = t.embeddings.select("vec_id", F.when(c("label") % 3 != 0, c("label")).alias("scope"), c("embedding").alias("vector"))
-    asked = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    asked = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return nearest_objects(asked, vectors.withColumnRenamed("vec_id", "object_id"), k=3, scope="scope").select(
         "query_id", "object_id", F.round("score", 6).alias("score"), c("rank").cast("long").alias("rank"))
 

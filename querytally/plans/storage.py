@@ -29,18 +29,20 @@ def cases_written_and_read(t):
 
 
 @query("question_files", """
-    SELECT 'q' || r_regionkey AS dataset, LPAD(CAST(ROW_NUMBER() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS VARCHAR), 1, '0') AS name,
-           n_name AS database, 'Region of ' || n_name || CHR(10) || r_name AS question, 'select ''' || n_name || '''' AS query
-    FROM nation JOIN region ON n_regionkey = r_regionkey""")
+    WITH s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) AS r, COUNT(*) OVER (PARTITION BY n_regionkey) AS k
+               FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT 'q' || n_regionkey AS dataset, LPAD(CAST(r AS VARCHAR), CAST(LENGTH(CAST(k AS VARCHAR)) AS INT), '0') AS name, n_name AS database,
+           'Where is ' || s_name || '?' || CHR(10) || 'in ' || n_name AS question, 'select ''' || s_name || '''' AS query
+    FROM s""")
 def questions_written_and_read(t):
-    """A question file per region, a JSON array each, made into cases."""
+    """A question file per region, a JSON array of its suppliers each, made into cases."""
     path, out = work_path(t.spark), None
-    one = F.struct("n_nationkey", c("n_name").alias("db_id"), F.concat(F.lit("Region of "), "n_name").alias("question"),
-                   c("r_name").alias("evidence"), F.concat(F.lit('select "'), "n_name", F.lit('"')).alias("SQL"))
-    t.nation.join(t.region, c("n_regionkey") == c("r_regionkey")).groupBy("r_regionkey").agg(
-        F.to_json(F.array_sort(F.collect_list(one))).alias("value")).write.partitionBy("r_regionkey").text(path)
+    one = F.struct("s_suppkey", c("n_name").alias("db_id"), F.concat(F.lit("Where is "), "s_name", F.lit("?")).alias("question"),
+                   F.concat(F.lit("in "), "n_name").alias("evidence"), F.concat(F.lit('select "'), "s_name", F.lit('"')).alias("SQL"))
+    t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).groupBy("n_regionkey").agg(
+        F.to_json(F.array_sort(F.collect_list(one))).alias("value")).write.partitionBy("n_regionkey").text(path)
     for region in sorted(r.r_regionkey for r in t.region.select("r_regionkey").collect()):
-        built = case_files.build_cases(case_files.read_questions(t.spark, [f"{path}/r_regionkey={region}"]), f"q{region}")
+        built = case_files.build_cases(case_files.read_questions(t.spark, [f"{path}/n_regionkey={region}"]), f"q{region}")
         out = built if out is None else out.unionByName(built)
     return out
 
@@ -93,15 +95,15 @@ def reports_appended_and_read(t):
 
 
 @query("table_metadata", """
-    SELECT r_name AS table, n_name AS column, 'VARCHAR' AS data_type, 'Nation ' || n_nationkey || ' of ' || r_name AS description
-    FROM nation JOIN region ON n_regionkey = r_regionkey""")
+    SELECT n_name AS table, s_name AS column, 'VARCHAR' AS data_type, 'Supplier ' || s_suppkey || ' of ' || n_name AS description
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def metadata_written_and_read(t):
-    """Regions as tables, their nations as described columns, one JSON document."""
+    """Nations as tables, their suppliers as described columns, a JSON document each."""
     path = work_path(t.spark)
-    one = F.struct(c("n_name").alias("column_name"), F.lit("VARCHAR").alias("data_type"),
-                   F.concat(F.lit("Nation "), "n_nationkey", F.lit(" of "), "r_name").alias("column_description"))
-    tables = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey")).groupBy("r_name").agg(F.collect_list(one).alias("columns"))
-    tables.select(F.to_json(F.struct(F.map_from_arrays(F.array("r_name"), F.array("columns")).alias("table_metadata"))).alias("value")) \
+    one = F.struct(c("s_name").alias("column_name"), F.lit("VARCHAR").alias("data_type"),
+                   F.concat(F.lit("Supplier "), "s_suppkey", F.lit(" of "), "n_name").alias("column_description"))
+    tables = t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).groupBy("n_name").agg(F.collect_list(one).alias("columns"))
+    tables.select(F.to_json(F.struct(F.map_from_arrays(F.array("n_name"), F.array("columns")).alias("table_metadata"))).alias("value")) \
         .withColumn("file", F.sha2("value", 256)).write.partitionBy("file").text(path)
     return catalog.read_table_metadata(t.spark, f"{path}/*")
 
