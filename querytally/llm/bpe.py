@@ -30,6 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 KNOWN_PIECES = 1_000_000  # entries kept by a worker; the dictionary starts anew beyond
 SHORT_WORD = 64
+TEXT_BYTES = 4_000_000  # of texts that are encoded together
 _NONE = np.iinfo(np.int64).max
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
@@ -236,7 +237,7 @@ def bpe(path) -> ByteBpe:
 
 def text_groups(column):
     """Lists of texts of about equal bytes; null texts are empty."""
-    for first, data, offsets in byte_slices(column):
+    for first, data, offsets in byte_slices(column, TEXT_BYTES):
         whole = data.tobytes()
         yield first, [whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
