@@ -35,23 +35,26 @@ def column_equal(e, ek, a, ak):
     return all(close(x, y) for x, y in zip(sorted(e, key=rank), sorted(a, key=rank)))
 
 
-def rows_equal(a_cols, e_cols, kinds, floats_last):
-    order = range(len(kinds))
-    if floats_last:
-        order = [i for i in order if kinds[i] != "f"] + [i for i in order if kinds[i] == "f"]
-
+def rows_equal(a_cols, e_cols):
+    """Sorted rows agree one by one."""
     def ordered(cols):
-        return sorted(zip(*[cols[i] for i in order]), key=lambda r: [rank(v) for v in r])
+        return sorted(zip(*cols), key=lambda r: [rank(v) for v in r])
 
     return all(all(close(x, y) for x, y in zip(p, q)) for p, q in zip(ordered(a_cols), ordered(e_cols)))
 
 
+def rows_pair_up(a_cols, e_cols):
+    """Some pairing of the rows agrees."""
+    a, e = list(zip(*a_cols)), list(zip(*e_cols))
+    return any(all(close(x, y) for p, q in zip(a, pick) for x, y in zip(p, q)) for pick in itertools.permutations(e))
+
+
 def wanted(a, ak, e, ek):
     if len(a) < len(e):
         return False
     return any(
         all(column_equal(e[i], ek[i], a[p], ak[p]) for i, p in enumerate(pick))
-        and rows_equal([a[p] for p in pick], e, ek, True)
+        and rows_pair_up([a[p] for p in pick], e)
         for pick in itertools.permutations(range(len(a)), len(e)))
 
 
@@ -65,7 +68,7 @@ def wanted_faithful(a, ak, e, ek):
                 taken[p] = i
                 break
     back = {i: p for p, i in taken.items()}
-    return len(back) == len(e) and rows_equal([a[back[i]] for i in range(len(e))], e, ek, False)
+    return len(back) == len(e) and rows_equal([a[back[i]] for i in range(len(e))], e)
 
 
 def make_case(rnd):
