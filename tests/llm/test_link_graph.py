@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import actual, actual_types, connect, expected, expected_types
-from querytally.llm.link_graph import ORACLE, RULES, judge, judged, rule_table, with_host_and_path
+from querytally.llm.link_graph import ORACLE, RULES, judge, judged, propagate, rule_table, with_host_and_path
 
 SF = "/root/testdata/sf0.01"
 
@@ -109,3 +109,25 @@ def test_against_sql(spark, pages):
     con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", PAGES)
     assert actual(judged(spark, pages)) == expected(con, ORACLE)
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 10, 1000])
+def test_verdicts_do_not_hang_on_the_number_of_linkers(spark, linkers):
+    """Every host that links to a blocked one only is blocked; one with as many neutral links is not, nor one that is vouched for."""
+    rows = [(f"http://farm{i}.test/", a("http://bad.net/")) for i in range(linkers)]
+    rows += [(f"http://half{i}.test/", a("http://bad.net/", "http://plain.test/")) for i in range(linkers)]
+    rows += [(f"http://lead{i}.test/", a(f"http://farm{i}.test/")) for i in range(linkers)]
+    rows += [(f"http://known{i}.test/", a("http://bad.net/")) for i in range(linkers)]
+    rows += [("http://good.org/fr/", a(*(f"http://known{i}.test/" for i in range(linkers))))]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    kind = Counter((r.host.split(".")[0].rstrip("0123456789"), r.verdict) for r in judged(spark, frame).collect())
+    assert kind == {("farm", "block"): linkers, ("half", "allow"): linkers, ("lead", "block"): linkers, ("known", "allow"): linkers, ("good", "allow"): 1}
+
+
+def test_scores_reach_the_end_of_a_long_chain(spark):
+    """Twenty hosts in a row: the last has what the first sends, the first is exposed to what the last is."""
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(20)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([(f"h{i}", float(i == 0), float(i == 20)) for i in range(21)], "host string, good double, bad double")
+    by = {r.host: r for r in propagate(links, seeds).collect()}
+    assert by["h20"].trust == pytest.approx(0.85**20) and by["h0"].distrust == pytest.approx(0.85**20)
+    assert by["h19"].endorsed == pytest.approx(0.85**19) and by["h1"].exposed == pytest.approx(0.85**19) and by["h0"].exposed == 0
