@@ -19,7 +19,9 @@ from .grams import byte_slices, trigrams
 BITS = 14
 TRAINING_ROWS = 100_000  # labelled rows a model is fitted on, chosen by a hash of their id
 MAX_LANGUAGES = 512
-CANDIDATES = 6  # best languages by themselves, which enter the mixture
+CANDIDATES = 6  # best languages by themselves, with which a mixture begins; others enter as far as they may raise its likelihood
+GAP = 0.01  # log likelihood that a language left out may add at most, by the slope of the mixture's
+_CHUNK = 1 << 16  # distinct trigrams of documents side by side; a document has at most 2**BITS
 ROUNDS = 15
 PENALTY = 1.5  # times the log of the trigram count, for each further language: half (BIC), thrice as trigrams overlap
 SMOOTHING = 0.1
@@ -107,8 +109,48 @@ def _mixture(p, counts, edges, allowed, rounds):
     return share, np.add.reduceat(counts * np.log(weight), edges[:-1])
 
 
+def _part(edges, docs):
+    """Positions of the trigrams of ``docs``, and their edges among themselves."""
+    return np.concatenate([np.arange(edges[i], edges[i + 1]) for i in docs]), np.concatenate([[0], np.cumsum(np.diff(edges)[docs])])
+
+
+def _rows(best, probabilities, buckets, edges):
+    """Candidates x distinct trigrams: each document's own candidates, any row where it has none (-1)."""
+    position = np.repeat(np.arange(len(best)), np.diff(edges))
+    return np.stack([probabilities[best[position, j], buckets] for j in range(best.shape[1])])
+
+
+def _entered(best, probabilities, counts, buckets, edges, rounds):
+    """``best`` (documents x candidates) with the further languages that may raise a mixture's likelihood.
+
+    The log likelihood is concave in the shares, so a language adds at most its slope at the mixture (the sum over
+    trigrams of count x probability / weight) less the number of trigrams. Languages enter until none is left with
+    more than GAP, at the latest when all learned ones are in.
+    """
+    open_ = np.arange(len(best))
+    while len(open_) and best.shape[1] < len(probabilities):
+        at, part = _part(edges, open_)
+        own = best[open_]
+        p = _rows(own, probabilities, buckets[at], part)
+        share, _ = _mixture(p, counts[at], part, (own >= 0).astype(float), rounds)
+        ratio = counts[at] / sum(np.repeat(share[:, j], np.diff(part)) * p[j] for j in range(len(p)))
+        slope = np.stack([np.add.reduceat(ratio * row[buckets[at]], part[:-1]) for row in probabilities], axis=1)
+        slope -= np.add.reduceat(counts[at], part[:-1])[:, None]
+        doc, column = np.nonzero(own >= 0)
+        slope[doc, own[doc, column]] = -np.inf
+        new = np.argsort(-slope, axis=1, kind="stable")[:, :CANDIDATES]
+        new = np.where(np.take_along_axis(slope, new, axis=1) > GAP, new, -1)
+        more = np.full((len(best), new.shape[1]), -1)
+        more[open_] = new
+        best = np.concatenate([best, more], axis=1)
+        best = np.take_along_axis(best, np.argsort(best < 0, axis=1, kind="stable"), axis=1)
+        best = best[:, (best >= 0).any(axis=0)]
+        open_ = open_[new[:, 0] >= 0]
+    return best
+
+
 def infer(texts, probabilities, candidates=CANDIDATES, penalty=PENALTY, rounds=ROUNDS):
-    """Languages (row numbers of ``probabilities``, -1: none) and shares per text, each texts x candidates."""
+    """Languages (row numbers of ``probabilities``, -1: none) and shares per text, each texts x as many as one text needs."""
     k = min(candidates, len(probabilities))
     chosen, shares = np.full((len(texts), k), -1), np.zeros((len(texts), k))
     buckets, edges = _trigrams(texts)
@@ -120,34 +162,51 @@ def infer(texts, probabilities, candidates=CANDIDATES, penalty=PENALTY, rounds=R
     counts = counts.astype(float)
     doc, buckets = keys >> BITS, keys & ((1 << BITS) - 1)
     edges = np.append(np.searchsorted(doc, filled), len(doc))
+    logs = np.log(probabilities)
+    # a mixture of few languages is small; with more, documents go in chunks, as any number may enter
+    chunk = (edges[:-1] // _CHUNK) if k < len(probabilities) else np.zeros(len(filled), int)
+    for c in np.unique(chunk):
+        docs = np.flatnonzero(chunk == c)
+        a, b = edges[docs[0]], edges[docs[-1] + 1]
+        best, result = _best_sets(probabilities, logs, counts[a:b], buckets[a:b], edges[docs[0]:docs[-1] + 2] - a, k, penalty, rounds)
+        if best.shape[1] > chosen.shape[1]:
+            wider = ((0, 0), (0, best.shape[1] - chosen.shape[1]))
+            chosen, shares = np.pad(chosen, wider, constant_values=-1), np.pad(shares, wider)
+        order = np.argsort(-result, axis=1, kind="stable")
+        found = np.take_along_axis(result, order, axis=1)
+        shares[filled[docs], :best.shape[1]] = found
+        chosen[filled[docs], :best.shape[1]] = np.where(found > 0, np.take_along_axis(best, order, axis=1), -1)
+    return chosen, shares
+
+
+def _best_sets(probabilities, logs, counts, buckets, edges, k, penalty, rounds):
+    """Candidates and their shares in the best set, each documents x candidates."""
+    n = len(edges) - 1
     totals = np.add.reduceat(counts, edges[:-1])
-    alone = np.stack([np.add.reduceat(counts * np.log(row)[buckets], edges[:-1]) for row in probabilities], axis=1)
+    alone = np.stack([np.add.reduceat(counts * row[buckets], edges[:-1]) for row in logs], axis=1)
     best = np.argsort(-alone, axis=1, kind="stable")[:, :k]
+    score = alone[np.arange(n), best[:, 0]]
+    best = _entered(best, probabilities, counts, buckets, edges, rounds)
+    k = best.shape[1]
     price = penalty * np.log(totals + 1)
-    position = np.repeat(np.arange(len(filled)), np.diff(edges))
-    p = np.stack([probabilities[best[position, j], buckets] for j in range(k)])
-    full, top = _mixture(p, counts, edges, np.ones((len(filled), k)), rounds)
+    p = _rows(best, probabilities, buckets, edges)
+    full, top = _mixture(p, counts, edges, (best >= 0).astype(float), rounds)
     # a set of m languages scores its likelihood less m - 1 penalties; none beats the full mixture's likelihood
-    score = alone[np.arange(len(filled)), best[:, 0]]
     result = np.zeros_like(full)
     result[:, 0] = 1
     by_share = np.argsort(-full, axis=1, kind="stable")
     for m in range(2, k + 1):
-        open_ = np.flatnonzero(top - (m - 1) * price > score)
+        open_ = np.flatnonzero((top - (m - 1) * price > score) & ((best >= 0).sum(axis=1) >= m))
         if not len(open_):
             break
-        part = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in open_])
-        part_edges = np.concatenate([[0], np.cumsum(np.diff(edges)[open_])])
+        part, part_edges = _part(edges, open_)
         allowed = np.zeros((len(open_), k))
         np.put_along_axis(allowed, by_share[open_, :m], 1, axis=1)
         share, likelihood = _mixture(p[:, part], counts[part], part_edges, allowed, rounds)
         better = likelihood - (m - 1) * price[open_] > score[open_]
         result[open_[better]] = share[better]
         score[open_[better]] = (likelihood - (m - 1) * price[open_])[better]
-    order = np.argsort(-result, axis=1, kind="stable")
-    shares[filled] = np.take_along_axis(result, order, axis=1)
-    chosen[filled] = np.where(shares[filled] > 0, np.take_along_axis(best, order, axis=1), -1)
-    return chosen, shares
+    return best, result
 
 
 def _has_letter(text: bytes):

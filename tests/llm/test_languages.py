@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querytally.llm.languages import held_out, identify, infer, train
+from querytally.llm.languages import _trigrams, held_out, identify, infer, train
 from querytally.llm.queries import op1
 
 SF = "/root/testdata/sf0.01"
@@ -63,3 +63,32 @@ def test_odd_texts(spark, model):
 def test_no_labelled_rows(spark):
     frame = spark.createDataFrame([(1, "der", None)], "doc_id long, text string, lang string")
     assert identify(frame, train(frame)).first().lang_pred == "und"
+
+
+def _invented(rng):
+    """Texts of sixteen languages: eight with many words of few letters, so close to each other, eight with few words of other letters."""
+    words = []
+    for letters, n in (("aeiounrstl", 300), ("ابتثجحخدرزسشعغفقكلمنهوي", 60)):
+        words += [["".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(n)] for _ in range(8)]
+    return lambda i, n: " ".join(rng.choice(words[i], n))
+
+
+def test_a_minority_language_beyond_the_best_six(spark):
+    """Four fifths of one script and a fifth of another: by itself the minority's language explains the whole text worse than six others."""
+    text = _invented(np.random.default_rng(5))
+    learned = train(spark.createDataFrame([(i * 20 + j, text(i, 200), f"l{i:02}") for i in range(16) for j in range(20)], "doc_id long, text string, lang string"))
+    mixed = [(text(0, 160) + " " + text(9, 40)).encode() for _ in range(6)]
+    for one in mixed:
+        alone = np.log(learned.probabilities)[:, _trigrams([one])[0]].sum(axis=1)
+        assert (alone > alone[9]).sum() >= 6
+    chosen, shares = infer([*mixed, b"", mixed[0][:400]], learned.probabilities)
+    assert chosen[:6, :3].tolist() == [[0, 9, -1]] * 6 and chosen[7, 0] == 0 and (chosen[6] == -1).all()
+    assert (shares[:6, 1] > 0.15).all() and np.allclose(shares[:6].sum(axis=1), 1)
+
+
+def test_candidates_to_begin_with_do_not_decide(docs, model):
+    """Starting from one or two languages gives the sets that all of them give."""
+    by = {lang: [r.text.encode() for r in docs.filter(f"lang = '{lang}' AND length(text) > 1500").orderBy("doc_id").limit(6).collect()] for lang in ("de", "fr", "es")}
+    mixed = [a[:900] + b" " + b[:300] + b" " + c[:300] for a, b, c in zip(*by.values())] + by["fr"]
+    sets = [[sorted(x for x in c if x >= 0) for c in infer(mixed, model.probabilities, candidates=n)[0].tolist()] for n in (1, 2, len(model.names))]
+    assert sets[0] == sets[1] == sets[2] and len(sets[2][0]) == 3
