@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import written
+from .components import components
 from .numbering import number_within
 from .ordered import chunked, running_sum
 from .results import ACTUAL, EXPECTED, result_header, result_rows, with_unique_names
@@ -287,13 +288,122 @@ def _float_steps(tagged: DataFrame, keys: list) -> DataFrame:
     return tagged.join(per_row, [*keys, "attempt", "side", "row_id"], "left")
 
 
+def _agree() -> Column:
+    """The rows ``al`` and ``el`` agree in each column, floats within the tolerance."""
+    return F.expr(f"""
+        forall(sequence(0, size(el) - 1), i -> (al[i] <=> el[i]) or (
+            substring(kinds, i + 1, 1) = 'f' and al[i] is not null and el[i] is not null
+            and abs(cast(al[i] as double) - cast(el[i] as double))
+                <= {ABSOLUTE}D + {RELATIVE}D * abs(cast(el[i] as double))))""")
+
+
+def _with_part(rows: DataFrame, keys: list) -> DataFrame:
+    """Add ``part``: rows that may pair up, or that a chain of such pairs links, have the same.
+
+    Floats are put on a scale on which the tolerance is one everywhere and cut into cells; rows that agree are in the
+    same or in neighbouring cells. Cells, not rows, are linked, by the three float columns with the most cells.
+    """
+    case = [*keys, "attempt"]
+    # the integral of 1 / tolerance; a little more than one wide, as the tolerance changes between two values
+    cell = f"""case when substring(kinds, i + 1, 1) = 'f' and c is not null then cast(floor(signum(try_cast(c as double))
+        * ln(1 + least(abs(try_cast(c as double)), 1e300D) * {RELATIVE / ABSOLUTE}D) / {RELATIVE * 1.001}D) as bigint) end"""
+    rows = rows.withColumn("cells", F.expr(f"transform(line, (c, i) -> if(isnan(try_cast(if(substring(kinds, i + 1, 1) = 'f', c, null) as double)), null, {cell}))"))
+    counts = rows.select(*case, F.posexplode("cells").alias("pos", "cell")).filter("cell IS NOT NULL").groupBy(*case, "pos").agg(
+        F.approx_count_distinct("cell").alias("n"))
+    wide = counts.groupBy(*case).agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "pos")), asc=False), 1, 3).alias("wide"))
+    node = lambda cells: F.xxhash64(*case, "range", cells)
+    rows = written(rows.join(wide, case, "left").withColumn(
+        "cells", F.transform(F.coalesce("wide.pos", F.array().cast("array<int>")), lambda p: F.get("cells", p))).drop("wide").withColumn("node", node(F.col("cells"))))
+    nodes = written(rows.select(*case, "range", "cells", "node").distinct())
+    steps = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
+    near = nodes
+    for i in range(3):
+        moved = F.transform("cells", lambda x, at: F.when(at == F.lit(i), x + F.col("step")).otherwise(x))
+        near = near.withColumn("step", F.explode(F.when(F.get("cells", F.lit(i)).isNull(), F.array(F.lit(0).cast("long"))).otherwise(steps))).withColumn(
+            "cells", moved).drop("step")
+    links = near.select(F.col("node").alias("u"), node(F.col("cells")).alias("v")).filter("u <> v").join(
+        nodes.select(F.col("node").alias("v")).distinct(), "v", "left_semi")
+    return rows.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("cells", "node", "component")
+
+
+def _unpaired(rows: DataFrame, keys: list) -> DataFrame:
+    """(keys, attempt) whose ``rows`` (range, side, row_id, kinds, line) have no pairing within the tolerance.
+
+    Exact: parts of one row a side are compared, larger ones with equal counts go through bipartite matching.
+    """
+    case = [*keys, "attempt"]
+    rows = written(_with_part(rows, keys))
+    a, e = F.col("side") == ACTUAL, F.col("side") == EXPECTED
+    parts = written(rows.groupBy(*case, "part").agg(
+        F.max("kinds").alias("kinds"), F.count_if(a).alias("n_a"), F.count_if(e).alias("n_e"),
+        F.max(F.when(a, F.col("line"))).alias("al"), F.max(F.when(e, F.col("line"))).alias("el")))
+    off = parts.filter((F.col("n_a") != F.col("n_e")) | ((F.col("n_a") == 1) & ~_agree())).select(*case).distinct()
+    larger = parts.filter("n_a = n_e AND n_a > 1").join(off, case, "left_anti").select(*case, "part")
+    if larger.isEmpty():
+        return off
+    absolute, relative, expected = ABSOLUTE, RELATIVE, EXPECTED
+
+    def match(frame):
+        import numpy as np
+
+        kinds = frame["kinds"].iloc[0]
+        floats = [i for i, k in enumerate(kinds) if k == "f"]
+        sides = []
+        for wanted in (False, True):
+            lines = frame.loc[(frame["side"] == expected) == wanted, "line"]
+            texts = [tuple(line) for line in lines]
+            exact = [(tuple(None if k == "f" else c for c, k in zip(t, kinds)), tuple(t[i] if t[i] in (None, "NaN") else "" for i in floats)) for t in texts]
+            values = np.array([[np.nan if t[i] is None else float(t[i]) for i in floats] for t in texts])
+            sides.append((exact, values))
+        (a_exact, a), (e_exact, e) = sides
+        number = {}
+        a_class, e_class = (np.array([number.setdefault(x, len(number)) for x in exact]) for exact in (a_exact, e_exact))
+        with np.errstate(invalid="ignore"):
+            widest = max(range(len(floats)), key=lambda j: len(np.unique(e[:, j])))
+            order = np.argsort(e[:, widest], kind="stable")  # nan last
+            line = e[order, widest]
+            reach = absolute + relative * (np.abs(a[:, widest]) * 1.001 + 2 * absolute)
+            low, high = np.searchsorted(line, a[:, widest] - reach), np.searchsorted(line, a[:, widest] + reach, side="right")
+
+            def partners(i):
+                at = order[low[i]:high[i]] if np.isfinite(a[i, widest]) else order
+                at = at[e_class[at] == a_class[i]]
+                there, here = e[at], a[i]
+                fits = (there == here) | (np.isnan(there) & np.isnan(here)) | (np.abs(there - here) <= absolute + relative * np.abs(there))
+                return at[fits.all(axis=1)]
+
+            of, held = np.full(len(e), -1), np.full(len(a), -1)
+            for start in range(len(a)):  # a shortest augmenting path from each row
+                came, queue, end = {}, [start], -1
+                for i in queue:
+                    for j in partners(i).tolist():
+                        if j not in came:
+                            came[j] = i
+                            if of[j] < 0:
+                                end = j
+                                break
+                            queue.append(int(of[j]))
+                    if end >= 0:
+                        break
+                if end < 0:
+                    return frame.iloc[:1][case]
+                while end >= 0:
+                    i = came[end]
+                    of[end], held[i], end = i, end, int(held[i])
+        return frame.iloc[:0][case]
+
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in case)
+    return off.union(rows.join(larger, [*case, "part"], "left_semi").groupBy(*case, "part").applyInPandas(match, schema)).distinct()
+
+
 def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful: bool) -> DataFrame:
     """Attempts whose sorted rows agree pairwise, floats within the tolerance.
 
     ``attempts`` carries the expected ``kinds``. Rows sort by their columns in
     expected order; the default reading puts exact columns first, then the steps
     of the floats, then the floats, so that noise in one float cannot shift the
-    rows against each other in another.
+    rows against each other in another. Where a range of equal exact columns and steps
+    does not agree in that order, a pairing of its rows is looked for.
     """
     tagged = spread_join(rows.drop("kinds"), attempts, keys)
     projected = F.when(
@@ -313,19 +423,26 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
         steps = F.transform(F.coalesce("steps", F.array()), lambda s: F.struct(
             s["step"].cast("double").alias("num"), s["pos"].cast("string").alias("txt"), F.lit(True).alias("loose")))
         tagged = tagged.withColumn("key", F.concat(
-            F.filter("key", lambda k: ~k["loose"]), steps, F.filter("key", lambda k: k["loose"]))).drop("steps")
+            F.filter("key", lambda k: ~k["loose"]), steps, F.filter("key", lambda k: k["loose"]))).withColumn(
+            "range", F.xxhash64(F.to_json(F.struct(F.filter("key", lambda k: ~k["loose"]), "steps")))).drop("steps")
     ranked = number_within(tagged, [*keys, "attempt", "side"], [F.col("key").asc(), F.col("row_id").asc()])
+    if faithful:
+        ranked = ranked.withColumn("range", F.lit(0).cast("long"))
     paired = ranked.groupBy(*keys, "attempt", "n").agg(
         F.max("kinds").alias("kinds"),
-        F.max(F.when(F.col("side") == ACTUAL, F.col("line"))).alias("al"),
-        F.max(F.when(F.col("side") == EXPECTED, F.col("line"))).alias("el"))
-    agree = F.expr(f"""
-        forall(sequence(0, size(el) - 1), i -> (al[i] <=> el[i]) or (
-            substring(kinds, i + 1, 1) = 'f' and al[i] is not null and el[i] is not null
-            and abs(cast(al[i] as double) - cast(el[i] as double))
-                <= {ABSOLUTE}D + {RELATIVE}D * abs(cast(el[i] as double))))""")
-    off = paired.filter(F.col("al").isNull() | F.col("el").isNull() | ~agree).select(*keys, "attempt").distinct()
-    return attempts.join(off, [*keys, "attempt"], "left_anti")
+        *(F.max(F.when(F.col("side") == side, F.col(of))).alias(name)
+          for side, of, name in ((ACTUAL, "line", "al"), (EXPECTED, "line", "el"), (ACTUAL, "range", "ar"), (EXPECTED, "range", "er"))))
+    off = paired.filter(F.col("al").isNull() | F.col("el").isNull() | ~_agree())
+    if not faithful:
+        off = written(off.select(*keys, "attempt", "kinds", "ar", "er"))
+        # rows pair inside their range only, so one that meets another range leaves some row without a partner
+        lost = off.filter("NOT (ar <=> er) OR kinds NOT LIKE '%f%f%'").select(*keys, "attempt").distinct()
+        ranges = off.join(lost, [*keys, "attempt"], "left_anti").select(*keys, "attempt", F.col("ar").alias("range")).distinct()
+        if not ranges.isEmpty():
+            open_rows = ranked.join(ranges, [*keys, "attempt", "range"], "left_semi").select(*keys, "attempt", "range", "side", "row_id", "kinds", "line")
+            lost = lost.union(_unpaired(written(open_rows), keys))
+        off = lost
+    return attempts.join(off.select(*keys, "attempt").distinct(), [*keys, "attempt"], "left_anti")
 
 
 def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool) -> DataFrame:

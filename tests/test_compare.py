@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,32 @@ def test_table_sets(spark):
                                "a array<string>, e array<string>")
     got = df.select(table_sets_match("a", "e", False).alias("l"), table_sets_match("a", "e", True).alias("s")).collect()
     assert [(r.l, r.s) for r in got] == [(True, False), (False, False), (True, True)]
+
+
+def dense(n, seed=3):
+    """Two columns of cents without a gap beyond the tolerance, the first with many ties."""
+    rnd = random.Random(seed)
+    x = [90_000 + rnd.randrange(n // 2) / 100 for _ in range(n)]
+    return x, [90_000 + rnd.randrange(4 * n) / 100 for _ in range(n)]
+
+
+def test_noise_in_dense_floats(spark):
+    """Each column is one step from end to end: rows still pair by both columns."""
+    x, y = dense(20_000)
+    rnd = random.Random(4)
+    shaken = [[v + rnd.choice((-1e-10, 0.0, 1e-10)) for v in c] for c in (x, y)]
+    expected = frame(spark, x=x, y=y)
+    assert frames_equal(frame(spark, x=shaken[0], y=shaken[1]), expected)
+    # both columns agree by themselves, but not together: a few far values of y change rows
+    y2 = list(y)
+    low, high = sorted(range(len(y)), key=lambda i: y[i])[:: len(y) - 1]
+    y2[low], y2[high] = y[high], y[low]
+    assert not frames_equal(frame(spark, x=shaken[0], y=[v + 1e-10 for v in y2]), expected)
+
+
+def test_a_pairing_that_no_sorting_finds(spark):
+    """Two rows cross in x within the tolerance and lie apart in y, where other rows close the gap between them."""
+    t = 0.9e-5  # a little less than the tolerance at 1
+    a = frame(spark, x=[1.0, 1 + t, 3.0, 5.0], y=[1.0, 1 + 3 * t, 1 + t, 1 + 2 * t])
+    assert frames_equal(a, frame(spark, x=[1 + t, 1.0, 3.0, 5.0], y=[1.0, 1 + 3 * t, 1 + t, 1 + 2 * t]))
+    assert not frames_equal(a, frame(spark, x=[1.0, 3.0, 1 + t, 5.0], y=[1.0, 1 + 3 * t, 1 + t, 1 + 2 * t]))
