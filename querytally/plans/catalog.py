@@ -42,13 +42,38 @@ def table_text(t):
     FROM (SELECT l_suppkey, ROW_NUMBER() OVER (PARTITION BY l_suppkey % 2 ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem) s
     GROUP BY l_suppkey % 2""")
 def whole_table_text(t):
-    """Two tables with more columns than a piece holds: the joined pieces are one definition."""
+    """Two tables with more columns than a piece holds: the joined pieces are one definition.
+
+    Its digest takes up a table's pieces one after the other, so no definition has to be one string.
+    """
     rows = t.lineitem.select((c("l_suppkey") % 2).alias("g"), "l_orderkey", "l_linenumber", "l_suppkey")
     columns = number_within(rows, ["g"], ["l_orderkey", "l_linenumber", "l_suppkey"], "ordinal", start=1).select(
         F.concat(F.lit("p"), "g").alias("table_name"), "ordinal", F.concat(F.lit("c"), "ordinal").alias("column_name"),
         F.lit("text").alias("data_type"), F.lit(True).alias("nullable"), F.lit(None).cast("string").alias("comment"))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("piece", "ddl"))), lambda p: p["ddl"])
-    return table_texts(columns).groupBy("table_name").agg(F.md5(F.array_join(pieces, "")).alias("digest"))
+    return joined_digests(table_texts(columns))
+
+
+def joined_digests(pieces):
+    """table_name and the MD5 of its joined pieces (table_name, piece, ddl)."""
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        name, state = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([state.hexdigest()], pa.string())], ["table_name", "digest"])
+        for batch in batches:
+            for table, ddl in zip(batch.column(0), batch.column(1)):
+                if state is None or table.as_py() != name:
+                    if state is not None:
+                        yield row()
+                    name, state = table.as_py(), hashlib.md5()
+                state.update(ddl.as_py().encode())
+        if state is not None:
+            yield row()
+
+    in_order = pieces.repartition("table_name").sortWithinPartitions("table_name", "piece")
+    return in_order.select("table_name", "ddl").mapInArrow(run, "table_name string, digest string")
 
 
 @query("conversation_text", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs
 from ..operators.compare import frames_equal
+from ..operators.numbering import number_within
 from ..session import work_path, written
 from ..sources import cases as case_files, catalog, databases, runs as run_files
 from .evaluation import CASES_SQL, USAGE_SQL, run_evals
@@ -13,6 +14,13 @@ from .registry import query
 
 c = F.col
 
+BLOCK = 50_000  # rows of a JSON document at most
+
+
+def in_blocks(rows, key, order):
+    """``rows`` with ``block``, which numbers each ``key``'s runs of BLOCK rows in order."""
+    return number_within(rows, [key], [order], "n", start=0).withColumn("block", F.expr(f"n div {BLOCK}")).drop("n")
+
 
 @query("case_files", """
     SELECT 'd' || (s_nationkey % 3) AS dataset, LPAD(CAST(s_suppkey AS VARCHAR), 8, '0') AS name, n_name AS database,
@@ -35,14 +43,17 @@ def cases_written_and_read(t):
            'Where is ' || s_name || '?' || CHR(10) || 'in ' || n_name AS question, 'select ''' || s_name || '''' AS query
     FROM s""")
 def questions_written_and_read(t):
-    """A question file per region, a JSON array of its suppliers each, made into cases."""
+    """Question files of each region, a JSON array of up to BLOCK of its suppliers each, made into cases."""
     path, out = work_path(t.spark), None
     one = F.struct("s_suppkey", c("n_name").alias("db_id"), F.concat(F.lit("Where is "), "s_name", F.lit("?")).alias("question"),
                    F.concat(F.lit("in "), "n_name").alias("evidence"), F.concat(F.lit('select "'), "s_name", F.lit('"')).alias("SQL"))
-    t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).groupBy("n_regionkey").agg(
-        F.to_json(F.array_sort(F.collect_list(one))).alias("value")).write.partitionBy("n_regionkey").text(path)
-    for region in sorted(r.r_regionkey for r in t.region.select("r_regionkey").collect()):
-        built = case_files.build_cases(case_files.read_questions(t.spark, [f"{path}/n_regionkey={region}"]), f"q{region}")
+    blocks = written(in_blocks(t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")), "n_regionkey", "s_suppkey").groupBy("n_regionkey", "block").agg(
+        F.to_json(F.array_sort(F.collect_list(one))).alias("value")))
+    blocks.write.partitionBy("n_regionkey", "block").text(path)
+    files = sorted(tuple(r) for r in blocks.select("n_regionkey", "block").collect())  # in the order of the rows
+    for region in sorted({r for r, _ in files}):
+        paths = [f"{path}/n_regionkey={region}/block={b}" for r, b in files if r == region]
+        built = case_files.build_cases(case_files.read_questions(t.spark, paths), f"q{region}")
         out = built if out is None else out.unionByName(built)
     return out
 
@@ -98,11 +109,12 @@ def reports_appended_and_read(t):
     SELECT n_name AS table, s_name AS column, 'VARCHAR' AS data_type, 'Supplier ' || s_suppkey || ' of ' || n_name AS description
     FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def metadata_written_and_read(t):
-    """Nations as tables, their suppliers as described columns, a JSON document each."""
+    """Nations as tables, their suppliers as described columns, a JSON document for up to BLOCK of them each."""
     path = work_path(t.spark)
     one = F.struct(c("s_name").alias("column_name"), F.lit("VARCHAR").alias("data_type"),
                    F.concat(F.lit("Supplier "), "s_suppkey", F.lit(" of "), "n_name").alias("column_description"))
-    tables = t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).groupBy("n_name").agg(F.collect_list(one).alias("columns"))
+    tables = in_blocks(t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")), "n_name", "s_suppkey").groupBy("n_name", "block").agg(
+        F.collect_list(one).alias("columns"))
     tables.select(F.to_json(F.struct(F.map_from_arrays(F.array("n_name"), F.array("columns")).alias("table_metadata"))).alias("value")) \
         .withColumn("file", F.sha2("value", 256)).write.partitionBy("file").text(path)
     return catalog.read_table_metadata(t.spark, f"{path}/*")

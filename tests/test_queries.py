@@ -111,3 +111,33 @@ def test_row_comparison_spreads_a_case(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     grouping = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "line#" in x]
     assert grouping and any("__salt" in x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+
+
+@pytest.mark.parametrize("name", ["question_files", "table_metadata"])
+def test_documents_hold_blocks_only(spark, con, monkeypatch, tmp_path, name):
+    """No JSON document has more rows than a block, and what is read back is whole."""
+    import glob
+    import json
+
+    from querytally.plans import storage
+
+    monkeypatch.setattr(storage, "BLOCK", 2)
+    monkeypatch.setattr(storage, "work_path", lambda _: f"{tmp_path}/{name}")
+    assert actual(QUERIES[name](spark, "/root/testdata/sf0.01")) == expected(connect("/root/testdata/sf0.01"), ORACLES[name])
+    documents = [json.loads(line) for f in glob.glob(f"{tmp_path}/{name}/**/*.txt", recursive=True) for line in open(f)]
+    sizes = [len(d) if isinstance(d, list) else max(map(len, d["table_metadata"].values())) for d in documents]
+    assert len(sizes) > 5 and max(sizes) == 2
+
+
+def test_digests_of_whole_texts_join_no_pieces(spark):
+    """Two tables of many pieces: right digests, and the plan gathers the lines of a piece but no pieces."""
+    import hashlib
+
+    from querytally.plans.catalog import joined_digests
+
+    rows = [(f"t{i % 2}", i // 2, f"é{i}\n" * (i % 5)) for i in range(3000)]
+    want = {t: hashlib.md5("".join(d for u, _, d in rows if u == t).encode()).hexdigest() for t in ("t0", "t1")}
+    pieces = spark.createDataFrame(rows[::-1], "table_name string, piece long, ddl string")
+    assert {r.table_name: r.digest for r in joined_digests(pieces).collect()} == want
+    assert joined_digests(pieces.filter("false")).count() == 0
+    assert "collect_list(struct(piece" not in plan_of(QUERIES["whole_table_text"](spark, SF))
