@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import link_graph, quality_rules
+from . import exact_copies, filter_audit, link_graph, quality_rules
 from .bpe import encoding_digests
 from .fingerprints import edited_fingerprints
 from .importance import resampled
@@ -69,3 +69,13 @@ def op7(spark, directory):
 @query("op9_repeated_suffixes")
 def op9(spark, directory):
     return removal_digests(table(spark, directory, "documents"))
+
+
+@query("op11_filter_audit", filter_audit.ORACLE)
+def op11(spark, directory):
+    return filter_audit.filter_audit(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op12_exact_copies", exact_copies.ORACLE)
+def op12(spark, directory):
+    return exact_copies.exact_copies(table(spark, directory, "documents"))
