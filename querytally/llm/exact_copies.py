@@ -79,8 +79,7 @@ def _best(entries):
 
 def _slots(hashes, ranges):
     """Range numbers that grow with the hash."""
-    step = (1 << 64) // ranges + 1
-    return [(h + (1 << 63)) // step for h in hashes]
+    return [(h + (1 << 63)) * ranges >> 64 for h in hashes]
 
 
 def _pieces(run, entries, ranges):

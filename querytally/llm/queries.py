@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import exact_copies, filter_audit, link_graph, quality_rules
 from .bpe import encoding_digests
+from .conversation_repair import damaged, repair_digests
 from .fingerprints import edited_fingerprints
 from .importance import resampled
 from .languages import identified
@@ -79,3 +80,8 @@ def op11(spark, directory):
 @query("op12_exact_copies", exact_copies.ORACLE)
 def op12(spark, directory):
     return exact_copies.exact_copies(table(spark, directory, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13(spark, directory):
+    return repair_digests(damaged(table(spark, directory, "conversations")))
