@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import int_div, pass_ratio
-from ..functions.text import referenced_tables
+from ..functions.table_names import referenced_tables
 from .compare import table_sets_match
 from .joins import lookup_with_fallback
 from .numbering import number_within
@@ -137,11 +137,15 @@ def golden_validation(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("problem", problem).withColumn("flagged", problem.isNotNull())
 
 
+def with_expected_tables(cases: DataFrame) -> DataFrame:
+    """``cases`` with the sorted names of the tables that their ``query`` reads."""
+    return cases.withColumn("expected_tables", F.array_sort(referenced_tables("query")))
+
+
 def score_tables(cases: DataFrame, strict=False) -> DataFrame:
     """Status of table identification: the expected query's tables against
-    the ``predicted`` list of names."""
-    expected = referenced_tables("query")
-    named = cases.withColumn("expected_tables", F.array_sort(expected))
+    the ``predicted`` list of names. Tables that are there already are not taken from the text again."""
+    named = cases if "expected_tables" in cases.columns else with_expected_tables(cases)
     hit = table_sets_match(F.col("predicted"), F.col("expected_tables"), strict)
     return named.withColumn("status", status(hit, F.lit(None)))
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.temporal import iso_timestamp
-from ..functions.text import embedding_with_provider, referenced_tables, split_key, split_table_name, with_provider
+from ..functions.table_names import referenced_tables
+from ..functions.text import embedding_with_provider, split_key, split_table_name, with_provider
 from ..operators import corpus, runs, scoring
 from ..operators.compare import compare_results
 from ..operators.results import ACTUAL, EXPECTED, result_rows
@@ -129,11 +130,26 @@ def renumber_cases(t):
 
 
 def question_queries(t):
-    """A query text and a predicted table list per event."""
-    text = F.concat(
-        F.lit("SELECT EXTRACT(DAY FROM e.ts), 'from nowhere' FROM Log."), c("event_type"), F.lit(" AS e JOIN \"User_"),
-        c("user_id") % 10, F.lit("\" u ON e.id = u.id WHERE u.id IN (SELECT id FROM (SELECT id FROM Vip"),
-        F.when(c("value") > 50, F.lit(" JOIN Spend ON 1 = 1")).otherwise(F.lit("")), F.lit(") v)"))
+    """A query text and a predicted table list per event; four ways to name the same tables."""
+    log, user = F.concat(F.lit("Log."), c("event_type")), F.concat(F.lit('"User_'), c("user_id") % 10, F.lit('"'))
+
+    def where_spent(text):
+        return F.when(c("value") > 50, F.lit(text)).otherwise(F.lit(""))
+
+    joined = F.concat(
+        F.lit("SELECT EXTRACT(DAY FROM e.ts), 'from nowhere' FROM "), log, F.lit(" AS e JOIN "), user,
+        F.lit(" u ON e.id = u.id WHERE u.id IN (SELECT id FROM (SELECT id FROM Vip"), where_spent(" JOIN Spend ON 1 = 1"), F.lit(") v)"))
+    named = F.concat(
+        F.lit("WITH s(n) AS (SELECT e.id FROM "), log, F.lit(" e), \"User\" AS (TABLE s) SELECT $q$ FROM hidden, x $q$ FROM (SELECT n FROM s) t, "),
+        user, F.lit(" u, \"User\", Vip"), where_spent(", Spend"))
+    grouped = F.concat(
+        F.lit("SELECT 1 FROM (("), log, F.lit(" e JOIN Vip USING (id)) CROSS JOIN LATERAL unnest(e.xs) AS x(y)), generate_series(1, 3) g, ONLY "),
+        user, F.lit(" WHERE substring(x.y FROM 2) IS NOT DISTINCT FROM g"), where_spent(" AND g IN (TABLE Spend)"))
+    nested = F.concat(
+        F.lit("(SELECT a FROM "), log, F.lit(" UNION SELECT b FROM "), user,
+        F.lit(") EXCEPT (WITH RECURSIVE w AS (SELECT 1 UNION ALL SELECT id FROM w, Vip) SELECT * FROM w /* , a /* JOIN b */ , c */"),
+        where_spent(", Spend"), F.lit(" -- , d\n)"))
+    text = F.get(F.array(joined, named, grouped, nested), (c("event_id") % 4).cast("int"))
     predicted = F.concat(
         F.array(F.concat(F.lit("log."), c("event_type")), F.concat(F.lit("user_"), c("user_id") % 9)),
         F.when(c("value") > 20, F.array(F.lit("vip"), F.lit("spend"))).otherwise(F.array(F.lit("vip"))))
@@ -154,9 +170,9 @@ def ref_tables(t):
         ['log.' || event_type, 'user_' || (user_id % 9), 'vip'] || CASE WHEN value > 20 THEN ['spend'] ELSE [] END AS a FROM events)
     SELECT event_id, LIST_HAS_ALL(a, e) AS covered, LIST_HAS_ALL(a, e) AND LIST_HAS_ALL(e, a) AS exact FROM s""")
 def table_set_score(t):
-    loose, strict = (scoring.score_tables(question_queries(t), strict=x) for x in (False, True))
-    return loose.select("event_id", (c("status") == "pass").alias("covered")).join(
-        strict.select("event_id", (c("status") == "pass").alias("exact")), "event_id")
+    loose = scoring.score_tables(scoring.with_expected_tables(question_queries(t))).withColumnRenamed("status", "loose")
+    return scoring.score_tables(loose, strict=True).select(
+        "event_id", (c("loose") == "pass").alias("covered"), (c("status") == "pass").alias("exact"))
 
 
 def order_results(t, float_total=False, repeat=False):

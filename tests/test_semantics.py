@@ -9,7 +9,7 @@ from querytally.functions.numeric import int_div, safe_ratio
 from querytally.functions.ordering import pg_asc, pg_desc
 from querytally.functions.temporal import iso_timestamp, lap_seconds, mean_interval, seconds_between, year_gap, year_text
 from querytally.functions.text import (
-    double_to_single_quotes, embedding_with_provider, is_blank, postgres_type, question_with_evidence, referenced_tables,
+    double_to_single_quotes, embedding_with_provider, is_blank, postgres_type, question_with_evidence,
     sentence, split_key, split_table_name, with_provider)
 from querytally.functions.vectors import cosine
 
@@ -50,19 +50,6 @@ def test_times(spark):
     assert one(spark, iso_timestamp(F.lit("never"))) is None
 
 
-@pytest.mark.parametrize("sql, tables", [
-    ("SELECT a FROM t1 JOIN S.T2 ON t1.x = t2.x", ["t1", "s.t2"]),
-    ("select extract(epoch from f.b - f.a) from f", ["f"]),
-    ("SELECT x FROM (SELECT y FROM inner_t LIMIT 3) sub JOIN \"Order\" o ON 1 = 1", ["inner_t", "order"]),
-    ("WITH z AS (SELECT 1 FROM base) SELECT * FROM z WHERE a = 'from nowhere'", ["base"]),
-    ("SELECT 1 FROM a WHERE x IS DISTINCT FROM y AND z is not distinct\n from w", ["a"]),
-    ("SELECT 1 -- from hidden\nFROM a /* join b\n from c */ JOIN d ON a.x = '-- from e' JOIN f ON '/*' = '*/'", ["a", "d", "f"]),
-    ("SELECT a FROM t WHERE b IN (SELECT b FROM t\n WHERE c = (SELECT MAX(c) FROM u))", ["t", "u"]),
-])
-def test_referenced_tables(spark, sql, tables):
-    assert one(spark, referenced_tables(F.lit(sql))) == tables
-
-
 @pytest.mark.parametrize("declared, want", [
     ("int", "INTEGER"), ("INT(11)", "INTEGER"), ("varchar(20)", "VARCHAR(20)"), ("VARCHAR2(30)", "VARCHAR(30)"),
     ("number(8,2)", "NUMERIC(8,2)"), ("", "TEXT"), ("real", "DOUBLE PRECISION"), ("datetime", "TIMESTAMP"), ("Text", "TEXT"), (None, "TEXT"),
