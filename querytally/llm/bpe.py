@@ -29,6 +29,7 @@ from .grams import byte_slices, worker_cache
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 KNOWN_PIECES = 1_000_000  # entries kept by a worker; the dictionary starts anew beyond
+LONG_PIECE = 200  # characters; longer pieces hardly recur and are not kept
 SHORT_WORD = 64
 TEXT_BYTES = 4_000_000  # of texts that are encoded together
 _NONE = np.iinfo(np.int64).max
@@ -66,7 +67,8 @@ class ByteBpe:
         self._merged = np.zeros(len(pairs), np.int64)
         for rank, merged in ranked.values():
             self._merged[rank] = merged
-        self._fill({key: rank for key, (rank, _) in ranked.items()})
+        self._rank_of = {key: rank for key, (rank, _) in ranked.items()}
+        self._fill(self._rank_of)
         self._split = regex.compile(PATTERN)
         self._added = {t["content"]: t["id"] for t in added}
         self._added_split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
@@ -151,29 +153,27 @@ class ByteBpe:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i, r in enumerate(self._look_up(ids[:-1], ids[1:]).tolist()) if r != _NONE]
         heapq.heapify(heap)
-        ids = ids.tolist()
-
-        def rank_at(i):
-            return int(self._look_up(np.array([ids[i]]), np.array([ids[after[i]]]))[0]) if after[i] < n else _NONE
+        ids, merged, rank_of = ids.tolist(), self._merged, self._rank_of
+        ids.append(0)  # behind the last part, where ``after`` ends
 
         def push(i):
-            rank = rank_at(i)
-            if rank != _NONE:
+            rank = rank_of.get(ids[i] << 32 | ids[after[i]]) if after[i] < n else None
+            if rank is not None:
                 heapq.heappush(heap, (rank, i))
 
         while heap:
             rank, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank_at(i) != rank:
-                continue  # one of the two has been merged since
             j = after[i]
-            ids[i], ids[j] = int(self._merged[rank]), -1
+            if ids[i] < 0 or j >= n or rank_of.get(ids[i] << 32 | ids[j]) != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = int(merged[rank]), -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             push(i)
             if before[i] >= 0:
                 push(before[i])
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        return np.array([x for x in ids[:n] if x >= 0], "<u4").tobytes()
 
     def _words(self, words):
         """Ids of distinct words, given as bytes."""
@@ -219,10 +219,11 @@ class ByteBpe:
                 lost.update([p for p, i in zip(rest, ids) if i is None])
             rows.append((head, rest, ids, gap))
         lost = list(lost)
-        known.update(zip(lost, self._learn([" " + p for p in lost])))
+        fresh = dict(zip(lost, self._learn([" " + p for p in lost])))
+        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONG_PIECE)
         heads = self._learn([row[0] for row in rows])
         return [
-            first + b"".join(map(known.__getitem__, rest) if gap else ids)
+            first + b"".join([i or fresh[p] for p, i in zip(rest, ids)] if gap else ids)
             for first, (_, rest, ids, gap) in zip(heads, rows)]
 
     def decode(self, ids):

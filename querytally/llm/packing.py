@@ -20,11 +20,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .bpe import text_groups
+from .bpe import PATTERN, ByteBpe, text_groups
 from .grams import worker_cache
+from .names import free_name
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 64
@@ -32,6 +34,8 @@ END_ID = 1
 BLOCK = 4096  # pieces that wait in a task at once
 TASK_PIECES = 50_000  # about so many pieces a task
 _SEQUENCE_BITS = 33
+# runs that take the pattern engine's stack, or one word's merges, too far
+_LONG_RUN = regex.compile(r"\s{200}|\p{L}{400}|\p{N}{400}|[^\s\p{L}\p{N}]{400}")
 
 
 def cut_points(n, size=MAX_TOKENS):
@@ -87,11 +91,14 @@ def pack_block(demands, limits, last):
 def pack(pieces: DataFrame, max_tokens=MAX_TOKENS, max_segments=MAX_SEGMENTS, max_loss=MAX_TOKENS, task_pieces=TASK_PIECES) -> DataFrame:
     """``pieces`` (key, start, length, loss and more) with sequence_id and offset.
 
-    ``pieces`` must be a written table, so that a task run again sees the same
-    rows; they are sorted within it, which makes the packing repeatable. A piece
-    with more than a limit allows raises an error: cut it first. Pieces without
+    Pieces are numbered and written, so that a task run again sees the same rows, and dealt to
+    tasks by their number: rows that share a key, or have none, or are the same, spread
+    like others. A piece with more than a limit allows raises an error: cut it first. Pieces without
     tokens are packed like others and take a segment. An empty frame gives none.
     """
+    number = free_name(pieces, "number")
+    columns = pieces.columns
+    pieces = written(pieces.withColumn(number, F.monotonically_increasing_id()))
     limits = np.array([max_tokens, max_segments, max_loss], float)
 
     def fill(batches):
@@ -127,24 +134,23 @@ def pack(pieces: DataFrame, max_tokens=MAX_TOKENS, max_segments=MAX_SEGMENTS, ma
     count = pieces.count()
     usual = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, -(-count // task_pieces), min(usual, -(-count // BLOCK)))
-    dealt = pieces.repartition(tasks, F.xxhash64("key", "start")).sortWithinPartitions(*pieces.columns)
+    dealt = pieces.repartition(tasks, F.xxhash64(number)).sortWithinPartitions(*columns, number)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.mapInArrow(fill, schema)
+    return dealt.mapInArrow(fill, schema).drop(number)
 
 
 class Encoder:
     """Ids of whole texts as the tokenizer file gives them, special strings in the texts included.
 
     The merges run in a second public engine, made from the same file; that is
-    possible where the ids of a byte-level vocabulary follow its merges.
+    possible where the ids of a byte-level vocabulary follow its merges. Texts with a long run of
+    white space, letters, digits or signs, which that engine's pattern cannot take, go through ``ByteBpe``.
     """
 
     def __init__(self, path):
         import tiktoken
 
-        from .bpe import PATTERN, ByteBpe
-
-        whole = ByteBpe(path)  # also checks that the file is of this kind
+        self._whole = whole = ByteBpe(path)  # also checks that the file is of this kind
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -154,7 +160,16 @@ class Encoder:
         self._encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
         self._special = re.compile("|".join(map(re.escape, added))) if added else None
 
+    @staticmethod
+    def has_long_run(text):
+        words = text.split()
+        if len(text) - sum(map(len, words)) - len(words) < 150 and max(map(len, words), default=0) < 400:
+            return False
+        return _LONG_RUN.search(text) is not None
+
     def ids(self, text):
+        if self.has_long_run(text):
+            return np.frombuffer(self._whole.encode([text])[0], "<u4").tolist()
         if self._special is not None and self._special.search(text):
             found = self._encoding.encode(text, allowed_special="all")
         else:
@@ -202,6 +217,6 @@ def packed_documents(docs: DataFrame, tokenizer: str, text="text", key="doc_id",
     text is empty, a null key stays null, repeated rows are packed each for itself, an
     empty table gives no rows, other columns are not read.
     """
-    pieces = written(document_pieces(docs, tokenizer, text, key, end_id, max_tokens))
+    pieces = document_pieces(docs, tokenizer, text, key, end_id, max_tokens)
     packed = pack(pieces, max_tokens, max_segments, max_tokens)
     return packed.drop("loss").withColumnRenamed("key", key)

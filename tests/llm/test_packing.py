@@ -74,6 +74,24 @@ def test_repeatable(spark):
     assert one == two
 
 
+def test_long_runs(spark):
+    """Texts that are one run of blanks, line feeds, letters, digits or signs."""
+    n = 1_000_000
+    texts = {
+        1: "a" + " " * n + "b", 2: "\n" * n, 3: "x" * n, 4: "a" + " " * 5 * n + " b", 5: "7" * 100_000, 6: "=" * n, 7: " \n" * 300_000 + "é",
+        8: "\t" * 150 + "a " * 1000 + " " * 200, 9: "word<|endoftext|>" + "\u3000" * 5000 + "b", 10: "漢字" * 5000, 11: "aB3/" * 100_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(packed_documents(docs.repartition(8), TOKENIZER).collect(), texts)
+
+
+def test_rows_of_one_key_spread(spark):
+    """Rows without a key, and repeated rows, are dealt like others."""
+    pieces = spark.range(0, 40_000, 1, 1).selectExpr("CAST(NULL AS long) AS key", "0L AS start", "100L AS length", "100L AS loss")
+    packed = pack(pieces, task_pieces=5000).groupBy(F.shiftright("sequence_id", 33).alias("task")).count()
+    sizes = [r["count"] for r in packed.collect()]
+    assert sum(sizes) == 40_000 and len(sizes) == 8 and max(sizes) < 6000
+
+
 def test_cuts():
     assert cut_points(1) == [1] and cut_points(2048) == [2048] and cut_points(1024) == [1024]
     assert cut_points(5000) == [2048, 2048, 904] and cut_points(3500) == [2048, 1024, 428]
