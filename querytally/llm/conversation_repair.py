@@ -17,7 +17,6 @@ conversation is, its chunks are rows of their own and their tables meet in a tre
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.numbering import number_within
 from ..session import written
+from .grams import worker_cache
 
 SPACE = " \t\n\v\f\r"
 DELETE, INSERT, REROLE, CUT_OFF = 2, 5, 1, 5  # costs; CUT_OFF is added for a truncated row that stays
@@ -33,6 +33,7 @@ LONG = 1000  # rows of a conversation that is repaired as one group
 CHUNK = 240  # rows of a chunk of a longer one
 MERGED = 32  # chunk tables merged at once
 BROADCAST_IDS = 100_000
+KNOWN_SEARCHES = 200_000  # kept by a worker; the dictionary starts anew beyond
 
 # what a conversation may go on with, by state: at the beginning, after the system turn, after a user's, after an assistant's
 _AFTER = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
@@ -85,7 +86,6 @@ def _bounds(signs):
     return least
 
 
-@lru_cache(maxsize=200_000)
 def search(signs, entry=0, exits=COMPLETE):
     """Cheapest (cost, audit) that leads from state ``entry`` over all rows to one of ``exits``; None if there is none.
 
@@ -125,11 +125,22 @@ def search(signs, entry=0, exits=COMPLETE):
     return best
 
 
+def known_search(signs, entry=0, exits=COMPLETE):
+    """``search``, or what it found for the same signs before: short conversations recur."""
+    known = worker_cache("conversation repairs", dict)
+    if len(known) > KNOWN_SEARCHES:
+        known.clear()
+    asked = signs, entry, exits
+    if asked not in known:
+        known[asked] = search(signs, entry, exits)
+    return known[asked]
+
+
 def ways_through(signs, span=SPAN):
     """The cheapest way from every state to every other over all rows, ``via`` the last one."""
     whole = None
     for at in range(0, max(1, len(signs)), span):
-        found = [(e, x, search(signs[at:at + span], e, (x,))) for e in _AFTER for x in _AFTER]
+        found = [(e, x, known_search(signs[at:at + span], e, (x,))) for e in _AFTER for x in _AFTER]
         ways = {(e, x): (*w, "") for e, x, w in found if w}
         whole = ways if whole is None else merged_ways(whole, ways)
     return {(e, x): (cost, audit, str(x)) for (e, x), (cost, audit, _) in whole.items()}
@@ -149,7 +160,7 @@ def merged_ways(left, right):
 def cheapest(signs, span=SPAN):
     """(cost, audit) over a whole conversation."""
     if len(signs) <= span:
-        return search(signs)
+        return known_search(signs)
     ways = ways_through(signs, span)
     return min(ways[0, x][:2] for x in COMPLETE if (0, x) in ways)
 
