@@ -3,7 +3,7 @@
 Fixed base rules reject short and repetitive texts. Beyond them every rule
 compares a ratio of counts with a cutoff, and the cutoffs are chosen per
 stratum from labelled documents: rejecting a good document of a stratum is
-allowed with a limited probability only, and a cutoff counts as safe if the
+allowed with a limited probability only; documents of one text are one trial, and a cutoff counts as safe if the
 exact one-sided binomial (Clopper-Pearson) bound of its false rejection rate
 stays within that limit. Cutoffs of one rule are nested, so they are tested from
 the mildest on and the last safe one is taken (fixed sequence: no correction
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
+from .names import free_prefix
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -52,8 +53,8 @@ def _repeat_words(words: str) -> str:
       aggregate(transform({words}, (p, j) -> least(3, coalesce(get({words}, j + 1) - p, 3))), 0L, (a, x) -> a + x)"""
 
 
-def measured(docs: DataFrame, text="text", to="__q") -> DataFrame:
-    """``docs`` with a struct column ``to`` of the counts, every original column kept.
+def measured(docs: DataFrame, text="text", to="q") -> DataFrame:
+    """``docs`` with a struct column ``to`` of the counts, every original column kept; none may begin with ``to``.
 
     Words are runs of anything but the six ASCII white-space characters. A null
     text counts as empty. Window hashes are 64 bits wide; only texts in which two
@@ -115,11 +116,14 @@ def _safe(n: str, x: str, risk: float, level: str) -> str:
 def thresholds(counts: DataFrame, labels: DataFrame, rules=RULES, risk=RISK, error=ERROR) -> DataFrame:
     """One row per stratum with the chosen cutoff of each rule; no safe cutoff: null.
 
-    ``counts`` is a written table with doc_id, stratum, base_failed and the rules' columns. One
-    join on doc_id and one aggregation that adds up in the tasks first, so a
-    stratum that holds most rows arrives as one row per task.
+    ``counts`` is a written table with doc_id, stratum, base_failed, the rules' columns and, unless no text
+    recurs, a digest of the text. One
+    join on doc_id and aggregations that add up in the tasks first, so a
+    stratum or a text that holds most rows arrives as one row per task.
     """
     good = counts.filter("NOT base_failed AND doc_id IS NOT NULL").join(_good(labels), "doc_id", "left_semi")
+    if "digest" in good.columns:
+        good = good.dropDuplicates(["stratum", "digest"])  # copies are no independent trials
     sums = [
         F.sum(_exceeds(rule, c).cast("long")).alias(f"x_{rule.name}_{c}") for rule in rules for c in rule.cutoffs]
     held = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
@@ -142,22 +146,25 @@ def _last_safe(rule: Rule) -> Column:
     return chosen["cut"].alias(f"cut_{rule.name}")
 
 
-def _with_cutoffs(rows: DataFrame, stratum: Column, cutoffs: DataFrame) -> DataFrame:
+def _with_cutoffs(rows: DataFrame, stratum: str, cutoffs: DataFrame, to: str) -> DataFrame:
+    """``rows`` with their stratum's cutoffs as a struct ``{to}_cuts``."""
     few = cutoffs.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
-    cutoffs = cutoffs.withColumnRenamed("stratum", "__stratum")
-    return rows.join(F.broadcast(cutoffs) if few else cutoffs, stratum == F.col("__stratum"), "left").drop("__stratum")
+    cutoffs = cutoffs.select(F.col("stratum").alias(f"{to}_stratum"), F.struct(*[c for c in cutoffs.columns if c != "stratum"]).alias(f"{to}_cuts"))
+    same = F.col(stratum).cast("string").eqNullSafe(F.col(f"{to}_stratum"))
+    return rows.join(F.broadcast(cutoffs) if few else cutoffs, same, "left").drop(f"{to}_stratum")
 
 
-def _rejected(rules, counts="") -> Column:
+def _rejected(rules, to, counts="") -> Column:
     out = F.lit(False)
     for rule in rules:
-        out = out | F.coalesce(_exceeds(rule, F.col(f"cut_{rule.name}"), counts), F.lit(False))
+        out = out | F.coalesce(_exceeds(rule, F.col(f"{to}_cuts.cut_{rule.name}"), counts), F.lit(False))
     return out
 
 
-def _counts(docs: DataFrame, text: str, stratum: str) -> DataFrame:
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text"))
-    return measured(rows, "text").select("doc_id", "stratum", "__q.*")
+def _counts(counted: DataFrame, text: str, stratum: str, to: str) -> DataFrame:
+    """doc_id, stratum, digest and the counts of measured rows."""
+    digest = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return counted.select("doc_id", F.col(stratum).cast("string").alias("stratum"), digest.alias("digest"), f"{to}.*")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, text="text", stratum="lang", rules=RULES, risk=RISK, error=ERROR) -> DataFrame:
@@ -169,30 +176,30 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, text="text", stratum="l
     doc_id carries no label; repeated rows are judged alike; an empty table gives
     an empty result; columns other than doc_id, text and stratum are not read.
     """
-    counts = written(_counts(docs, text, stratum))
+    rows = docs.select("doc_id", F.col(text).alias("text"), F.col(stratum).alias("stratum"))
+    counts = written(_counts(measured(rows, "text", "q"), "text", "stratum", "q"))
     cutoffs = written(thresholds(counts, labels, rules, risk, error))
-    return _with_cutoffs(counts, F.col("stratum"), cutoffs).select(
+    return _with_cutoffs(counts, "stratum", cutoffs, "q").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~_rejected(rules)).alias("kept"), "stratum", "n_lines", "n_capitals")
+        (~F.col("base_failed") & ~_rejected(rules, "q")).alias("kept"), "stratum", "n_lines", "n_capitals")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, text="text", stratum="lang", rules=RULES, risk=RISK, error=ERROR) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    Texts stay where they are: they are measured again in place of a join on
-    their ids, so only labelled counts are shuffled. Edge cases as in
+    Texts are measured once and written with their counts, and stay where they are:
+    only labelled counts are shuffled. Columns may have any names. Edge cases as in
     ``quality_verdicts``.
     """
-    cutoffs = written(thresholds(written(_counts(docs, text, stratum)), labels, rules, risk, error))
-    rows = measured(docs, text).withColumn("__s", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    # One condition over both sides of the join: a filter on the counts alone would be
-    # moved below the steps that make them, and each of its columns computed from scratch.
-    kept = F.when(F.col("__q.base_failed") | _rejected(rules, "__q."), False).otherwise(True)
-    return _with_cutoffs(rows, F.col("__s"), cutoffs).filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    to = free_prefix(docs, "q")
+    counted = written(measured(docs, text, to))
+    cutoffs = written(thresholds(_counts(counted, text, stratum, to), labels, rules, risk, error))
+    kept = ~F.col(f"{to}.base_failed") & ~_rejected(rules, to, f"{to}.")
+    return _with_cutoffs(counted, stratum, cutoffs, to).filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _oracle(rules=RULES, risk=RISK, error=ERROR) -> str:
-    """The same in DuckDB SQL, with words compared as strings and the tail from gamma functions."""
+def _oracle(rules=RULES, risk=RISK, error=ERROR, stratum="lang") -> str:
+    """The same in DuckDB SQL, with words and texts compared as strings and the tail from gamma functions."""
     each = risk / len(rules)
 
     def safe(x):
@@ -211,24 +218,27 @@ def _oracle(rules=RULES, risk=RISK, error=ERROR) -> str:
     rejected = " OR ".join(f"coalesce(1000 * {r.part} > cut_{r.name} * {r.whole}, false)" for r in rules)
     word = r"[^\x20\x09-\x0D]"
     return rf"""
-    WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w,
+    WITH d AS (SELECT doc_id, {stratum} AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w,
                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM documents),
     g AS (SELECT row_number() OVER () AS r, * FROM d),
     win AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM g)),
     twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM win) WHERE n > 1),
     rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
-    f AS (SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    f AS (SELECT doc_id, stratum, t, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
             CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
             CAST(len(l) AS BIGINT) AS n_lines, CAST(len(t) - len(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_capitals
           FROM g LEFT JOIN rep USING (r)),
     b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
     good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
-    h AS (SELECT stratum, count(*) AS n, {', '.join(sums)} FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum),
+    o AS (SELECT DISTINCT ON (stratum, t) * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+    h AS (SELECT stratum, count(*) AS n, {', '.join(sums)} FROM o GROUP BY stratum),
     s AS (SELECT stratum, {', '.join(tests)} FROM h, (SELECT count(*) AS strata FROM h)),
     c AS (SELECT stratum, {', '.join(cuts)} FROM s)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-      NOT base_failed AND NOT ({rejected}) AS kept, b.stratum, n_lines, n_capitals FROM b LEFT JOIN c ON b.stratum = c.stratum"""
+      NOT base_failed AND NOT ({rejected}) AS kept, b.stratum, n_lines, n_capitals FROM b LEFT JOIN c ON b.stratum IS NOT DISTINCT FROM c.stratum"""
 
 
+WIDE_RISK = 0.1  # of the run over one stratum
 ORACLE = _oracle()
+ONE_STRATUM_ORACLE = _oracle(risk=WIDE_RISK, stratum="'all'")

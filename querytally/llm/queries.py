@@ -37,6 +37,13 @@ def op10(spark, directory):
     return quality_rules.quality_verdicts(table(spark, directory, "documents"), table(spark, directory, "labels"))
 
 
+@query("quality_rules_one_stratum", quality_rules.ONE_STRATUM_ORACLE)
+def quality_rules_one_stratum(spark, directory):
+    """op10 with all languages as one stratum and more risk: cutoffs are certified from a few hundred labels on."""
+    docs = table(spark, directory, "documents").withColumn("all", F.lit("all"))
+    return quality_rules.quality_verdicts(docs, table(spark, directory, "labels"), stratum="all", risk=quality_rules.WIDE_RISK)
+
+
 @query("op2_vector_packing")
 def op2(spark, directory):
     return packed_documents(table(spark, directory, "documents"), TOKENIZER)

@@ -46,6 +46,29 @@ def test_counts_of_odd_texts(odd, labels):
     assert kept.columns == odd.columns and [tuple(r) for r in kept.collect()] == [(13, TEXTS[13], None, 13, "x")]
 
 
+def test_null_and_empty_strata_differ(spark):
+    """Each has its own cutoffs, and a text counts once however many copies are labelled."""
+    clean = " ".join(f"w{i}" for i in range(80))
+    lined = "\n".join([*(" ".join(f"l{i}w{j}" for j in range(20)) for i in range(6)), *["again"] * 5])
+    rows = [(i, f"{clean} {i}", None) for i in range(400)] + [(1000 + i, f"n{i} {lined}", "") for i in range(400)]
+    rows += [(2000 + i, clean, "copies") for i in range(400)] + [(9000, lined, None), (9001, lined, ""), (9002, lined, "copies")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows if i < 9000], "doc_id long, quality int")
+    rules = (Rule("lines", "n_dup_lines", "n_lines", (900, 300)),)
+    kept = {r.doc_id: r.kept for r in quality_verdicts(docs, labels, rules=rules).collect()}
+    assert (kept[9000], kept[9001], kept[9002]) == (False, True, True)
+    assert {r.doc_id for r in good_documents(docs, labels, rules=rules).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_certified_cutoffs_against_sql(spark):
+    """Over one stratum the labels suffice: the row's cutoffs reject documents that pass the base rules."""
+    directory = "/root/testdata/sf0.01"
+    con, name = connect(directory), "quality_rules_one_stratum"
+    df = entry.queries()[name](spark, directory)
+    assert actual(df) == expected(con, entry.oracle_sql()[name]) and actual_types(df) == expected_types(con, entry.oracle_sql()[name])
+    assert df.filter("NOT kept AND NOT base_failed").count() > 0
+
+
 def test_empty_tables(odd, labels):
     assert quality_verdicts(odd.filter("false"), labels).count() == 0
     assert {r.doc_id for r in quality_verdicts(odd, labels.filter("false")).filter("kept").collect()} == {13}
