@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
+from .names import free_name
 
 SPACE = r"[\x20\x09-\x0D]+"
 FAN = 8  # runs merged at once
@@ -183,8 +184,7 @@ def exact_copies(docs: DataFrame, text="text", key="doc_id", fan=FAN, range_rows
 
 def unique_documents(docs: DataFrame, text="text", key="doc_id", fan=FAN, range_rows=RANGE_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; cases as in ``exact_copies``."""
-    names = {c.lower() for c in docs.columns}
-    at = next(n for n in (f"row_{i}" for i in range(len(names) + 1)) if n not in names)
+    at = free_name(docs, "row")
     numbered = written(docs.withColumn(at, F.monotonically_increasing_id()))
     stay = winners(members(numbered, text, key, at), fan, range_rows).select(F.col("keep_at").alias(at))
     return numbered.join(stay, at, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

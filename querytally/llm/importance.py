@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.numbering import number_rows
 from ..session import written
 from .grams import byte_slices, trigrams
+from .names import free_name
 
 BITS = 15
 TARGET_ROWS = 50_000  # labelled good documents the target model is fitted on, chosen by a hash of their id
@@ -94,13 +95,13 @@ def gumbel(seed: int, *columns: str) -> Column:
     return -F.log(-F.log(u))
 
 
-def _keyed(docs, labels, text, target_rows, seed):
+def _keyed(docs, labels, text, target_rows, seed, weight="weight", key="key"):
     ratios = log_ratios(docs, labels, text, target_rows)
-    return docs.withColumn("__weight", log_weight(docs, ratios, text)).withColumn("__key", F.col("__weight") + gumbel(seed, "doc_id"))
+    return docs.withColumn(weight, log_weight(docs, ratios, text)).withColumn(key, F.col(weight) + gumbel(seed, "doc_id"))
 
 
 def _least_key(keys: DataFrame, labels: DataFrame) -> float:
-    """The k-th largest key; without labelled documents all are kept."""
+    """The k-th largest key of (doc_id, key); without labelled documents all are kept."""
     share = keys.select("doc_id").distinct().join(_known(labels), "doc_id").agg(F.avg(F.col("good").cast("double")).alias("s")).first().s
     count = keys.count()
     k = count if share is None else round(share * count)
@@ -108,7 +109,7 @@ def _least_key(keys: DataFrame, labels: DataFrame) -> float:
         return float("-inf")
     if k == 0:
         return float("inf")
-    return number_rows(keys.select("__key"), [F.desc("__key")]).filter(F.col("n") == k).first()["__key"]
+    return number_rows(keys.select("key"), [F.desc("key")]).filter(F.col("n") == k).first()["key"]
 
 
 def resampled(docs: DataFrame, labels: DataFrame, text="text", target_rows=TARGET_ROWS, seed=1) -> DataFrame:
@@ -119,16 +120,17 @@ def resampled(docs: DataFrame, labels: DataFrame, text="text", target_rows=TARGE
     no label. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id"), F.col(text).alias("text"))
-    keys = written(_keyed(rows, labels, "text", target_rows, seed).select("doc_id", "__weight", "__key"))
+    keys = written(_keyed(rows, labels, "text", target_rows, seed).select("doc_id", "weight", "key"))
     return keys.select(
-        "doc_id", F.col("__weight").alias("log_weight"), F.col("__key").alias("key"), (F.col("__key") >= _least_key(keys, labels)).alias("kept"))
+        "doc_id", F.col("weight").alias("log_weight"), "key", (F.col("key") >= _least_key(keys, labels)).alias("kept"))
 
 
 def sampled_documents(docs: DataFrame, labels: DataFrame, text="text", target_rows=TARGET_ROWS, seed=1) -> DataFrame:
     """The rows of ``docs`` that the sample takes, with their columns; cases as in ``resampled``.
 
-    Texts are weighed again in place of a join, so they are never shuffled.
+    Texts are weighed again in place of a join, so they are never shuffled. Columns may have any names.
     """
-    keyed = _keyed(docs, labels, text, target_rows, seed)
-    least = _least_key(written(keyed.select("doc_id", "__key")), labels)
-    return keyed.filter(F.col("__key") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    weight, key = free_name(docs, "weight"), free_name(docs, "key")
+    keyed = _keyed(docs, labels, text, target_rows, seed, weight, key)
+    least = _least_key(written(keyed.select("doc_id", F.col(key).alias("key"))), labels)
+    return keyed.filter(F.col(key) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import written
 from .components import components
 from .grams import Ranges, byte_slices, lowered, mix, seeded, shingles, words
+from .names import free_name
 
 HASHES = 168
 MISSED = 1e-5  # probability that a pair at the threshold shares no band
@@ -290,6 +291,10 @@ def near_duplicates(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE,
 
 
 def first_of_each_group(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE, percent=THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without the copies of another document; edge cases as in ``near_duplicates``."""
-    gone = written(near_duplicates(docs, text, key, shingle, percent).filter("NOT kept").select(F.col(key).alias("__gone")).distinct())
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` without the copies of another document; edge cases as in ``near_duplicates``.
+
+    Columns may have any names.
+    """
+    name = free_name(docs, "gone")
+    gone = written(near_duplicates(docs, text, key, shingle, percent).filter("NOT kept").select(F.col(key).alias(name)).distinct())
+    return docs.join(gone, docs[key] == gone[name], "left_anti")

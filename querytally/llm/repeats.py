@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import written
 from .grams import Ranges, byte_slices, mix
 from .merge_sort import sorted_neighbours
+from .names import free_prefix
 
 LENGTH = 200
 GRAM = 48
@@ -156,15 +157,16 @@ def merged_spans(spans):
 
 
 def _with_spans(docs: DataFrame, text, key, length, gram) -> DataFrame:
-    """``docs`` with the merged ranges of each row as ``__spans``; its own columns stay."""
+    """``docs`` with the ranges of each row in a column whose name comes second; its own columns stay."""
     rows = _keyed(docs, text, key)
     spans = repeated_spans(rows, length, gram)
+    p = free_prefix(docs, "s_")
     # touching ranges are joined from their order; a document's ranges are fewer than its bytes
-    listed = written(spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("__ranges")).select(
-        F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.array_sort("__ranges").alias("__ranges")))
+    listed = written(spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("ranges")).select(
+        F.col("id").alias(f"{p}id"), F.col("digest").alias(f"{p}digest"), F.array_sort("ranges").alias(f"{p}ranges")))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    same = (F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))) == F.col("__id")) & (F.xxhash64(t) == F.col("__digest"))
-    return docs.join(listed, same, "left").drop("__id", "__digest")
+    same = (F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))) == F.col(f"{p}id")) & (F.xxhash64(t) == F.col(f"{p}digest"))
+    return docs.join(listed, same, "left").drop(f"{p}id", f"{p}digest"), f"{p}ranges"
 
 
 def without_repeats(docs: DataFrame, text="text", key="doc_id", length=LENGTH, gram=GRAM) -> DataFrame:
@@ -192,7 +194,8 @@ def without_repeats(docs: DataFrame, text="text", key="doc_id", length=LENGTH, g
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["key", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = _with_spans(rows, "text", "key", length, gram).select("key", "text", "__ranges")
+    rows, ranges = _with_spans(rows, "text", "key", length, gram)
+    rows = rows.select("key", "text", ranges)
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
@@ -204,7 +207,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
 def cleaned_documents(docs: DataFrame, text="text", key="doc_id", length=LENGTH, gram=GRAM) -> DataFrame:
     """``docs`` with the repeats taken out of their texts; all rows and columns stay.
 
-    A character that loses some of its bytes goes as a whole. Null texts stay null.
+    A character that loses some of its bytes goes as a whole. Null texts stay null. Columns may have any names.
     """
     @F.pandas_udf("string")
     def clean(texts, ranges):
@@ -222,5 +225,5 @@ def cleaned_documents(docs: DataFrame, text="text", key="doc_id", length=LENGTH,
             out.append("".join([*kept, raw[at:].decode("utf-8", "ignore")]))
         return pd.Series(out, dtype=object)
 
-    found = _with_spans(docs, text, key, length, gram)
-    return found.withColumn(text, clean(F.col(text), F.col("__ranges"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, ranges = _with_spans(docs, text, key, length, gram)
+    return found.withColumn(text, clean(F.col(text), F.col(ranges))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from oracle import connect
@@ -35,6 +37,22 @@ def test_every_stage(spark):
     assert check(outputs[4].collect(), {i: r.text for i, r in cleaned.items()}) < 0.02
 
 
+def test_stages_keep_any_columns(spark):
+    """Columns that are named like a stage's own work neither change nor change the rows."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    names = [
+        "__key", "key", "Weight", "__weight", "q", "q_text", "q1_cuts", "Q_stratum", "cut_lines", "__stratum", "__ranges", "__id", "s_ranges",
+        "S_id", "gone", "id", "digest", "number", "row", "component", "node", "n_words", "kept", "u", "v"]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        plain = {tuple(r) for r in stage(spark, docs, small).collect()}
+        odd = stage(spark, docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names}), small)
+        assert odd.columns == [*docs.columns, *names]
+        rows = odd.collect()
+        assert {tuple(r)[:len(docs.columns)] for r in rows} == plain
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 def test_run(spark):
     small = "/root/testdata/sf0.001"
     got = entry.queries()["pipeline"](spark, small)
