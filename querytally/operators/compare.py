@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import written
 from .components import components
+from .matching import unmatched_groups
 from .numbering import number_within
 from .ordered import chunked, running_sum
 from .results import ACTUAL, EXPECTED, result_header, result_rows, with_unique_names
@@ -28,6 +29,7 @@ ABSOLUTE, RELATIVE = 1e-8, 1e-5
 
 _SALTS = 8
 _BEAM = 64
+PART_ROWS = 2000  # rows of a part, each side, that one task matches; larger parts are matched by joins
 _LOW = (1 << 22) - 1
 
 
@@ -83,8 +85,9 @@ def column_profile(headers: DataFrame, rows: DataFrame, keys: list) -> DataFrame
 
 
 def _within(left, right) -> Column:
-    """|left - right| inside the tolerance around ``right``; NaN equals NaN."""
-    return (left == right) | (F.abs(left - right) <= F.lit(ABSOLUTE) + F.lit(RELATIVE) * F.abs(right))
+    """|left - right| inside the tolerance around ``right``; NaN and infinities agree with themselves only."""
+    near = F.abs(left - right) <= F.lit(ABSOLUTE) + F.lit(RELATIVE) * F.abs(right)
+    return (left == right) | ((F.abs(right) < F.lit(float("inf"))) & near)
 
 
 def _near(x: Column, y: Column) -> Column:
@@ -293,12 +296,26 @@ def _agree() -> Column:
     return F.expr(f"""
         forall(sequence(0, size(el) - 1), i -> (al[i] <=> el[i]) or (
             substring(kinds, i + 1, 1) = 'f' and al[i] is not null and el[i] is not null
-            and abs(cast(al[i] as double) - cast(el[i] as double))
+            and abs(cast(el[i] as double)) < double('Infinity') and abs(cast(al[i] as double) - cast(el[i] as double))
                 <= {ABSOLUTE}D + {RELATIVE}D * abs(cast(el[i] as double))))""")
 
 
+def _cell_node(case) -> Column:
+    return F.xxhash64(*case, "range", F.col("cells"))
+
+
+def _with_neighbour_cells(df: DataFrame) -> DataFrame:
+    """A row for each cell around ``cells``, itself included; a null stays."""
+    steps = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
+    for i in range(3):
+        moved = F.transform("cells", lambda x, at: F.when(at == F.lit(i), x + F.col("step")).otherwise(x))
+        df = df.withColumn("step", F.explode(F.when(F.get("cells", F.lit(i)).isNull(), F.array(F.lit(0).cast("long"))).otherwise(steps))).withColumn(
+            "cells", moved).drop("step")
+    return df
+
+
 def _with_part(rows: DataFrame, keys: list) -> DataFrame:
-    """Add ``part``: rows that may pair up, or that a chain of such pairs links, have the same.
+    """Add ``part``: rows that may pair up, or that a chain of such pairs links, have the same; also ``cells`` and ``node``.
 
     Floats are put on a scale on which the tolerance is one everywhere and cut into cells; rows that agree are in the
     same or in neighbouring cells. Cells, not rows, are linked, by the three float columns with the most cells.
@@ -311,25 +328,51 @@ def _with_part(rows: DataFrame, keys: list) -> DataFrame:
     counts = rows.select(*case, F.posexplode("cells").alias("pos", "cell")).filter("cell IS NOT NULL").groupBy(*case, "pos").agg(
         F.approx_count_distinct("cell").alias("n"))
     wide = counts.groupBy(*case).agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "pos")), asc=False), 1, 3).alias("wide"))
-    node = lambda cells: F.xxhash64(*case, "range", cells)
     rows = written(rows.join(wide, case, "left").withColumn(
-        "cells", F.transform(F.coalesce("wide.pos", F.array().cast("array<int>")), lambda p: F.get("cells", p))).drop("wide").withColumn("node", node(F.col("cells"))))
+        "cells", F.transform(F.coalesce("wide.pos", F.array().cast("array<int>")), lambda p: F.get("cells", p))).drop("wide").withColumn("node", _cell_node(case)))
     nodes = written(rows.select(*case, "range", "cells", "node").distinct())
-    steps = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
-    near = nodes
-    for i in range(3):
-        moved = F.transform("cells", lambda x, at: F.when(at == F.lit(i), x + F.col("step")).otherwise(x))
-        near = near.withColumn("step", F.explode(F.when(F.get("cells", F.lit(i)).isNull(), F.array(F.lit(0).cast("long"))).otherwise(steps))).withColumn(
-            "cells", moved).drop("step")
-    links = near.select(F.col("node").alias("u"), node(F.col("cells")).alias("v")).filter("u <> v").join(
+    links = _with_neighbour_cells(nodes).select(F.col("node").alias("u"), _cell_node(case).alias("v")).filter("u <> v").join(
         nodes.select(F.col("node").alias("v")).distinct(), "v", "left_semi")
-    return rows.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("cells", "node", "component")
+    return rows.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def _unmatched_large(rows: DataFrame, case: list) -> DataFrame:
+    """Cases with a part whose ``rows`` have no matching, found by joins over all tasks.
+
+    Equal lines are one node. Rows that agree at their position ``n`` of the order are matched to
+    begin with, which is nearly all of them where noise has swapped a few.
+    """
+    group = [f"g{i}" for i in range(len(case) + 1)]
+    wanted = ["side", "kinds", "line", "cells", "node", "n", "open"]
+    rows = written(rows.select(
+        *[F.col(c).alias(g) for c, g in zip([*case, "part"], group)], *wanted, F.md5(F.to_json(F.struct("part", "line"))).alias("id")))
+    sides = {}
+    for side, name in ((ACTUAL, "a"), (EXPECTED, "e")):
+        mine = rows.filter(F.col("side") == side)
+        nodes = mine.select(*group, "kinds", "cells", "node", F.col("id").alias(name), F.col("line").alias(f"{name}l")).dropDuplicates([*group, name])
+        sides[name] = mine, written(nodes)
+    (a_rows, a_nodes), (e_rows, e_nodes) = sides["a"], sides["e"]
+    pairs = a_rows.filter("NOT open").select(*group, "n", F.col("id").alias("a")).join(
+        e_rows.filter("NOT open").select(*group, "n", F.col("id").alias("e")), [*group, "n"])
+    flow = pairs.groupBy(*group, "a", "e").agg(F.count(F.lit(1)).alias("n"))
+    surplus = a_rows.filter("open").groupBy(*group, F.col("id").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    free = e_rows.filter("open").groupBy(*group, F.col("id").alias("e")).agg(F.count(F.lit(1)).alias("n"))
+
+    def neighbours(front):
+        here = front.join(a_nodes, [*group, "a"])
+        near = _with_neighbour_cells(here.select(*group, "a", "root", "kinds", "al", "cells"))
+        there = e_nodes.select(*group, "cells", "e", "el")
+        return near.join(there, [*group, "cells"]).filter(_agree()).select(*group, "a", "e", "root")
+
+    lost = unmatched_groups(group, flow, surplus, free, neighbours)
+    return lost.select(*[F.col(g).alias(c) for g, c in zip(group, case)]).distinct()
 
 
 def _unpaired(rows: DataFrame, keys: list) -> DataFrame:
-    """(keys, attempt) whose ``rows`` (range, side, row_id, kinds, line) have no pairing within the tolerance.
+    """(keys, attempt) whose ``rows`` (range, side, row_id, kinds, line, n, open) have no pairing within the tolerance.
 
-    Exact: parts of one row a side are compared, larger ones with equal counts go through bipartite matching.
+    Exact: parts of one row a side are compared, larger ones with equal counts go through bipartite matching,
+    those of up to ``PART_ROWS`` rows a side in one task each.
     """
     case = [*keys, "attempt"]
     rows = written(_with_part(rows, keys))
@@ -338,9 +381,14 @@ def _unpaired(rows: DataFrame, keys: list) -> DataFrame:
         F.max("kinds").alias("kinds"), F.count_if(a).alias("n_a"), F.count_if(e).alias("n_e"),
         F.max(F.when(a, F.col("line"))).alias("al"), F.max(F.when(e, F.col("line"))).alias("el")))
     off = parts.filter((F.col("n_a") != F.col("n_e")) | ((F.col("n_a") == 1) & ~_agree())).select(*case).distinct()
-    larger = parts.filter("n_a = n_e AND n_a > 1").join(off, case, "left_anti").select(*case, "part")
+    several = written(parts.filter("n_a = n_e AND n_a > 1").join(off, case, "left_anti").select(*case, "part", "n_a"))
+    largest = several.filter(F.col("n_a") > PART_ROWS).drop("n_a")
+    if not largest.isEmpty():
+        off = off.union(written(_unmatched_large(rows.join(largest, [*case, "part"], "left_semi"), case)))
+    larger = several.filter(F.col("n_a") <= PART_ROWS).drop("n_a").join(off, case, "left_anti")
     if larger.isEmpty():
-        return off
+        return off.distinct()
+    rows = rows.drop("cells", "node", "n", "open")
     absolute, relative, expected = ABSOLUTE, RELATIVE, EXPECTED
 
     def match(frame):
@@ -369,7 +417,7 @@ def _unpaired(rows: DataFrame, keys: list) -> DataFrame:
                 at = order[low[i]:high[i]] if np.isfinite(a[i, widest]) else order
                 at = at[e_class[at] == a_class[i]]
                 there, here = e[at], a[i]
-                fits = (there == here) | (np.isnan(there) & np.isnan(here)) | (np.abs(there - here) <= absolute + relative * np.abs(there))
+                fits = (there == here) | (np.isnan(there) & np.isnan(here)) | (np.isfinite(there) & (np.abs(there - here) <= absolute + relative * np.abs(there)))
                 return at[fits.all(axis=1)]
 
             of, held = np.full(len(e), -1), np.full(len(a), -1)
@@ -434,12 +482,14 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
           for side, of, name in ((ACTUAL, "line", "al"), (EXPECTED, "line", "el"), (ACTUAL, "range", "ar"), (EXPECTED, "range", "er"))))
     off = paired.filter(F.col("al").isNull() | F.col("el").isNull() | ~_agree())
     if not faithful:
-        off = written(off.select(*keys, "attempt", "kinds", "ar", "er"))
+        off = written(off.select(*keys, "attempt", "n", "kinds", "ar", "er"))
         # rows pair inside their range only, so one that meets another range leaves some row without a partner
         lost = off.filter("NOT (ar <=> er) OR kinds NOT LIKE '%f%f%'").select(*keys, "attempt").distinct()
         ranges = off.join(lost, [*keys, "attempt"], "left_anti").select(*keys, "attempt", F.col("ar").alias("range")).distinct()
         if not ranges.isEmpty():
-            open_rows = ranked.join(ranges, [*keys, "attempt", "range"], "left_semi").select(*keys, "attempt", "range", "side", "row_id", "kinds", "line")
+            open_rows = ranked.join(ranges, [*keys, "attempt", "range"], "left_semi").join(
+                off.select(*keys, "attempt", "n", F.lit(True).alias("open")), [*keys, "attempt", "n"], "left").select(
+                *keys, "attempt", "range", "side", "row_id", "kinds", "line", "n", F.coalesce("open", F.lit(False)).alias("open"))
             lost = lost.union(_unpaired(written(open_rows), keys))
         off = lost
     return attempts.join(off.select(*keys, "attempt").distinct(), [*keys, "attempt"], "left_anti")
