@@ -3,13 +3,13 @@
 Rules name a host with its subdomains and a path prefix; the longest that fits
 decides. For the other pages their host decides: trust flows from hosts that
 rules allow along the links (personalised PageRank), distrust flows from hosts
-that rules block against the links, so a host that links to blocked hosts takes
-on their distrust. Those two are sums that other hosts' links enter, so one host's part
-shrinks as the crawl grows. The verdict therefore takes means over a host's own links:
-``exposed`` is the chance that a walk along links from the host comes to a blocked page
-before an allowed one, ``endorsed`` the same for allowed pages against the links; a
-walk ends at each step with 1 - DAMPING. A host is blocked where exposed exceeds
-endorsed by a threshold, however many others link as it does.
+that rules block against the links (the same on reversed links), so a host that links to
+blocked hosts takes on their distrust. What a host gets of either shrinks with the number of
+hosts that share a link's end, so it is compared with what the host gets when
+every host sends alike (unseeded PageRank, forward and reversed): ``exposed`` is the part
+of the rank received against the links that started at blocked pages, ``endorsed`` the
+part of that received along the links that started at allowed ones. A host is blocked where exposed
+exceeds endorsed by more than a threshold, however many others link as it does.
 
 Everything is joins and sums over hosts and host pairs; pages are reduced to
 pairs with counts before the first shuffle.
@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import written
 
 DAMPING = 0.85
-ROUNDS = 10  # of the SQL below only
-TOLERANCE = 1e-6  # rounds go on until all hosts' changes of all scores add up to less
+STEPS = 30  # links that a walk follows at most; a longer one would count less than DAMPING ** STEPS (0.8 %) of its start
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # a link with a host of its own; relative links stay on their host and say nothing about another
@@ -81,48 +80,50 @@ def host_links(pages: DataFrame, html="html") -> DataFrame:
     return links.filter("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping=DAMPING, tolerance=TOLERANCE) -> DataFrame:
-    """host, trust, distrust, endorsed, exposed, from ``seeds`` (host, good, bad; shares from 0 to 1).
+NAMES = ("trust", "distrust", "rank", "back_rank")
+_ALONG = ("trust", "rank")  # the others go against the links
 
-    Trust and distrust are in units of a seed's own weight: a host that no score reaches has 0, a seed without links
-    its share. Endorsed and exposed are chances from 0 to 1. Rounds go on until the changes of a round add up to
-    less than ``tolerance``; what is left out of any score is then below damping / (1 - damping) times that.
+
+def propagate(links: DataFrame, seeds: DataFrame, damping=DAMPING, steps=STEPS) -> DataFrame:
+    """host, good, bad and what the host receives: trust, distrust, rank, back_rank.
+
+    ``seeds`` has host, good and bad (shares from 0 to 1). Trust and distrust start from those shares, rank and back_rank
+    from 1 at every host; trust and rank go along the links, the other two against them. All are sums over
+    walks of one to ``steps`` links, without what the host starts with itself. Rounds end early where no
+    walk goes on, as in a graph without circles; their number does not depend on the number of hosts.
     """
-    good, bad = F.col("good").cast("double"), F.col("bad").cast("double")
-    names = ("trust", "distrust", "endorsed", "exposed")
-    base = seeds.select("host", good.alias("trust"), bad.alias("distrust"), good.alias("endorsed"), bad.alias("exposed"))
+    none = [F.lit(0.0).alias(n) for n in NAMES]
+    last = [f"last_{n}" for n in NAMES]  # what arrived in the round before
+    start = [F.col("good").cast("double"), F.col("bad").cast("double"), F.lit(1.0), F.lit(1.0)]
+    own = seeds.select("host", "good", "bad")
     if links.isEmpty():
-        return base
+        return own.select("*", *none)
     outgoing = links.groupBy("src").agg(F.sum("n").alias("out"))
     incoming = links.groupBy("dst").agg(F.sum("n").alias("into"))
-    free = seeds.select("host", (1 - good - bad).alias("free"))  # a walk goes on from the pages that no rule names
-    links = written(
-        links.join(outgoing, "src").join(incoming, "dst")
-        .join(free.select(F.col("host").alias("src"), F.col("free").alias("src_free")), "src", "left")
-        .join(free.select(F.col("host").alias("dst"), F.col("free").alias("dst_free")), "dst", "left")
-        .select("src", "dst", (damping * F.col("n") / F.col("out")).alias("forward"), (damping * F.col("n") / F.col("into")).alias("back"),
-                F.coalesce("src_free", F.lit(1.0)).alias("src_free"), F.coalesce("dst_free", F.lit(1.0)).alias("dst_free")))
-    last = [f"last_{n}" for n in names]  # what the round before added
-    scores = base.select("host", *names, *(F.col(n).alias(x) for n, x in zip(names, last)))
-    none = [F.lit(0.0).alias(n) for n in names]
-    while True:
-        for _ in range(2):
-            sent = links.join(scores.filter("last_trust > 0 OR last_endorsed > 0"), F.col("src") == F.col("host")).select(
-                F.col("dst").alias("host"), *none, (F.col("last_trust") * F.col("forward")).alias("last_trust"), F.lit(0.0).alias("last_distrust"),
-                (F.col("last_endorsed") * F.col("back") * F.col("dst_free")).alias("last_endorsed"), F.lit(0.0).alias("last_exposed"))
-            blamed = links.join(scores.filter("last_distrust > 0 OR last_exposed > 0"), F.col("dst") == F.col("host")).select(
-                F.col("src").alias("host"), *none, F.lit(0.0).alias("last_trust"), (F.col("last_distrust") * F.col("back")).alias("last_distrust"),
-                F.lit(0.0).alias("last_endorsed"), (F.col("last_exposed") * F.col("forward") * F.col("src_free")).alias("last_exposed"))
-            kept = scores.select("host", *names, *(F.lit(0.0).alias(x) for x in last))
-            sums = kept.union(sent).union(blamed).groupBy("host").agg(*(F.sum(n).alias(n) for n in (*names, *last)))
-            scores = sums.select("host", *((F.col(n) + F.col(x)).alias(n) for n, x in zip(names, last)), *last)
-        scores = written(scores)  # cuts the lineage
-        if scores.agg(F.sum(sum((F.col(x) for x in last), F.lit(0.0)))).first()[0] < tolerance:
-            return scores.select("host", *names)
-
-
-def judge(pages: DataFrame, rules: DataFrame, url="url", html="html", key="page_id", damping=DAMPING, tolerance=TOLERANCE, threshold=THRESHOLD) -> DataFrame:
-    """``key``, host, path, rule, verdict, and the host's trust and distrust, for every page.
+    links = written(links.join(outgoing, "src").join(incoming, "dst").select(
+        "src", "dst", (damping * F.col("n") / F.col("out")).alias("forward"), (damping * F.col("n") / F.col("into")).alias("back")))
+    scores = seeds.select("host", *none, *(c.alias(n) for c, n in zip(start, last)))
+    for step in range(1, steps + 1):
+        sent = links.join(scores, F.col("src") == F.col("host")).select(
+            F.col("dst").alias("host"), *none, *((F.col(x) * F.col("forward") if n in _ALONG else F.lit(0.0)).alias(x) for n, x in zip(NAMES, last)))
+        back = links.join(scores, F.col("dst") == F.col("host")).select(
+            F.col("src").alias("host"), *none, *((F.lit(0.0) if n in _ALONG else F.col(x) * F.col("back")).alias(x) for n, x in zip(NAMES, last)))
+        kept = scores.select("host", *NAMES, *(F.lit(0.0).alias(x) for x in last))
+        sums = kept.union(sent).union(back).groupBy("host").agg(*(F.sum(n).alias(n) for n in (*NAMES, *last)))
+        scores = sums.select("host", *((F.col(n) + F.col(x)).alias(n) for n, x in zip(NAMES, last)), *last)
+        if step % 2 == 0 or step == steps:
+            scores = written(scores)  # cuts the lineage
+            if not scores.agg(F.max(F.greatest(*last))).first()[0]:
+                break
+    return own.join(scores.select("host", *NAMES), "host")
+
+
+def _share(received, of) -> Column:
+    return F.round(F.when(F.col(of) > 0, F.col(received) / F.col(of)).otherwise(0.0), 9)
+
+
+def judge(pages: DataFrame, rules: DataFrame, url="url", html="html", key="page_id", damping=DAMPING, steps=STEPS, threshold=THRESHOLD) -> DataFrame:
+    """``key``, host, path, rule, verdict, and the host's trust, distrust, endorsed and exposed, for every page.
 
     A seed's weight is the share of its pages that a rule allows or blocks; a
     host known from links alone is judged by its root path. Pages without a host
@@ -140,13 +141,13 @@ def judge(pages: DataFrame, rules: DataFrame, url="url", html="html", key="page_
     share = [F.coalesce(F.avg(F.when(F.col("won.block") == b, 1.0).otherwise(0.0)), F.lit(0.0)).alias(n) for n, b in (("good", False), ("bad", True))]
     alone = linked.join(by_host, "host").withColumn("path", F.lit("/")).withColumn("won", _winner()).select("host", "won")
     seeds = written(placed.filter("host <> ''").select("host", "won").union(alone).groupBy("host").agg(*share))
-    scores = written(propagate(links, seeds, damping, tolerance).select(
-        "host", *(F.round(n, 9).alias(n) for n in ("trust", "distrust", "endorsed", "exposed"))))
-    blocked = F.coalesce(F.col("won.block"), F.col("exposed") - F.col("endorsed") >= threshold, F.lit(False))
+    scores = written(propagate(links, seeds, damping, steps).select(
+        "host", F.round(F.col("good") + F.col("trust"), 9).alias("trust"), F.round(F.col("bad") + F.col("distrust"), 9).alias("distrust"),
+        _share("trust", "rank").alias("endorsed"), _share("distrust", "back_rank").alias("exposed")))
+    blocked = F.coalesce(F.col("won.block"), F.round(F.col("exposed") - F.col("endorsed"), 9) > threshold, F.lit(False))
     return placed.join(scores, "host", "left").select(
-        F.col("key").alias(key), "host", "path", F.col("won.rule").alias("rule"),
-        F.when(blocked, "block").otherwise("allow").alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+        F.col("key").alias(key), "host", "path", F.col("won.rule").alias("rule"), F.when(blocked, "block").otherwise("allow").alias("verdict"),
+        *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "endorsed", "exposed")))
 
 
 def judged(spark, pages: DataFrame) -> DataFrame:
@@ -154,38 +155,36 @@ def judged(spark, pages: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    """DuckDB SQL, the rounds written out, with the verdict from distrust less trust.
-
-    The same where links settle within ROUNDS rounds and no verdict hangs on how many hosts share a link's
-    end, as in the given pages, which have no links between hosts; not in general.
-    """
+    """The same in DuckDB SQL: all walks step by step, then their sums."""
     values = ", ".join(f"('{a}', '{d}', '{p}')" for a, d, p in RULES)
     link = _LINK.replace("'", "''")
     fits = "(host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix)"
-    rounds = ["r0 AS (SELECT host, good AS trust, bad AS distrust FROM seeds)"]
-    for i in range(ROUNDS):
-        rounds.append(f"""r{i + 1} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
-            SELECT host, good AS trust, bad AS distrust FROM seeds
-            UNION ALL SELECT dst, trust * forward, 0 FROM links JOIN r{i} ON src = host
-            UNION ALL SELECT src, 0, distrust * back FROM links JOIN r{i} ON dst = host) GROUP BY host)""")
     return rf"""
-    WITH rules(action, domain, prefix) AS (VALUES {values}),
+    WITH RECURSIVE rules(action, domain, prefix) AS (VALUES {values}),
     u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     p AS (SELECT row_number() OVER () AS r, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
     l AS (SELECT DISTINCT r, host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM p WHERE host <> ''),
     e AS (SELECT src, dst, count(*) AS n FROM l WHERE dst <> '' AND src <> dst GROUP BY src, dst),
-    links AS (SELECT src, dst, {DAMPING} * n / sum(n) OVER (PARTITION BY src) AS forward, {DAMPING} * n / sum(n) OVER (PARTITION BY dst) AS back FROM e),
+    links AS MATERIALIZED (SELECT src, dst, {DAMPING} * n / sum(n) OVER (PARTITION BY src) AS forward, {DAMPING} * n / sum(n) OVER (PARTITION BY dst) AS back FROM e),
     cases AS (SELECT r, host, path FROM p UNION ALL SELECT -row_number() OVER (), host, '/' FROM
                (SELECT src AS host FROM e UNION SELECT dst FROM e) WHERE host NOT IN (SELECT host FROM p)),
     won AS (SELECT r, max({{'size': length(domain || prefix), 'block': action = 'block', 'rule': domain || prefix}}) AS w FROM cases, rules WHERE {fits} GROUP BY r),
-    seeds AS (SELECT host, avg(CAST(coalesce(NOT w.block, false) AS INT)) AS good, avg(CAST(coalesce(w.block, false) AS INT)) AS bad
+    seeds AS MATERIALIZED (SELECT host, avg(CAST(coalesce(NOT w.block, false) AS INT)) AS good, avg(CAST(coalesce(w.block, false) AS INT)) AS bad
               FROM cases LEFT JOIN won USING (r) WHERE host <> '' GROUP BY host),
-    {', '.join(rounds)}
+    walks AS (SELECT 0 AS step, host, good AS trust, bad AS distrust, 1.0::DOUBLE AS rank, 1.0::DOUBLE AS back_rank FROM seeds
+      UNION ALL SELECT step + 1, CASE WHEN along THEN dst ELSE src END, sum(CASE WHEN along THEN trust * forward ELSE 0 END),
+        sum(CASE WHEN along THEN 0 ELSE distrust * back END), sum(CASE WHEN along THEN rank * forward ELSE 0 END), sum(CASE WHEN along THEN 0 ELSE back_rank * back END)
+      FROM walks, (SELECT *, unnest([true, false]) AS along FROM links) AS l
+      WHERE host = CASE WHEN along THEN src ELSE dst END AND step < {STEPS} GROUP BY ALL),
+    got AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust, sum(rank) AS rank, sum(back_rank) AS back_rank FROM walks WHERE step > 0 GROUP BY host),
+    scores AS (SELECT host, round(good + coalesce(trust, 0), 9) AS trust, round(bad + coalesce(distrust, 0), 9) AS distrust,
+      round(CASE WHEN rank > 0 THEN trust / rank ELSE 0 END, 9) AS endorsed, round(CASE WHEN back_rank > 0 THEN distrust / back_rank ELSE 0 END, 9) AS exposed
+      FROM seeds LEFT JOIN got USING (host))
     SELECT page_id, host, path, w.rule AS rule,
-      CASE WHEN coalesce(w.block, round(distrust, 9) - round(trust, 9) >= {THRESHOLD}, false) THEN 'block' ELSE 'allow' END AS verdict,
-      coalesce(round(trust, 9), 0) AS trust, coalesce(round(distrust, 9), 0) AS distrust
-    FROM p LEFT JOIN won USING (r) LEFT JOIN r{ROUNDS} USING (host)"""
+      CASE WHEN coalesce(w.block, round(exposed - endorsed, 9) > {THRESHOLD}, false) THEN 'block' ELSE 'allow' END AS verdict,
+      coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust, coalesce(endorsed, 0) AS endorsed, coalesce(exposed, 0) AS exposed
+    FROM p LEFT JOIN won USING (r) LEFT JOIN scores USING (host)"""
 
 
 ORACLE = _oracle()
