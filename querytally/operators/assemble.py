@@ -49,6 +49,23 @@ def table_texts(columns: DataFrame, table="table_name", order="ordinal", per_pie
     return body.join(ends, F.col(table) == F.col("__table")).select(table, "piece", F.concat(head, "body", close).alias("ddl"))
 
 
+def tree_digests(pieces: DataFrame, group: list, piece="piece", text="ddl", fan=256) -> DataFrame:
+    """``group`` columns and the digest of a text that is spread over numbered pieces, whole numbers from 0.
+
+    The digests of ``fan`` neighbouring pieces, joined in order, are digested, and so on level by level until
+    one is left; one without neighbours goes up as it is. Every level is spread over
+    all tasks, so a text of any size meets in no task. An empty frame gives none.
+    """
+    top = pieces.agg(F.max(piece)).first()[0]
+    level = pieces.select(*group, F.col(piece).alias("__at"), F.md5(text).alias("digest"))
+    while top:
+        listed = F.array_sort(F.collect_list(F.struct("__at", "digest")))  # up to fan rows
+        joined = level.groupBy(*group, int_div("__at", F.lit(fan)).alias("__up")).agg(listed.alias("__d"))
+        whole = F.when(F.size("__d") == 1, F.col("__d")[0]["digest"]).otherwise(F.md5(F.array_join(F.col("__d.digest"), "")))
+        level, top = joined.select(*group, F.col("__up").alias("__at"), whole.alias("digest")), top // fan
+    return level.select(*group, "digest")
+
+
 def message_rows(messages: DataFrame, keys: list, column="messages") -> DataFrame:
     """One row per message part.
 

@@ -48,17 +48,28 @@ def sample_evenly(cases: DataFrame, group: str, order: list, size=50) -> DataFra
 def prefix_match(entries: DataFrame, wanted: list[str], faithful=False) -> DataFrame:
     """Entries whose '{dataset}_{database}' starts with a wanted prefix.
 
-    ``faithful`` repeats an entry for each prefix it matches.
+    ``wanted`` is a list or, for any number of prefixes, a frame with a column ``prefix``.
+    ``faithful`` repeats an entry for each prefix it matches, as often as that is wanted. Null
+    prefixes match nothing.
+
+    The prefixes are joined by equality with the beginnings of each key, of the lengths that occur:
+    a key has as many beginnings as there are lengths, whatever the number of prefixes.
     """
+    spark = entries.sparkSession
+    if not isinstance(wanted, DataFrame):
+        wanted = spark.createDataFrame([(w.strip(),) for w in wanted], "prefix string")
+    counted = wanted.select(F.trim("prefix").alias("__prefix")).filter("__prefix IS NOT NULL").groupBy("__prefix").agg(
+        F.count(F.lit(1)).alias("__times"))
+    lengths = counted.agg(F.array_sort(F.collect_set(F.char_length("__prefix"))).alias("__lengths"))  # one row, a few numbers
     key = F.concat_ws("_", "dataset", "database")
-    prefixes = [w.strip() for w in wanted]
+    # keys recur: each is cut once, and joins back as one row
+    keys = entries.select(key.alias("__key")).distinct().join(F.broadcast(lengths))
+    begun = keys.select("__key", F.explode(F.filter("__lengths", lambda n: n <= F.char_length("__key"))).alias("__n"))
+    hits = begun.withColumn("__prefix", F.expr("left(__key, __n)")).join(counted, "__prefix").groupBy("__key").agg(F.sum("__times").alias("__times"))
+    found = entries.withColumn("__key", key).join(hits, "__key")
     if faithful:
-        hits = F.array_compact(F.array(*[F.when(key.startswith(p), F.lit(p)) for p in prefixes]))
-        return entries.withColumn("__hit", F.explode(hits)).drop("__hit")
-    found = F.lit(False)
-    for p in prefixes:
-        found = found | key.startswith(p)
-    return entries.filter(found)
+        found = found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return found.select(*[F.col(f"`{c}`") for c in entries.columns])
 
 
 def prune_orphans(cases: DataFrame, databases: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.numeric import int_div
 from ..functions.text import (
     double_to_single_quotes, postgres_type, question_with_evidence, sentence, sql_quoted)
 from ..operators import corpus, dumps, quality
-from ..operators.assemble import assembled, message_rows, table_texts
+from ..operators.assemble import assembled, message_rows, table_texts, tree_digests
 from ..operators.joins import lookup_with_fallback
 from ..operators.nearest import nearest_objects
 from ..operators.numbering import number_within
@@ -37,20 +37,21 @@ def table_text(t):
 
 
 @query("whole_table_text", """
-    SELECT 'p' || (l_suppkey % 2) AS table_name, MD5('CREATE TABLE p' || (l_suppkey % 2) || CHR(10) || '(' || CHR(10) || STRING_AGG(
-        '    c' || n || ' text NULL', ',' || CHR(10) ORDER BY n) || CHR(10) || ');' || CHR(10)) AS digest
-    FROM (SELECT l_suppkey, ROW_NUMBER() OVER (PARTITION BY l_suppkey % 2 ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem) s
-    GROUP BY l_suppkey % 2""")
+    WITH RECURSIVE s AS (SELECT l_suppkey % 2 AS g, ROW_NUMBER() OVER (PARTITION BY l_suppkey % 2 ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem),
+    b AS (SELECT g, n // 2000 AS piece, STRING_AGG('    c' || n || ' text NULL', ',' || CHR(10) ORDER BY n) AS body FROM s GROUP BY ALL),
+    p AS (SELECT g, piece, MD5(CASE WHEN piece = MIN(piece) OVER w THEN 'CREATE TABLE p' || g || CHR(10) || '(' || CHR(10) ELSE '' END || body
+        || CASE WHEN piece = MAX(piece) OVER w THEN CHR(10) || ');' || CHR(10) ELSE ',' || CHR(10) END) AS digest FROM b WINDOW w AS (PARTITION BY g)),
+    tree AS (SELECT 0 AS level, g, piece, digest FROM p
+        UNION ALL SELECT level + 1, g, piece // 16, CASE WHEN COUNT(*) = 1 THEN MAX(digest) ELSE MD5(STRING_AGG(digest, '' ORDER BY piece)) END
+        FROM tree WHERE level < 12 GROUP BY level, g, piece // 16)
+    SELECT 'p' || g AS table_name, digest FROM tree WHERE level = 12""")
 def whole_table_text(t):
-    """Two tables with more columns than a piece holds: the joined pieces are one definition.
-
-    Its digest takes up a table's pieces one after the other, so no definition has to be one string.
-    """
+    """Two tables with more columns than a piece holds; the digest of a definition is a tree over its pieces."""
     rows = t.lineitem.select((c("l_suppkey") % 2).alias("g"), "l_orderkey", "l_linenumber", "l_suppkey")
     columns = number_within(rows, ["g"], ["l_orderkey", "l_linenumber", "l_suppkey"], "ordinal", start=1).select(
         F.concat(F.lit("p"), "g").alias("table_name"), "ordinal", F.concat(F.lit("c"), "ordinal").alias("column_name"),
         F.lit("text").alias("data_type"), F.lit(True).alias("nullable"), F.lit(None).cast("string").alias("comment"))
-    return joined_digests(table_texts(columns))
+    return tree_digests(table_texts(columns), ["table_name"], fan=16)
 
 
 def joined_digests(pieces):

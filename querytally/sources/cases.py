@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .files import file_system, write_row_files
+
 CASE = "database string, question string, query string"
 QUESTION = "db_id string, question string, evidence string, query string, SQL string"
 
 
 def read_cases(spark: SparkSession, root: str) -> DataFrame:
     """Every ``{dataset}/evals/{name}/eval.json`` under ``root``."""
-    path = F.col("_metadata.file_path")
+    # the path is a URI; a plus sign stands for itself in it
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return (
         spark.read.schema(CASE).option("multiLine", True).json(f"{root}/*/evals/*/eval.json")
         .select(F.regexp_extract(path, r"/([^/]+)/evals/[^/]+/[^/]+$", 1).alias("dataset"),
@@ -55,10 +58,15 @@ def build_cases(questions: DataFrame, dataset: str, databases: DataFrame | None
 def write_cases(cases: DataFrame, path: str) -> None:
     """``{dataset}/evals/{name}/eval.json`` under ``path``, as ``read_cases`` reads it.
 
-    The tasks write a folder per case; the files are then moved to their names,
-    one file-system rename a case, streamed over the listing. A case written
-    before is replaced. Keys must be fit for folder names.
+    Tasks write the files and move them to their places (``files.write_row_files``): a case written
+    before is replaced, and a run that fails in writing leaves all as it was. Keys must be fit for folder names. Where
+    only Spark's own classes reach the file system, Spark writes a folder per case and the files are
+    renamed one by one, streamed over the listing.
     """
+    if file_system(path) is not None:
+        place = F.concat("dataset", F.lit("/evals/"), "name", F.lit("/eval.json"))
+        write_row_files(cases.select(place.alias("path"), F.to_json(F.struct("database", "question", "query")).alias("text")), path, depth=4)
+        return
     spark = cases.sparkSession
     rough = f"{path}/_written-{uuid.uuid4().hex}"
     cases.write.partitionBy("dataset", "name").json(rough)

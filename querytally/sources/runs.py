@@ -45,25 +45,62 @@ def read_run_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_FILE.rsplit(",", 1)[0]).json(path)
 
 
-def append_report(run: DataFrame, evals: DataFrame, store: str) -> str:
+def append_report(run: DataFrame, evals: DataFrame, store: str, run_id: str | None = None) -> str:
     """Append one run row and its evals, which carry the run's id.
 
-    ``run`` has source, start_time, end_time, task, scores, details. Every call
-    stores a run of its own with a new id, which it returns; the evals are written
-    without a shuffle, in a folder per run, before the run's row names them.
+    ``run`` has source, start_time, end_time, task, scores, details. A call without ``run_id``
+    stores a run of its own with a new id; the id is returned. The evals are written
+    without a shuffle into a folder of the run; the run's row, one file that appears in one step, publishes
+    them. An append that failed may be repeated with its id: it replaces what was left, and does nothing if the run is there.
     """
-    run_id = uuid.uuid4().hex
+    run_id = run_id or uuid.uuid4().hex
+    if run_id in _published(run.sparkSession, store):
+        return run_id
     stamped = run.limit(1).select(
         F.lit(run_id).alias("id"), "source", F.coalesce("start_time", F.current_timestamp()).alias("start_time"),
         F.coalesce("end_time", F.current_timestamp()).alias("end_time"), "task", "scores", "details")
-    evals.withColumn("run_id", F.lit(run_id)).withColumn("duration", F.col("duration").cast("decimal(18,3)")) \
-        .write.mode("append").partitionBy("run_id").parquet(f"{store}/evals")
-    stamped.write.mode("append").parquet(f"{store}/runs")
+    evals.drop("run_id").withColumn("duration", F.col("duration").cast("decimal(18,3)")) \
+        .write.mode("overwrite").parquet(f"{store}/evals/run_id={run_id}")
+    stamped.coalesce(1).write.mode("append").parquet(f"{store}/runs")
     return run_id
 
 
+def _folders(spark: SparkSession, path: str) -> list:
+    """Hadoop statuses of the entries of a folder; none if it is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return list(system.listStatus(folder)) if system.exists(folder) else []
+
+
+def _published(spark: SparkSession, store: str) -> set:
+    """Ids of the runs whose row is there."""
+    if not any(s.getPath().getName().endswith(".parquet") for s in _folders(spark, f"{store}/runs")):
+        return set()
+    return {r["id"] for r in spark.read.parquet(f"{store}/runs").select("id").collect()}
+
+
 def read_report(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{store}/runs"), spark.read.parquet(f"{store}/evals")
+    """(runs, evals); evals of a run that is not published yet are not there."""
+    runs = spark.read.parquet(f"{store}/runs")
+    found = spark.read.parquet(f"{store}/evals").schema
+    # an id in the folder's name is a text, also where it looks like a number
+    texts = T.StructType([T.StructField(f.name, T.StringType() if f.name == "run_id" else f.dataType) for f in found])
+    evals = spark.read.schema(texts).parquet(f"{store}/evals")
+    return runs, evals.join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi").select(*evals.columns)
+
+
+def drop_unpublished(spark: SparkSession, store: str) -> list[str]:
+    """Delete the evals of runs without a row, left by appends that failed and were not repeated; their ids.
+
+    No append may be running.
+    """
+    published, gone = _published(spark, store), []
+    for status in _folders(spark, f"{store}/evals"):
+        name = status.getPath().getName()
+        if name.startswith("run_id=") and name[7:] not in published:
+            status.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).delete(status.getPath(), True)
+            gone.append(name[7:])
+    return sorted(gone)
 
 
 def without_nans(column: Column, dtype: T.DataType) -> Column:
