@@ -60,11 +60,12 @@ def prefix_match(entries: DataFrame, wanted: list[str], faithful=False) -> DataF
         wanted = spark.createDataFrame([(w.strip(),) for w in wanted], "prefix string")
     counted = wanted.select(F.trim("prefix").alias("__prefix")).filter("__prefix IS NOT NULL").groupBy("__prefix").agg(
         F.count(F.lit(1)).alias("__times"))
-    lengths = counted.agg(F.array_sort(F.collect_set(F.char_length("__prefix"))).alias("__lengths"))  # one row, a few numbers
+    lengths = sorted(r["n"] for r in counted.select(F.char_length("__prefix").alias("n")).distinct().collect())  # a few numbers
     key = F.concat_ws("_", "dataset", "database")
     # keys recur: each is cut once, and joins back as one row
-    keys = entries.select(key.alias("__key")).distinct().join(F.broadcast(lengths))
-    begun = keys.select("__key", F.explode(F.filter("__lengths", lambda n: n <= F.char_length("__key"))).alias("__n"))
+    keys = entries.select(key.alias("__key")).distinct()
+    cuts = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    begun = keys.select("__key", F.explode(F.filter(cuts, lambda n: n <= F.char_length("__key"))).alias("__n"))
     hits = begun.withColumn("__prefix", F.expr("left(__key, __n)")).join(counted, "__prefix").groupBy("__key").agg(F.sum("__times").alias("__times"))
     found = entries.withColumn("__key", key).join(hits, "__key")
     if faithful:

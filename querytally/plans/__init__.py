@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
-from . import catalog, evaluation, relational, storage  # noqa: F401
+from . import catalog, descriptions, evaluation, relational, storage  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

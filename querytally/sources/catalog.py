@@ -128,9 +128,13 @@ def comment_on_table(spark: SparkSession, table: str, text: str) -> None:
     spark.sql(f"COMMENT ON TABLE {table} IS '{quoted}'")
 
 
-def save_described(df: DataFrame, table: str, description: str | None = None) -> None:
-    """Save as a catalog table in full; column comments come with the schema."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
+def save_described(df: DataFrame, table: str, description: str | None = None, path: str | None = None) -> None:
+    """Save as a catalog table in full; column comments come with the schema.
+
+    The files go to the warehouse, or to ``path``.
+    """
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     if description is not None:
         comment_on_table(df.sparkSession, table, description)
 
