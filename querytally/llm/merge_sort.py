@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 RUN = 50_000  # strings sorted at once
 CHUNK = 2_000  # strings of a run that travel as one row
 SAMPLES = 64  # per range
+RANGE_BYTES = 32_000_000  # of strings that a task merges, about
 
 
 def common_prefix(a: bytes, b: bytes, start=0) -> int:
@@ -126,13 +127,14 @@ def sorted_neighbours(strings: DataFrame) -> DataFrame:
     ``reach`` is the longest prefix that a string shares with any other: in
     sorted order, with one of its neighbours. The first and last string of a
     range do not see across its edge; there reach is the string's whole length, an upper
-    bound. Strings hold fewer than 65,536 bytes. Equal strings are ordered by
+    bound. Ranges are as many as the strings' bytes ask for, one a task. Strings hold fewer than 65,536 bytes. Equal strings are ordered by
     number, so a value that holds most rows is still cut into ranges. Neither column
     may be null; an empty frame gives no rows.
     """
     spark = strings.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = min(1.0, ranges * SAMPLES / max(1, strings.count()))
+    count, size = strings.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    share = min(1.0, ranges * SAMPLES / max(1, count))
     sample = strings.filter(F.pmod(F.xxhash64("number"), F.lit(1_000_000)) < int(share * 1_000_000)).select("value", "number").collect()
     sample = sorted((bytes(r.value), r.number) for r in sample)  # about SAMPLES strings a range
     splitters = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
@@ -192,4 +194,4 @@ def sorted_neighbours(strings: DataFrame) -> DataFrame:
             yield from rows()
 
     coded = strings.select("value", "number").mapInArrow(cut, "range int, run long, place long, shared binary, sizes binary, rests binary, numbers binary")
-    return coded.repartition(ranges, "range").sortWithinPartitions("range", "run", "place").mapInArrow(merge, "number long, reach int")
+    return coded.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "run", "place").mapInArrow(merge, "number long, reach int")

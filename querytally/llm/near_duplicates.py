@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
 from .components import components
-from .grams import Ranges, byte_slices, lowered, mix, seeded, shingles, words
+from .grams import byte_slices, lowered, mix, seeded, shingles, word_hashes, words
 from .names import free_name
 
 HASHES = 168
@@ -29,6 +29,7 @@ MISSED = 1e-5  # probability that a pair at the threshold shares no band
 SHINGLE = 5
 THRESHOLD = 80  # percent
 BLOCK = 1024  # classes of a bucket that a task compares with another block
+BLOCK_SHINGLES = 4_000_000  # of the full sets of a block, about: 32 MB
 
 
 def bands_for(percent, hashes=HASHES, missed=MISSED):
@@ -43,7 +44,7 @@ def _sets(column, shingle):
     for first, data, offsets in byte_slices(column):
         data = lowered(data)
         starts, ends, edges = words(data, offsets)
-        hashes = Ranges(data).hash(starts, ends)
+        hashes = word_hashes(data, starts, ends)
         yield first, [np.unique(shingles(hashes[a:b], shingle)) for a, b in zip(edges[:-1], edges[1:])]
 
 
@@ -153,7 +154,7 @@ def _confirmed(near: DataFrame, sets: DataFrame, percent) -> DataFrame:
 def _in_blocks(members: DataFrame, block) -> DataFrame:
     """``members`` (key, id, size and more) dealt so that any two of a key meet in one (key, first, second).
 
-    A key of at most ``block`` members is one group; a larger one is cut into
+    A key of a ``size`` up to ``block`` is one group; a larger one is cut into
     blocks of about that size, and every pair of blocks is a group.
     """
     blocks = F.ceil(F.col("size") / block)
@@ -242,12 +243,17 @@ def _block_links(percent):
 
 
 def _rest_links(promising: DataFrame, labels: DataFrame, sets: DataFrame, percent, block) -> DataFrame:
-    """Links inside buckets that the comparison with the smallest class left in several components."""
+    """Links inside buckets that the comparison with the smallest class left in several components.
+
+    Blocks are bounded by members and by the shingles of their sets: blocks of long texts have fewer members.
+    """
+    sizes = sets.select("id", (F.octet_length("hashes") / 8).alias("shingles"))
     members = written(promising.join(labels, F.col("id") == F.col("node"), "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")))
-    mixed = written(members.groupBy("key").agg(F.count("id").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        "key", "id", F.coalesce("component", "id").alias("component")).join(sizes, "id"))
+    weight = F.greatest(F.count("id").cast("double"), F.sum("shingles") * (block / BLOCK_SHINGLES))
+    mixed = written(members.groupBy("key").agg(weight.alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
                     .filter("lo <> hi").select(F.col("key").alias("k"), "size"))
-    found = members.join(mixed, F.col("key") == F.col("k")).drop("k")
+    found = members.drop("shingles").join(mixed, F.col("key") == F.col("k")).drop("k")
     return written(_in_blocks(found.join(sets, "id"), block).groupBy("key", "first", "second").applyInPandas(_block_links(percent), "u long, v long"))
 
 

@@ -111,3 +111,46 @@ def test_bands():
     for percent in (80, 85):
         bands, rows = bands_for(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 1e-5
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """The Thue-Morse word of two letters and its complement agree under any polynomial modulo 2**64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{word} {other} x", f"{other} {word} x", f"{word}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs, shingle=3, percent=85).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)]
+
+
+def test_word_hashes_follow_the_words():
+    import numpy as np
+
+    from querytally.llm.grams import word_hashes, words
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab \né") for _ in range(rng.randrange(60))).encode() for _ in range(300)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts, ends, edges = words(data, offsets)
+    hashes = word_hashes(data, starts, ends)
+    named = {}
+    for s, e, h in zip(starts, ends, hashes):
+        named.setdefault(bytes(data[s:e]), set()).add(int(h))
+    assert all(len(h) == 1 for h in named.values()) and len({next(iter(h)) for h in named.values()}) == len(named) > 200
+    assert len(word_hashes(data[:0], starts[:0], ends[:0])) == 0
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Two thousand pairs with a similarity of 0.86: none is missed."""
+    rng, rows = random.Random(6), []
+    for pair in range(2000):
+        base = [f"p{pair}w{i}" for i in range(400)]
+        other = list(base)
+        for at in rng.sample(range(2, 398, 4), 10):  # each edit changes three shingles of its own
+            other[at] = f"e{rng.randrange(10**9)}"
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = near_duplicates(docs, shingle=3, percent=85).collect()
+    assert {r.n_shingles for r in got} == {398} and all(r.component_id == r.doc_id // 2 * 2 for r in got)
