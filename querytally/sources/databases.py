@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
@@ -40,8 +42,24 @@ def database_id(dataset, database) -> Column:
 
 
 def replace_table(df: DataFrame, directory: str, name: str) -> None:
-    """Load in full, replacing what was there."""
-    df.write.mode("overwrite").parquet(f"{directory}/{name}.parquet")
+    """Load in full, replacing what was there.
+
+    The new files are written beside the old ones and take their place by renames of whole folders when all
+    are there: a load that fails leaves the old table, and ``df`` may read the table that it replaces.
+    """
+    spark = df.sparkSession
+    path, mark = spark._jvm.org.apache.hadoop.fs.Path, uuid.uuid4().hex
+    new, old, place = (path(f"{directory}/{n}") for n in (f"_new-{mark}", f"_old-{mark}", f"{name}.parquet"))
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new.toString())
+    except Exception:
+        system.delete(new, True)
+        raise
+    if system.exists(place):
+        system.rename(place, old)
+    system.rename(new, place)
+    system.delete(old, True)
 
 
 def register_database(spark: SparkSession, directory: str, schema: str | None = None) -> list[str]:

@@ -105,3 +105,16 @@ def test_endless_query_is_stopped(spark, tmp_path):
     failed = {r.name: r for r in headers.filter("error IS NOT NULL").collect()}
     assert set(failed) == {"02"} and 7 < failed["02"].seconds < 60
     assert rows.count() == 7 and headers.count() == 8
+
+
+def test_table_is_replaced_when_its_files_are_there(spark, tmp_path):
+    from querytally.sources import databases
+
+    databases.replace_table(spark.range(5), str(tmp_path), "t")
+    with pytest.raises(Exception, match="broken"):
+        databases.replace_table(spark.range(9).withColumn("x", F.when(F.col("id") == 8, F.raise_error(F.lit("broken")))), str(tmp_path), "t")
+    assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 5 and sorted(os.listdir(tmp_path)) == ["t.parquet"]
+    again = spark.read.parquet(f"{tmp_path}/t.parquet")
+    databases.replace_table(again.union(again), str(tmp_path), "t")
+    assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 10 and sorted(os.listdir(tmp_path)) == ["t.parquet"]
+    assert databases.register_database(spark, str(tmp_path)) == ["t"]
