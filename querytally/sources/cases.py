@@ -23,17 +23,23 @@ def read_cases(spark: SparkSession, root: str) -> DataFrame:
                 "database", "question", "query"))
 
 
-def read_questions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Question files (JSON arrays) in the given order.
+def read_questions(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Question files (JSON arrays) in the given order, or all below a folder in the order of their paths.
 
     ``file_no`` and ``row_no`` keep the order; a file is one JSON document, so
-    its rows come from one task and count up.
+    its rows come from one task and count up. A folder is one scan, however many files it holds.
     """
     from ..operators.corpus import append_in_order
 
-    files = [spark.read.schema(QUESTION).option("multiLine", True).json(p)
-             .withColumn("row_no", F.monotonically_increasing_id()) for p in paths]
-    return append_in_order(*files).select(
+    def read(path):
+        return spark.read.schema(QUESTION).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn(
+            "row_no", F.monotonically_increasing_id())
+
+    if isinstance(paths, str):
+        found = read(paths).withColumn("file_no", F.col("_metadata.file_path"))
+    else:
+        found = append_in_order(*[read(p) for p in paths])
+    return found.select(
         "file_no", "row_no", F.col("db_id").alias("database"), "question", "evidence",
         F.coalesce("query", "SQL").alias("query"))
 
