@@ -21,6 +21,9 @@ for values in (1000, 4):
     assert nearest_objects(q, o, 1, 2, block_values=values).filter("query_id = object_id").count() == 9
 a = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (1, 1, 2)], "a int, b int, c int")
 assert frames_equal(a.select("b", "c", "a"), a)
+from querytally.plans import QUERIES
+for name in ("case_files", "ref_tables"):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
 print("fine")
 """
 
