@@ -95,7 +95,7 @@ def work_path(spark: SparkSession) -> str:
     return os.path.join(scopes[-1] if scopes else _work_dir(spark), uuid.uuid4().hex)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression="snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, keeps the result over executor loss, and fixes values
@@ -105,7 +105,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
