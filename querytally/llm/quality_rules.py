@@ -192,7 +192,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, text="text", stratum="lan
     ``quality_verdicts``.
     """
     to = free_prefix(docs, "q")
-    counted = written(measured(docs, text, to))
+    counted = written(measured(docs, text, to), compression="zstd")  # a copy of the texts
     cutoffs = written(thresholds(_counts(counted, text, stratum, to), labels, rules, risk, error))
     kept = ~F.col(f"{to}.base_failed") & ~_rejected(rules, to, f"{to}.")
     return _with_cutoffs(counted, stratum, cutoffs, to).filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
