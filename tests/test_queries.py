@@ -141,3 +141,16 @@ def test_digests_of_whole_texts_join_no_pieces(spark):
     assert {r.table_name: r.digest for r in joined_digests(pieces).collect()} == want
     assert joined_digests(pieces.filter("false")).count() == 0
     assert "collect_list(struct(piece" not in plan_of(QUERIES["whole_table_text"](spark, SF))
+
+
+def test_digest_is_of_the_whole_text(spark, tmp_path):
+    """The digest of a definition of several pieces is that of its text joined in order."""
+    import hashlib
+
+    lines = spark.range(9001).select(
+        (F.col("id") % 1013).alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber"),
+        F.when(F.col("id") < 5000, F.lit(1)).otherwise(F.col("id") % 7 * 2).cast("long").alias("l_suppkey"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.table_name: r.digest for r in QUERIES["whole_table_text"](spark, str(tmp_path)).collect()}
+    text = lambda name, n: f"CREATE TABLE {name}\n(\n" + ",\n".join(f"    c{i} text NULL" for i in range(1, n + 1)) + "\n);\n"
+    assert got == {name: hashlib.md5(text(name, n).encode()).hexdigest() for name, n in (("p0", 4001), ("p1", 5000))}
