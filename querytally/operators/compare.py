@@ -1,9 +1,12 @@
 """Equality of query results, ignoring row order, column order and names.
 
 All cases are compared in one pass over their rows. Columns are matched by
-order-free fingerprints that combine map-side, so a case holding most of the
-rows costs no more than one partial aggregate per task; matched rows are then
-compared exactly as multisets, spread by their content.
+order-free fingerprints; matched rows are then compared exactly as multisets.
+The rows of a case of usual size are brought together, many cases to a task and a
+bounded number of rows, so that all steps of a pass take one shuffle. Cases of
+more than ``CASE_ROWS`` rows are spread: their fingerprints combine map-side,
+so one holding most of the rows costs no more than one partial aggregate per task, and
+their rows are compared by content.
 
 Two readings of the matching exist:
 
@@ -15,8 +18,11 @@ Two readings of the matching exist:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.ordering import pg_asc
 from ..session import written
 from .components import components
 from .matching import unmatched_groups
@@ -27,6 +33,8 @@ from .results import ACTUAL, EXPECTED, result_header, result_rows, with_unique_n
 # Tolerance of float comparison.
 ABSOLUTE, RELATIVE = 1e-8, 1e-5
 
+CASE_ROWS = 100_000  # rows of a case, both sides, that may meet in one task; larger cases are spread
+TASK_ROWS = 250_000  # rows of a task that has several cases
 _SALTS = 8
 _BEAM = 64
 PART_ROWS = 2000  # rows of a part, each side, that one task matches; larger parts are matched by joins
@@ -46,6 +54,29 @@ def spread_join(rows: DataFrame, per_case: DataFrame, keys: list) -> DataFrame:
     return salted.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
+def _parts(df: DataFrame, n: int) -> int:
+    """Tasks for ``n`` rows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+
+
+def _with_case(rows: DataFrame, per_case: DataFrame, keys: list, parts: int | None) -> DataFrame:
+    """Join rows to one record per case: a case's rows side by side in one of ``parts`` tasks, without ``parts`` spread.
+
+    Groupings by the keys and more need no further shuffle where the rows are side by side.
+    """
+    if parts is None:
+        return spread_join(rows, per_case, keys)
+    return rows.repartition(parts, *keys).join(per_case.repartition(parts, *keys), keys)
+
+
+def _numbered(df: DataFrame, group: list, order: list, parts: int | None) -> DataFrame:
+    """Row numbers ``n`` within groups, which are in one task each where there are ``parts``."""
+    if parts is None:
+        return number_within(df, group, order)
+    by = W.partitionBy(*group).orderBy(*[pg_asc(o) if isinstance(o, str) else o for o in order])
+    return df.withColumn("n", F.row_number().over(by).cast("long"))
+
+
 def _order_free(h: Column) -> list[Column]:
     """Sum of 64-bit hashes in three parts that cannot overflow a bigint."""
     return [
@@ -71,12 +102,13 @@ def column_profile(headers: DataFrame, rows: DataFrame, keys: list) -> DataFrame
     number = F.when(F.col("kind") == "f", F.col("cell").try_cast("double"))
     parts = _order_free(F.when(F.col("w") == 1, F.xxhash64("cell")))
     measured = valued.unionByName(declared).groupBy(*keys, "side", "pos").agg(
-        F.max("kind").alias("declared"), F.sum("w").alias("n"), F.count("cell").alias("filled"),
+        F.max(F.ascii("kind")).alias("letter"), F.sum("w").alias("n"), F.count("cell").alias("filled"),
         *[p.alias(f"fp{i}") for i, p in enumerate(parts)],
         F.min(number).alias("low"), F.max(number).alias("high"),
         F.sum(number).alias("total"), F.sum(F.abs(number)).alias("mass"),
     )
-    kind = F.when(F.col("filled") == 0, F.lit("n")).otherwise(F.col("declared"))
+    declared = F.when(F.col("letter") == 0, F.lit("")).otherwise(F.char("letter"))  # numbers aggregate without a sort
+    kind = F.when(F.col("filled") == 0, F.lit("n")).otherwise(declared)
     return measured.select(
         *keys, "side", "pos", kind.alias("kind"), "n", "filled",
         F.xxhash64(kind, "n", "filled", *[F.coalesce(f"fp{i}", F.lit(0)) for i in range(3)]).alias("class"),
@@ -119,18 +151,18 @@ def _per_case(columns: DataFrame, keys: list) -> DataFrame:
     return cases.drop("__c").withColumn("alike", alike).withColumn("near", near)
 
 
-def _verified_pairs(rows: DataFrame, pairs: DataFrame, keys: list) -> DataFrame:
+def _verified_pairs(rows: DataFrame, pairs: DataFrame, keys: list, parts: int | None = None) -> DataFrame:
     """Pairs whose sorted values agree position by position."""
     lists = pairs.groupBy(*keys).agg(F.collect_list(F.struct("e_pos", "a_pos")).alias("pairs"))
     expected = F.col("side") == EXPECTED
     values = (
-        spread_join(rows, lists, keys)
+        _with_case(rows, lists, keys, parts)
         .select(*keys, "side", "row_id", F.explode(F.transform("pairs", lambda p: F.struct(
             p["e_pos"].alias("e_pos"), p["a_pos"].alias("a_pos"),
             F.get("cells", F.when(expected, p["e_pos"]).otherwise(p["a_pos"])).try_cast("double").alias("v")))).alias("c"))
         .select(*keys, "side", "row_id", "c.*").filter("v is not null")
     )
-    ranked = number_within(values, [*keys, "e_pos", "a_pos", "side"], ["v", "row_id"])
+    ranked = _numbered(values, [*keys, "e_pos", "a_pos", "side"], ["v", "row_id"], parts)
     off = (
         ranked.groupBy(*keys, "e_pos", "a_pos", "n")
         .agg(F.max(F.when(expected, F.col("v"))).alias("ev"), F.max(F.when(~expected, F.col("v"))).alias("av"))
@@ -139,7 +171,7 @@ def _verified_pairs(rows: DataFrame, pairs: DataFrame, keys: list) -> DataFrame:
     return pairs.join(off, [*keys, "e_pos", "a_pos"], "left_anti")
 
 
-def _refined(rows: DataFrame, cases: DataFrame, keys: list) -> DataFrame:
+def _refined(rows: DataFrame, cases: DataFrame, keys: list, parts: int | None = None) -> DataFrame:
     """Narrow equal columns by how their values line up in rows.
 
     Every row gets a signature from its (class, value) pairs in any column
@@ -160,7 +192,7 @@ def _refined(rows: DataFrame, cases: DataFrame, keys: list) -> DataFrame:
     marked = F.filter(
         F.zip_with("marks", "cells", lambda m, c: F.struct(m.alias("m"), c.alias("c"))),
         lambda p: p["m"].isNotNull())
-    signed = spread_join(rows, sides, [*keys, "side"]).withColumn("sign", F.xxhash64(F.array_sort(marked)))
+    signed = _with_case(rows, sides, [*keys, "side"], parts).withColumn("sign", F.xxhash64(F.array_sort(marked)))
     cells = signed.select(*keys, "side", "row_id", "sign", F.posexplode("cells").alias("pos", "cell"))
     met, place = _order_free(F.xxhash64("sign", "cell")), _order_free(F.xxhash64("row_id", "cell"))
     seen = (
@@ -189,9 +221,9 @@ def _column_classes(side: str):
     return narrowed
 
 
-def _exact_matches(rows: DataFrame, attempts: DataFrame, keys: list) -> DataFrame:
+def _exact_matches(rows: DataFrame, attempts: DataFrame, keys: list, parts: int | None = None) -> DataFrame:
     """Attempts whose projected rows are the same multiset on both sides."""
-    tagged = spread_join(rows, attempts, keys)
+    tagged = _with_case(rows, attempts, keys, parts)
     projected = F.when(
         F.col("side") == ACTUAL, F.transform("mapping", lambda p: F.get("cells", p))
     ).otherwise(F.col("cells"))
@@ -204,13 +236,13 @@ def _exact_matches(rows: DataFrame, attempts: DataFrame, keys: list) -> DataFram
     return attempts.join(off, [*keys, "attempt"], "left_anti")
 
 
-def _hashed_matches(rows: DataFrame, attempts: DataFrame, keys: list, sharp=None) -> DataFrame:
-    """As above, by two order-free 64-bit row fingerprints; shuffles no rows.
+def _hashed_matches(rows: DataFrame, attempts: DataFrame, keys: list, sharp=None, parts: int | None = None) -> DataFrame:
+    """As above, by two order-free 64-bit row fingerprints; groups no rows by content.
 
     With ``sharp`` (an array of flags) a mapping may be a beginning only, and
     just its flagged columns are looked at.
     """
-    tagged = spread_join(rows, attempts, keys)
+    tagged = _with_case(rows, attempts, keys, parts)
     if sharp is None:
         line = F.when(
             F.col("side") == ACTUAL, F.transform("mapping", lambda p: F.get("cells", p))
@@ -236,7 +268,7 @@ def _hashed_matches(rows: DataFrame, attempts: DataFrame, keys: list, sharp=None
     return attempts.join(off, [*keys, "attempt"], "left_anti")
 
 
-def _assigned(rows: DataFrame, choice: DataFrame, keys: list) -> DataFrame:
+def _assigned(rows: DataFrame, choice: DataFrame, keys: list, parts: int | None = None) -> DataFrame:
     """Column assignments of the few cases where classes alone leave a choice.
 
     Assignments grow by one expected column at a time, and a beginning lives on
@@ -262,7 +294,7 @@ def _assigned(rows: DataFrame, choice: DataFrame, keys: list) -> DataFrame:
         tries = ranked.filter(F.col("turn") <= _BEAM).drop("turn").withColumn("next", F.explode(options)).withColumn(
             "mapping", F.concat("mapping", F.array("next"))).drop("next").withColumn("attempt", F.xxhash64("mapping"))
         sharp = F.transform("mapping", lambda p, i: F.array_contains(F.get("alike", i), p))
-        kept = written(_hashed_matches(rows, tries.withColumn("sharp", sharp), keys, "sharp"))
+        kept = written(_hashed_matches(rows, tries.withColumn("sharp", sharp), keys, "sharp", parts))
         whole = F.size("mapping") == F.size("cands")
         done = kept.filter(whole).select(*keys, "attempt", "mapping", F.forall("sharp", lambda x: x).alias("settled"))
         found = done if found is None else found.unionByName(done)
@@ -444,7 +476,7 @@ def _unpaired(rows: DataFrame, keys: list) -> DataFrame:
     return off.union(rows.join(larger, [*case, "part"], "left_semi").groupBy(*case, "part").applyInPandas(match, schema)).distinct()
 
 
-def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful: bool) -> DataFrame:
+def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful: bool, parts: int | None = None) -> DataFrame:
     """Attempts whose sorted rows agree pairwise, floats within the tolerance.
 
     ``attempts`` carries the expected ``kinds``. Rows sort by their columns in
@@ -453,7 +485,7 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
     rows against each other in another. Where a range of equal exact columns and steps
     does not agree in that order, a pairing of its rows is looked for.
     """
-    tagged = spread_join(rows.drop("kinds"), attempts, keys)
+    tagged = _with_case(rows.drop("kinds"), attempts, keys, parts)
     projected = F.when(
         F.col("side") == ACTUAL, F.transform("mapping", lambda p: F.get("cells", p))
     ).otherwise(F.col("cells"))
@@ -464,16 +496,19 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
             case when substring(kinds, i + 1, 1) <> 'f' then c end as txt,
             substring(kinds, i + 1, 1) = 'f' as loose))""")
     tagged = tagged.withColumn("key", sort_key)
+    several = F.length(F.regexp_replace("kinds", "[^f]", "")) > 1
+    stepped = not faithful and not attempts.filter(several).isEmpty()
     if not faithful:
-        several = F.length(F.regexp_replace("kinds", "[^f]", "")) > 1
-        tagged = _float_steps(tagged.filter(several), keys).unionByName(
-            tagged.filter(~several).withColumn("steps", F.lit(None).cast("array<struct<pos: int, step: bigint>>")))
+        plain = tagged.withColumn("steps", F.lit(None).cast("array<struct<pos: int, step: bigint>>"))
+        tagged = _float_steps(tagged.filter(several), keys).unionByName(plain.filter(~several)) if stepped else plain
         steps = F.transform(F.coalesce("steps", F.array()), lambda s: F.struct(
             s["step"].cast("double").alias("num"), s["pos"].cast("string").alias("txt"), F.lit(True).alias("loose")))
         tagged = tagged.withColumn("key", F.concat(
             F.filter("key", lambda k: ~k["loose"]), steps, F.filter("key", lambda k: k["loose"]))).withColumn(
             "range", F.xxhash64(F.to_json(F.struct(F.filter("key", lambda k: ~k["loose"]), "steps")))).drop("steps")
-    ranked = number_within(tagged, [*keys, "attempt", "side"], [F.col("key").asc(), F.col("row_id").asc()])
+    ranked = _numbered(tagged, [*keys, "attempt", "side"], [F.col("key").asc(), F.col("row_id").asc()], parts)
+    if stepped and parts is not None:
+        ranked = written(ranked)  # read again below; a number has to stay with its row
     if faithful:
         ranked = ranked.withColumn("range", F.lit(0).cast("long"))
     paired = ranked.groupBy(*keys, "attempt", "n").agg(
@@ -495,7 +530,7 @@ def _tolerant_matches(rows: DataFrame, attempts: DataFrame, keys: list, faithful
     return attempts.join(off.select(*keys, "attempt").distinct(), [*keys, "attempt"], "left_anti")
 
 
-def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool) -> DataFrame:
+def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool, parts: int | None = None) -> DataFrame:
     """Column assignments to try per case.
 
     An attempt is ``loose`` where a column is equal within the tolerance only.
@@ -514,7 +549,7 @@ def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool) ->
         open_cases = cases.filter(~sure)
         if not open_cases.isEmpty():
             narrow = written(
-                _refined(rows, open_cases, keys).withColumn("cands", cands)
+                _refined(rows, open_cases, keys, parts).withColumn("cands", cands)
                 .filter("forall(cands, c -> size(c) > 0)")
                 .select(*facts, "cands", "near", "a_twin", "e_twin", "e_class"))
             # where all candidates of a column are twins any order is as good
@@ -528,16 +563,16 @@ def _attempts(rows: DataFrame, cases: DataFrame, keys: list, faithful: bool) ->
             attempts = attempts.unionByName(turns)
             choice = narrow.filter(~twins_only)
             if not choice.isEmpty():
-                attempts = attempts.unionByName(_assigned(rows.drop("kinds"), choice, keys).join(choice.select(*facts), keys))
+                attempts = attempts.unionByName(_assigned(rows.drop("kinds"), choice, keys, parts).join(choice.select(*facts), keys))
     loose = F.expr("exists(zip_with(mapping, alike, (p, c) -> array_contains(c, p)), hit -> not hit)")
     return attempts.withColumn("loose", loose).drop("alike")
 
 
 def _settled(rows: DataFrame, attempts: DataFrame, keys: list, faithful: bool, exact: bool,
-             floats: bool) -> DataFrame:
+             floats: bool, parts: int | None = None) -> DataFrame:
     """Cases with an attempt under which the rows are equal."""
     def equal(tries):
-        return (_exact_matches if exact else _hashed_matches)(rows, tries, keys).select(*keys).distinct()
+        return (_exact_matches if exact else _hashed_matches)(rows, tries, keys, parts=parts).select(*keys).distinct()
 
     rows = rows.drop("kinds")
     if not floats:
@@ -550,37 +585,52 @@ def _settled(rows: DataFrame, attempts: DataFrame, keys: list, faithful: bool, e
     rest = attempts.filter("kinds like '%f%'").join(good, keys, "left_anti")
     if not rest.isEmpty():
         good = good.unionByName(
-            _tolerant_matches(rows, rest.drop("loose"), keys, faithful).select(*keys).distinct())
+            _tolerant_matches(rows, rest.drop("loose"), keys, faithful, parts).select(*keys).distinct())
     return good
 
 
+def _agreeing(headers: DataFrame, rows: DataFrame, keys: list, faithful: bool, exact: bool, parts: int | None) -> DataFrame:
+    """Cases whose sides are equal; ``parts`` as in ``_with_case``."""
+    profiled = (headers, rows) if parts is None else (headers.repartition(parts, *keys), rows.repartition(parts, *keys))
+    cases = written(
+        _per_case(column_profile(*profiled, keys), keys)
+        .filter("size(a) >= size(e) and forall(zip_with(alike, near, (c, d) -> size(c) + size(d)), k -> k > 0)"))
+    if faithful and not cases.filter("exists(near, c -> size(c) > 0)").isEmpty():
+        pairs = cases.select(*keys, F.posexplode("near").alias("e_pos", "n")).select(*keys, "e_pos", F.explode("n").alias("a_pos"))
+        kept = _verified_pairs(rows, written(pairs), keys, parts).groupBy(*keys).agg(
+            F.collect_list(F.struct("e_pos", "a_pos")).alias("kept"))
+        cases = cases.join(kept, keys, "left").withColumn("near", F.transform("near", lambda c, i: F.filter(
+            c, lambda p: F.coalesce(F.exists("kept", lambda k: (k["e_pos"] == i) & (k["a_pos"] == p)), F.lit(False))))).drop("kept")
+    floats = not cases.filter("exists(e, x -> x.kind = 'f')").isEmpty()
+    return _settled(rows, _attempts(rows, cases, keys, faithful, parts), keys, faithful, exact, floats, parts)
+
+
 def compare_results(headers: DataFrame, rows: DataFrame, keys: list,
                     faithful=False, exact=True) -> DataFrame:
     """``keys..., passed`` for every case with a header on both sides.
 
     Extra actual columns are allowed, missing ones are not. ``exact=False``
     trusts 128-bit row fingerprints instead of grouping the rows themselves:
-    no result row is shuffled by content then. ``rows`` is read several times
+    no row of a large result is shuffled by content then. A case with a null key does
+    not pass. ``rows`` is read several times
     and should be stored; the verdicts are written out.
     """
     keys = list(keys)
     both = headers.groupBy(*keys).agg(
         F.count_if(F.col("side") == ACTUAL).alias("n_a"), F.count_if(F.col("side") == EXPECTED).alias("n_e"),
     ).filter("n_a > 0 and n_e > 0").select(*keys)
-    cases = written(
-        _per_case(column_profile(headers, rows, keys), keys)
-        .filter("size(a) >= size(e) and forall(zip_with(alike, near, (c, d) -> size(c) + size(d)), k -> k > 0)"))
-    if faithful and not cases.filter("exists(near, c -> size(c) > 0)").isEmpty():
-        pairs = cases.select(*keys, F.posexplode("near").alias("e_pos", "n")).select(*keys, "e_pos", F.explode("n").alias("a_pos"))
-        kept = _verified_pairs(rows, written(pairs), keys).groupBy(*keys).agg(
-            F.collect_list(F.struct("e_pos", "a_pos")).alias("kept"))
-        cases = cases.join(kept, keys, "left").withColumn("near", F.transform("near", lambda c, i: F.filter(
-            c, lambda p: F.coalesce(F.exists("kept", lambda k: (k["e_pos"] == i) & (k["a_pos"] == p)), F.lit(False))))).drop("kept")
-    floats = not cases.filter("exists(e, x -> x.kind = 'f')").isEmpty()
-
-    good = _settled(rows, _attempts(rows, cases, keys, faithful), keys, faithful, exact, floats)
-    good = good.withColumn("passed", F.lit(True))
-    verdicts = both.join(good, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+    named = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    headers, rows = headers.filter(named), rows.filter(named)
+    large = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CASE_ROWS))
+    parts, n_large = _parts(rows, rows.count()), large.agg(F.sum("n")).first()[0]
+    if n_large is None:
+        good = _agreeing(headers, rows, keys, faithful, exact, parts)
+    else:
+        few = F.broadcast(large.select(*keys))
+        usual, spread = ([df.join(few, keys, how) for df in (headers, rows)] for how in ("left_anti", "left_semi"))
+        spread[1] = spread[1].repartition(_parts(rows, n_large), *keys, "row_id", "cells")  # a read task may have any number of rows
+        good = _agreeing(*usual, keys, faithful, exact, parts).unionByName(_agreeing(*spread, keys, faithful, exact, None))
+    verdicts = both.join(good.withColumn("passed", F.lit(True)), keys, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
     return written(verdicts)
 
 

@@ -74,6 +74,19 @@ def result_header(df: DataFrame, case: dict, side: str) -> DataFrame:
     )
 
 
+def result_columns(df: DataFrame, case: dict, side: str, values: list, row_id=None) -> list[Column]:
+    """The columns of the long shape for the rows of ``df``."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    kinds = "".join(kind_of(types[v]) for v in values)
+    cells = [cell(F.col(f"`{v}`"), types[v]) for v in values]
+    return [
+        *_keyed(df, case), F.lit(side).alias("side"),
+        (F.monotonically_increasing_id() if row_id is None else row_id).cast("long").alias("row_id"),
+        F.lit(kinds).alias("kinds"),
+        (F.array(*cells) if cells else F.array()).cast("array<string>").alias("cells"),
+    ]
+
+
 def result_rows(df: DataFrame, case: dict, side: str, values=None, row_id=None) -> DataFrame:
     """Rows of ``df`` in the long shape.
 
@@ -84,12 +97,4 @@ def result_rows(df: DataFrame, case: dict, side: str, values=None, row_id=None)
     if values is None:
         df = with_unique_names(df)
         values = df.columns
-    types = {f.name: f.dataType for f in df.schema.fields}
-    kinds = "".join(kind_of(types[v]) for v in values)
-    cells = [cell(F.col(f"`{v}`"), types[v]) for v in values]
-    return df.select(
-        *_keyed(df, case), F.lit(side).alias("side"),
-        (F.monotonically_increasing_id() if row_id is None else row_id).cast("long").alias("row_id"),
-        F.lit(kinds).alias("kinds"),
-        (F.array(*cells) if cells else F.array()).cast("array<string>").alias("cells"),
-    )
+    return df.select(*result_columns(df, case, side, values, row_id))

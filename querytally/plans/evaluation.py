@@ -13,7 +13,7 @@ from ..functions.table_names import referenced_tables
 from ..functions.text import embedding_with_provider, split_key, split_table_name, with_provider
 from ..operators import corpus, runs, scoring
 from ..operators.compare import compare_results
-from ..operators.results import ACTUAL, EXPECTED, result_rows
+from ..operators.results import ACTUAL, EXPECTED, result_columns
 from ..session import written
 from .registry import query
 
@@ -185,16 +185,15 @@ def order_results(t, float_total=False, repeat=False):
         F.count(F.lit(1)).alias("n"), (F.count_distinct("l_partkey") if repeat else F.lit(0)).alias("parts"),
         F.sum("l_extendedprice").alias("total"), (F.avg("l_extendedprice") * F.count(F.lit(1))).alias("again"))
     full = t.orders.join(lines, c("o_orderkey") == c("l_orderkey"), "left").na.fill(0, ["n", "parts"]).na.fill(0.0, ["total", "again"])
-    shipped = full.filter(c("l_orderkey").isNotNull())
     e_cols, a_cols = ["o_orderkey", "n", "o_orderpriority"], ["o_orderpriority", "n", "o_totalprice", "o_orderkey"]
     if float_total:
         e_cols, a_cols = [*e_cols, "total"], ["again", *a_cols]
     if repeat:
         e_cols, a_cols = [*e_cols, "parts"], ["parts", *a_cols]
     key = {"c_custkey": c("o_custkey")}
-    # results are kept before they are compared, as a run of the queries would
-    rows = written(result_rows(full, key, ACTUAL, a_cols, c("o_orderkey")).unionByName(
-        result_rows(shipped, key, EXPECTED, e_cols, c("o_orderkey"))))
+    actual, expected = (F.struct(*result_columns(full, key, side, cols, c("o_orderkey"))) for side, cols in ((ACTUAL, a_cols), (EXPECTED, e_cols)))
+    # results are kept before they are compared, as a run of the queries would; both sides come from one join
+    rows = written(full.select(F.explode(F.array(actual, F.when(c("l_orderkey").isNotNull(), expected))).alias("r")).filter("r IS NOT NULL").select("r.*"))
     kinds = {"o_orderkey": "i", "n": "i", "parts": "i", "o_orderpriority": "s", "o_totalprice": "f", "total": "f", "again": "f"}
     who = t.orders.select(c("o_custkey").alias("c_custkey")).distinct()
     headers = who.select("c_custkey", F.explode(F.array(*[

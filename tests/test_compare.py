@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from querytally.operators import compare
 from querytally.operators.compare import compare_results, frames_equal, table_sets_match
 from querytally.operators.results import ACTUAL, EXPECTED, result_header, result_rows, unique_names
 
@@ -184,3 +185,38 @@ def test_a_pairing_that_no_sorting_finds(spark):
     a = frame(spark, x=[1.0, 1 + t, 3.0, 5.0], y=[1.0, 1 + 3 * t, 1 + t, 1 + 2 * t])
     assert frames_equal(a, frame(spark, x=[1 + t, 1.0, 3.0, 5.0], y=[1.0, 1 + 3 * t, 1 + t, 1 + 2 * t]))
     assert not frames_equal(a, frame(spark, x=[1.0, 3.0, 1 + t, 5.0], y=[1.0, 1 + 3 * t, 1 + t, 1 + 2 * t]))
+
+
+@pytest.mark.parametrize("faithful", [False, True])
+def test_large_cases_are_spread(spark, faithful, monkeypatch):
+    """Cases above and below the limit of a task's rows in one run, and cases without a key."""
+    monkeypatch.setattr(compare, "CASE_ROWS", 8)
+    headers = rows = None
+    for i, (actual, expected, _) in enumerate(CASES + MORE):
+        for side, data in ((ACTUAL, actual), (EXPECTED, expected)):
+            df = frame(spark, **data)
+            case = {"case": F.lit(i if i else None).cast("int")}
+            h, r = result_header(df, case, side), result_rows(df, case, side)
+            headers = h if headers is None else headers.unionByName(h)
+            rows = r if rows is None else rows.unionByName(r)
+    want = {i if i else None: c[2] and i > 0 for i, c in enumerate(CASES + MORE)}
+    rows, headers = rows.coalesce(2).cache(), headers.coalesce(2).cache()
+    for exact in (True, False):
+        assert {r["case"]: r["passed"] for r in compare_results(headers, rows, ["case"], faithful, exact).collect()} == want
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Rows go to as many tasks as their number asks for, before any grouping, and are then grouped without a further shuffle."""
+    monkeypatch.setattr(compare, "TASK_ROWS", 100)
+    sides = F.explode(F.array(F.lit(ACTUAL), F.lit(EXPECTED))).alias("side")
+    rows = spark.range(2000).select((F.col("id") % 300).alias("case"), sides, F.col("id").alias("row_id"), F.lit("i").alias("kinds"), F.array(F.col("id").cast("string")).alias("cells"))
+    parts = compare._parts(rows, rows.count())
+    assert parts == 40
+    attempts = spark.range(300).select(F.col("id").alias("case"), F.lit(0).alias("attempt"), F.array(F.lit(0)).alias("mapping"), F.lit("i").alias("kinds"))
+    for found in (compare._exact_matches(rows.drop("kinds"), attempts, ["case"], parts), compare._hashed_matches(rows.drop("kinds"), attempts, ["case"], parts=parts),
+                  compare._tolerant_matches(rows, attempts, ["case"], True, parts)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "line" not in x]
+        assert any("hashpartitioning(case" in x and ", 40), REPARTITION_BY_NUM" in x for x in dealt)
+        assert not any("Exchange" in x and ("line#" in x or "__salt" in x or "rangepartitioning" in x) for x in plan.split("\n"))
+        assert found.count() == 300
