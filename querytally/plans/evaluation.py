@@ -12,15 +12,16 @@ from ..functions.temporal import iso_timestamp
 from ..functions.table_names import referenced_tables
 from ..functions.text import embedding_with_provider, split_key, split_table_name, with_provider
 from ..operators import corpus, runs, scoring
-from ..operators.compare import compare_results
+from ..operators.compare import _parts, compare_results
 from ..operators.results import ACTUAL, EXPECTED, result_columns
 from ..session import written
 from .registry import query
 
 c = F.col
 
-# Stand-in error classes, picked by user.
+# Stand-in error classes, picked by user; size of a grouping task.
 ERRORS = ("AgentFnError", "QueryExecutionError", "TimeoutError")
+LINES = 2_000_000  # order lines of a task that groups them
 
 CASES_SQL = """
   SELECT 'd' || (user_id % 4) AS dataset, 'db' || (user_id % 7) AS database,
@@ -180,11 +181,16 @@ def order_results(t, float_total=False, repeat=False):
 
     Expected: orders that have lines. Actual: every order, other column order,
     names and one column more. They agree where no order is without lines.
+
+    A read task may have lines of any number of orders, so the lines go to tasks by order, a bounded number to a
+    task, before they are grouped; the grouping then needs no further shuffle.
     """
-    lines = t.lineitem.groupBy("l_orderkey").agg(
+    parts = _parts(t.lineitem, t.lineitem.count(), LINES)
+    lines = t.lineitem.repartition(parts, "l_orderkey", *["l_partkey"] * repeat).groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n"), (F.count_distinct("l_partkey") if repeat else F.lit(0)).alias("parts"),
         F.sum("l_extendedprice").alias("total"), (F.avg("l_extendedprice") * F.count(F.lit(1))).alias("again"))
-    full = t.orders.join(lines, c("o_orderkey") == c("l_orderkey"), "left").na.fill(0, ["n", "parts"]).na.fill(0.0, ["total", "again"])
+    orders = t.orders if repeat else t.orders.repartition(parts, "o_orderkey")
+    full = orders.join(lines, c("o_orderkey") == c("l_orderkey"), "left").na.fill(0, ["n", "parts"]).na.fill(0.0, ["total", "again"])
     e_cols, a_cols = ["o_orderkey", "n", "o_orderpriority"], ["o_orderpriority", "n", "o_totalprice", "o_orderkey"]
     if float_total:
         e_cols, a_cols = [*e_cols, "total"], ["again", *a_cols]

@@ -220,3 +220,49 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
         assert any("hashpartitioning(case" in x and ", 40), REPARTITION_BY_NUM" in x for x in dealt)
         assert not any("Exchange" in x and ("line#" in x or "__salt" in x or "rangepartitioning" in x) for x in plan.split("\n"))
         assert found.count() == 300
+
+
+def test_order_lines_are_dealt_before_they_are_grouped(spark, monkeypatch, tmp_path):
+    """A read task sends its lines as they are, to as many tasks as their number asks for; no grouping grows with it."""
+    from querytally.plans import evaluation
+    from querytally.plans.registry import Tables
+
+    monkeypatch.setattr(evaluation, "LINES", 100, raising=False)
+    spark.range(3000).selectExpr("if(id < 600, 7, if(id < 700, null, id % 900)) l_orderkey", "id % 11 l_partkey", "id / 4 l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1000).selectExpr("if(id < 990, id, null) o_orderkey", "if(id % 50 = 0, null, id % 40) o_custkey", "'1' o_orderpriority", "id / 2 o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    held = {}
+    for r in spark.read.parquet(f"{tmp_path}/lineitem.parquet").filter("l_orderkey IS NOT NULL").collect():
+        held.setdefault(r.l_orderkey, []).append(r)
+    for repeat in (False, True):
+        plans, kept = [], evaluation.written
+        monkeypatch.setattr(evaluation, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+        _, rows = evaluation.order_results(Tables(spark, str(tmp_path)), True, repeat)
+        monkeypatch.setattr(evaluation, "written", kept)
+        below = plans[0][:plans[0].index("lineitem.parquet")].split("\n")
+        nearest = [x for x in below if "Exchange" in x or "Aggregate" in x][-1]
+        assert "Exchange hashpartitioning(l_orderkey" in nearest and ", 30), REPARTITION_BY_NUM" in nearest
+        got = {r.row_id: r.cells for r in rows.filter("side = 'expected'").collect()}
+        assert set(got) == set(held) and rows.filter("side = 'actual'").count() == 1000
+        for key, cells in got.items():
+            assert cells[:3] == [str(key), str(len(held[key])), "1"]
+            assert float(cells[3]) == pytest.approx(sum(r.l_extendedprice for r in held[key]))
+            assert cells[4:] == ([str(len({r.l_partkey for r in held[key]}))] if repeat else [])
+
+
+@pytest.mark.parametrize("faithful", [False, True])
+def test_one_float_column_takes_one_pass(spark, monkeypatch, faithful):
+    """Where one column is a float the ordered pass also decides the attempts of equal columns; no pass by content comes first."""
+    def none(*args, **more):
+        raise AssertionError("a second pass over the rows")
+
+    monkeypatch.setattr(compare, "_exact_matches", none)
+    monkeypatch.setattr(compare, "_hashed_matches", none)
+    nan = float("nan")
+    x = {"k": ["a", "a", "b", None], "v": [2.0, 0.5, nan, None]}
+    same = {"k": ["b", None, "a", "a"], "v": [nan, None, 0.5, 2.0]}
+    crossed = {"k": ["a", "b", "a", None], "v": [2.0, 0.5, nan, None]}
+    near = {"k": ["b", None, "a", "a"], "v": [nan, None, 0.5000001, 2.0000001]}
+    for other, want in ((same, True), (crossed, False), (near, not faithful or None)):
+        a, e = (spark.createDataFrame(list(zip(*d.values())), "k string, v double") for d in (other, x))
+        got = frames_equal(a, e, faithful)
+        assert want is None or got == want
