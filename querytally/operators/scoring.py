@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import int_div, pass_ratio
 from ..functions.table_names import referenced_tables
-from .compare import table_sets_match
+from .compare import _large_cases, _parts, table_sets_match
 from .joins import lookup_with_fallback
 from .numbering import number_within
 
@@ -153,11 +153,23 @@ def score_tables(cases: DataFrame, strict=False) -> DataFrame:
 def first_rows(rows: DataFrame, keys: list, n=10) -> DataFrame:
     """First ``n`` rows of each side of each case, by row id.
 
-    The rank limit runs before the shuffle, so a task sends at most ``n`` rows
-    of any result.
+    Rows go to tasks of a bounded number before they are sorted, as a read task may have any number: those of a
+    case of usual size side by side, which takes one shuffle; those of larger ones anywhere, and the rank limit
+    runs there before the next shuffle, so a task sends at most ``n`` rows of any result. ``rows`` is read several
+    times and should be stored.
     """
     w = W.partitionBy(*keys, "side").orderBy("row_id")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+    def ranked(dealt):
+        return dealt.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+    large, parts = _large_cases(rows, keys), _parts(rows, rows.count())
+    n_large = large.agg(F.sum("n")).first()[0]
+    if n_large is None:
+        return ranked(rows.repartition(parts, *keys))
+    few = F.broadcast(large.select(*keys))
+    spread = rows.join(few, keys, "left_semi").repartition(_parts(rows, n_large), *keys, "row_id", "cells")
+    return ranked(rows.join(few, keys, "left_anti").repartition(parts, *keys)).unionByName(ranked(spread))
 
 
 def review_sample(cases: DataFrame, rows: DataFrame, keys: list, n=10, headers: DataFrame | None = None) -> DataFrame:
@@ -168,6 +180,7 @@ def review_sample(cases: DataFrame, rows: DataFrame, keys: list, n=10, headers:
     def shown(cells):
         return F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " | ")
 
+    rows = rows.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))  # no case has such a key
     # ranked first: a join on the case keys would gather a large result's rows
     heads = first_rows(rows, keys, n).join(cases.select(*keys), keys, "left_semi").select(*keys, "side", "rank", shown("cells").alias("line"))
     if headers is not None:

@@ -226,3 +226,27 @@ def test_empty_ratio(spark):
     df = spark.createDataFrame([], "dataset string, status string, duration double")
     row = df.agg(*scoring.totals()).first()
     assert (row["total"], row["ratio"]) == (0, 1.0)
+
+
+def test_first_rows_sorts_bounded_tasks(spark, monkeypatch):
+    """Rows are dealt before they are ranked: usual cases side by side, larger ones by row; both give the first rows."""
+    from querytally.operators import compare
+    from querytally.operators.scoring import first_rows
+
+    monkeypatch.setattr(compare, "TASK_ROWS", 100)
+    monkeypatch.setattr(compare, "CASE_ROWS", 300)
+    rows = spark.range(3000).selectExpr(
+        "if(id % 2 = 0, 1, if(id % 31 = 0, null, id % 97)) case", "if(id % 3 = 0, 'expected', 'actual') side", "3000 - id row_id",
+        "array(cast(id as string)) cells").coalesce(1).cache()
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: r.row_id):
+        want.setdefault((r.case, r.side), []).append((r.row_id, len(want.get((r.case, r.side), ())) + 1))
+    got = {}
+    found = first_rows(rows, ["case"], 4)
+    plan = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x or "WindowGroupLimit" in x]
+    for r in sorted(found.collect(), key=lambda r: r.row_id):
+        got.setdefault((r.case, r.side), []).append((r.row_id, r["rank"]))
+    assert got == {k: v[:4] for k, v in want.items()}
+    lowest = [x for at, x in enumerate(plan) if "WindowGroupLimit" not in x and at and "WindowGroupLimit" in plan[at - 1]]
+    assert len([x for x in lowest if ", 30), REPARTITION_BY_NUM" in x]) == 1  # the usual ones
+    assert len([x for x in lowest if "row_id" in x and ", 16), REPARTITION_BY_NUM" in x]) == 1  # the large one
